@@ -3,11 +3,13 @@
 from granary.llm.decontaminate import OP4_SQL, op4_decontaminate
 from granary.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from granary.llm.language_id import op1_language_id
+from granary.llm.near_dedup import op3_minhash_near_dedup
 from granary.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_counts": op6_token_counts,
 }
