@@ -4,6 +4,7 @@ from granary.llm.decontaminate import OP4_SQL, op4_decontaminate
 from granary.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from granary.llm.language_id import op1_language_id
 from granary.llm.near_dedup import op3_minhash_near_dedup
+from granary.llm.suffix_dedup import op5_suffix_dedup
 from granary.llm.token_counts import op6_token_counts
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL}
