@@ -2,6 +2,7 @@
 
 from granary.llm.decontaminate import OP4_SQL, op4_decontaminate
 from granary.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from granary.llm.hmm_score import op8_hmm_score
 from granary.llm.html_extract import op9_html_extract
 from granary.llm.language_id import op1_language_id
 from granary.llm.near_dedup import op3_minhash_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_hmm_score": op8_hmm_score,
     "op9_html_extract": op9_html_extract,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL}
