@@ -1,15 +1,63 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline over documents: each stage works on all that the one before kept.
 
-from granary.llm import exact_dedup as ed
+Stages: language identification drops documents without a language; exact duplicates keep the row with the largest id; of near
+duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays; documents with windows of two or more benchmark
+items go; mixing gives the rest their rates and numbers of copies and drops those with no copy.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup
+from granary.llm.common import Scratch, table
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known language; the profiles come from the labelled ones among them."""
+    profiles = language_id.train_profiles(docs)
+    found = language_id.identify(docs, profiles).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.drop("lang_pred", "lang_score")
+
+
+def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.dedup(docs, keep="largest")
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: ed.dedup(docs, keep="largest"))]
-ORACLE_SQL = None
 
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return near_dedup.dedup(docs, shingle=5, percent=80)
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not repeat the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least one copy at their rate."""
+    mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS)
+    return mixed.where("copies > 0")
+
+
+STAGES = [
+    ("language ID", stage_language),
+    ("exact dedup", stage_exact),
+    ("MinHash near-dedup", stage_near),
+    ("benchmark decontamination", stage_decontaminate),
+    ("mixing", stage_mix),
+]
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from granary.llm.common import table
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder and read again by the next."""
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.write(docs)
     return docs
