@@ -8,8 +8,9 @@ similarity of 0.8 a pair misses every band with probability 7e-6.
 Only the components of the graph of verified links are wanted, so pairs inside one component need no check. Copies of one
 word sequence are one node. Rounds of few pairs come first: each node with the smallest node of all its buckets, then, in
 buckets that still span several components, with a pivot of the bucket. Buckets that still span several components after
-these rounds have every remaining pair across their components checked, so that no link between different texts is lost to
-the order of the rounds. Every link rests on the full sets of both texts. Texts travel only for documents that share a
+these rounds have every remaining pair across their components looked at in blocks, by bitmaps whose common bits bound the
+common shingles from above; pairs within the bound are verified, so that no link between different texts is lost to the order
+of the rounds. Every link rests on the full sets of both texts. Texts travel only for documents that share a
 bucket; the pairs of one pivot are spread over ``SALTS`` tasks, to each of which its text goes once.
 
 Edge cases: null, empty and wordless texts have an empty set and no links; texts of fewer words than a shingle are one
@@ -37,7 +38,8 @@ TO_LOWER = str.maketrans(UPPER, LOWER)
 SLOTS = 1 << 20
 ROWS, BANDS = 5, 30
 SALTS = 16
-PIVOTS = 3
+PIVOTS = 2
+BLOCK = 512
 CACHE = 500_000
 
 
@@ -153,6 +155,86 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return ordered.select("b", "a", "text").mapInArrow(run, "a bigint, b bigint")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits of the set, 16 or more a shingle and a power of two in all, as 64-bit words."""
+    size = max(64, 1 << (16 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(_mixed(shingles) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps brought down to ``width`` words; bit positions are taken modulo the size."""
+    while words.shape[1] > width:
+        words = words[:, : words.shape[1] // 2] | words[:, words.shape[1] // 2 :]
+    return words
+
+
+def may_be_similar(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: int, percent: int) -> np.ndarray:
+    """Rows of bitmaps ``a`` that can reach the similarity with ``b``; refuses none that does.
+
+    Common elements are at most the common bits plus the smaller number of elements without a bit of their own.
+    """
+    width = min(a.shape[1], len(b))
+    a, b = _folded(a, width), _folded(b[None, :], width)
+    rest_a = n_a - np.bitwise_count(a).sum(axis=1, dtype=np.int64)
+    rest_b = n_b - int(np.bitwise_count(b).sum(dtype=np.int64))
+    most = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + np.minimum(rest_a, rest_b)
+    most = np.minimum(most, np.minimum(n_a, n_b))
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
+def _across(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that bitmaps of their sets do not refuse.
+
+    Every node outside a bucket's largest component meets all nodes of the bucket. Such nodes are dealt in blocks of about
+    ``BLOCK``; the others stream by, so that a task holds one block whatever the bucket's size.
+    """
+
+    def mapped(batches):
+        s = Shingler(size)
+        for batch in batches:
+            bits = [bitmap(s.shingles(s.words(t))).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["nid", "bits"])
+
+    def meet(batches):
+        at, held, blocks = None, [], None
+        for batch in batches:
+            found_a, found_b = [], []
+            for bkt, s, minor, nid, n, label, bits in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if at != (bkt, s):
+                    at, held, blocks = (bkt, s), [], None
+                words = np.frombuffer(bits, np.uint64)
+                if minor:
+                    held.append((nid, n, label, words))
+                    continue
+                if blocks is None:
+                    by_width: dict[int, list] = {}
+                    for h in held:
+                        by_width.setdefault(len(h[3]), []).append(h)
+                    blocks = [
+                        (np.array([h[0] for h in hs]), np.array([h[1] for h in hs]), np.array([h[2] for h in hs]), np.stack([h[3] for h in hs]))
+                        for hs in by_width.values()
+                    ]
+                for ids, sizes, theirs, maps in blocks:
+                    fits = np.flatnonzero((theirs != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                    if len(fits):
+                        fits = fits[may_be_similar(maps[fits], sizes[fits], words, n, percent)]
+                        found_b.extend(ids[fits].tolist())
+                        found_a.extend([nid] * len(fits))
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    sizes = members.groupBy("bkt", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("bkt").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("c"), F.max("c").alias("m"))
+    blocks = F.ceil((F.col("c") - F.col("m")) / F.lit(BLOCK)).cast("int")
+    known = members.join(largest.select("bkt", "top", blocks.alias("k")), "bkt").join(texts.select("nid", "text").mapInArrow(mapped, "nid bigint, bits binary"), "nid")
+    minor = known.where("label <> top").select("bkt", F.pmod(F.xxhash64("nid"), "k").cast("int").alias("s"), F.lit(True).alias("minor"), "nid", "n", "label", "bits")
+    all_ = known.select("bkt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"), F.lit(False).alias("minor"), "nid", "n", "label", "bits")
+    rows = minor.unionByName(all_).repartition("bkt", "s").sortWithinPartitions("bkt", "s", F.desc("minor"))
+    pairs = rows.select("bkt", "s", "minor", "nid", "n", "label", "bits").mapInArrow(meet, "a bigint, b bigint")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept`` and ``raw``, the MD5 of the text."""
     spark = docs.sparkSession
@@ -206,14 +288,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
             pairs = open_.where(F.col("label") != F.col("l2")).where(compatible).select(F.col("nid").alias("a"), "b")
             labels = link(pairs, labels)
             continue
-        # What is left: every pair across components, between each component but a bucket's largest and all others.
-        members = open_.select("bkt", "nid", "n", "label")
-        sizes = members.groupBy("bkt", "label").agg(F.count(F.lit(1)).alias("c"))
-        largest = sizes.groupBy("bkt").agg(F.max(F.struct("c", "label"))["label"].alias("top"))
-        minor = members.join(largest, "bkt").where("label <> top").select("bkt", F.col("nid").alias("b"), F.col("n").alias("m"), F.col("label").alias("l2"), "top")
-        across = members.join(minor, "bkt").where((F.col("label") != F.col("l2")) & compatible)
-        across = across.where((F.col("label") == F.col("top")) | (F.col("label") < F.col("l2")))
-        labels = link(across.select(F.col("nid").alias("a"), "b"), labels)
+        labels = link(_across(open_.select("bkt", "nid", "n", "label"), texts, shingle, percent), labels)
 
     labelled = nodes.select("seq", "nid", "doc_id").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
