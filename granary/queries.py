@@ -1,4 +1,812 @@
 """Registered queries over the driver's tables and the SQL they are checked against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import metrics, replies, text
+from granary.operators import bm25, chunking, fusion, lookup, overlap, quality, reports, sampling, vectors
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+#: White space for RE2, as Python sees it.
+WS = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_IN_LINE = WS.replace(r"\x09-\x0d", r"\x09\x0b-\x0d")
+WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')".format
+
+
+def _sql_strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _sql_normal(c: str) -> str:
+    c = rf"regexp_replace(coalesce({c}, ''), '\r\n?', chr(10), 'g')"
+    c = rf"regexp_replace({c}, '{WS_IN_LINE}*\n{WS_IN_LINE}*', chr(10), 'g')"
+    c = rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace({_sql_strip(c)}, '[ \t]+', ' ', 'g')"
+
+
+def _sql_pieces(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array({c}, '{WS}+'), lambda x: x <> '')"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+# ---- dense retrieval and its metrics
+
+
+def _vector_queries(collection: DataFrame) -> DataFrame:
+    return collection.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+DENSE_SQL = """
+SELECT q.vec_id AS query_id, c.vec_id, round(1 - list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance, c.label, q.label AS query_label
+FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0
+"""
+
+
+@query(
+    "dense_topk",
+    f"""
+WITH s AS ({DENSE_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS dense_rank FROM s)
+SELECT query_id, vec_id, distance, CAST(dense_rank AS INT) AS dense_rank FROM r WHERE dense_rank <= 5
+""",
+)
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each query."""
+    c = _table(spark, sf_dir, "embeddings")
+    return vectors.dense_topk(c, _vector_queries(c), 5, digits=6)
+
+
+@query(
+    "dense_metrics_by_label",
+    f"""
+WITH s AS ({DENSE_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS k FROM s WHERE vec_id <> query_id),
+g AS (SELECT query_id, any_value(query_label) AS label,
+        list(vec_id ORDER BY k) FILTER (k <= 10) AS ret, coalesce(list(vec_id ORDER BY k) FILTER (label = query_label AND k <= 30), []) AS rel FROM r WHERE k <= 30 GROUP BY query_id),
+h AS (SELECT query_id, count(*) FILTER (label = query_label AND k <= 10) AS found, count(*) FILTER (label = query_label) AS rel,
+        min(k) FILTER (label = query_label AND k <= 10) AS firstk FROM r WHERE k <= 30 GROUP BY query_id),
+p AS (SELECT query_id, sum(prec) AS sp FROM (
+        SELECT query_id, k, CAST(count(*) OVER (PARTITION BY query_id ORDER BY k) AS DOUBLE) / k AS prec FROM r WHERE k <= 10 AND label = query_label) GROUP BY query_id)
+SELECT g.label, count(*) AS n, round(avg(CASE WHEN h.found > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit,
+       round(avg(CASE WHEN h.found = h.rel THEN 1.0 ELSE 0.0 END), 6) AS full_hit, round(avg(coalesce(1.0 / h.firstk, 0.0)), 6) AS mrr,
+       round(avg(CASE WHEN h.rel > 0 THEN CAST(h.found AS DOUBLE) / h.rel ELSE 0.0 END), 6) AS recall,
+       round(avg(CASE WHEN h.rel > 0 THEN coalesce(p.sp, 0.0) / h.rel ELSE 0.0 END), 6) AS map
+FROM g JOIN h USING (query_id) LEFT JOIN p USING (query_id) GROUP BY g.label
+""",
+)
+def dense_metrics_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics at 10 of each query, relevance being the label, judged over the pool of its 30 nearest."""
+    c = _table(spark, sf_dir, "embeddings")
+    near = vectors.dense_topk(c, _vector_queries(c), 31, digits=6).where("vec_id <> query_id")
+    near = vectors.top_k(near, "query_id", 30, "k", F.col("distance"), F.col("vec_id"))
+    labels = c.select("vec_id", "label")
+    near = near.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    lists = near.groupBy("query_id", "query_label").agg(F.sort_array(F.collect_list(F.struct("k", "vec_id", "label"))).alias("l"))
+    rows = lists.select(
+        F.col("query_label").alias("label"),
+        F.transform(F.slice("l", 1, 10), lambda x: x["vec_id"]).alias("ret"),
+        F.transform(F.filter("l", lambda x: x["label"] == F.col("query_label")), lambda x: x["vec_id"]).alias("rel"),
+    )
+    pair = (F.col("ret"), F.col("rel"))
+    per = rows.select(
+        "label", metrics.hit(*pair).alias("hit"), metrics.full_hit(*pair).alias("full_hit"), metrics.reciprocal_rank(*pair).alias("mrr"),
+        metrics.recall(*pair).alias("recall"), metrics.average_precision(*pair).alias("map"),
+    )
+    return per.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in ("hit", "full_hit", "mrr", "recall", "map")])
+
+
+@query("vector_dims", "SELECT list_sort(list(DISTINCT len(embedding))) AS dims FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 20)")
+def vector_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dimension_set(_table(spark, sf_dir, "embeddings")).select(F.col("dims").cast("array<bigint>").alias("dims"))
+
+
+@query(
+    "rrf_fusion",
+    f"""
+WITH s AS ({DENSE_SQL}),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS k FROM s),
+e AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN label = query_label THEN 0 ELSE 1 END, distance, vec_id DESC) AS k FROM s),
+j AS (SELECT coalesce(d.query_id, e.query_id) AS query_id, coalesce(d.vec_id, e.vec_id) AS vec_id, d.k AS dk, e.k AS ek,
+        round(coalesce(1.0 / (60 + d.k), 0) + coalesce(1.0 / (60 + e.k), 0), 9) AS rrf
+      FROM (SELECT * FROM d WHERE k <= 30) d FULL JOIN (SELECT * FROM e WHERE k <= 30) e ON d.query_id = e.query_id AND d.vec_id = e.vec_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dk NULLS LAST, ek NULLS LAST, vec_id) AS r FROM j)
+SELECT query_id, vec_id, CAST(dk AS INT) AS dense_rank, CAST(ek AS INT) AS bm25_rank, round(rrf, 6) AS rrf_score,
+       CASE WHEN dk IS NOT NULL THEN 'dense' ELSE 'bm25' END AS retrieval_source, CAST(r AS INT) AS fused_rank FROM f WHERE r <= 30
+""",
+)
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors fused with the nearest of the query's own label."""
+    c = _table(spark, sf_dir, "embeddings")
+    q = _vector_queries(c).join(c.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    dense = vectors.dense_topk(c, q, 30, digits=6).select("query_id", "vec_id", "dense_rank")
+    labelled = vectors.with_norm(c, "embedding", "_cn")
+    qq = vectors.with_norm(q.withColumnRenamed("embedding", "_q"), "_q", "_qn")
+    distance = F.round(1 - vectors.dot(F.col("embedding"), F.col("_q")) / F.nullif(F.col("_cn") * F.col("_qn"), F.lit(0.0)), 6)
+    pairs = vectors.scored(labelled, qq, distance)
+    own = F.when(F.col("label") == F.col("query_label"), 0).otherwise(1)
+    sparse = vectors.top_k(pairs.select("query_id", "vec_id", "score", own.alias("own")), "query_id", 30, "bm25_rank", F.col("own"), F.col("score"), F.desc("vec_id"))
+    fused = fusion.reciprocal_rank_fusion(dense, sparse.select("query_id", "vec_id", "bm25_rank"), "vec_id", 30)
+    return fused.select("query_id", "vec_id", "dense_rank", "bm25_rank", F.round("rrf_score", 6).alias("rrf_score"), "retrieval_source", "fused_rank")
+
+
+# ---- sparse and hybrid retrieval
+
+BM25_SQL = f"""
+WITH t AS (SELECT doc_id, unnest({WORDS("coalesce(text, '')")}) AS term FROM documents),
+len AS (SELECT doc_id, len({WORDS("coalesce(text, '')")}) AS dl FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+tot AS (SELECT count(*) AS n, avg(dl) AS al FROM len),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, tot GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({WORDS("coalesce(text, '')")}) AS term FROM benchmark) GROUP BY ALL),
+m AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))), 6) AS s
+      FROM q JOIN idf USING (term) JOIN p USING (term) JOIN len USING (doc_id), tot GROUP BY ALL),
+a AS (SELECT b.item_id, d.doc_id, coalesce(m.s, 0.0) AS s FROM benchmark b CROSS JOIN documents d LEFT JOIN m ON m.item_id = b.item_id AND m.doc_id = d.doc_id),
+bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS k FROM a)
+"""
+
+
+def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("bm25_topk", BM25_SQL + "SELECT item_id AS query_id, doc_id, s AS bm25_score, CAST(k AS INT) AS bm25_rank FROM bm WHERE k <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark passage."""
+    best = bm25.bm25_topk(bm25.build_index(_docs(spark, sf_dir)), _benchmark_queries(spark, sf_dir), 10)
+    return best.select("query_id", F.col("id").alias("doc_id"), "bm25_score", "bm25_rank")
+
+
+@query(
+    "hybrid_topk",
+    BM25_SQL
+    + f"""
+, tok AS (SELECT doc_id, list_distinct({WORDS("coalesce(text, '')")}) AS w FROM documents),
+bt AS (SELECT item_id, list_distinct({WORDS("coalesce(text, '')")}) AS w FROM benchmark),
+near AS (SELECT item_id, doc_id, s, k, row_number() OVER (PARTITION BY item_id ORDER BY dl, k) AS dk FROM bm JOIN len USING (doc_id) WHERE k <= 60),
+j AS (SELECT item_id, doc_id, CASE WHEN dk <= 30 THEN dk END AS dk, CASE WHEN k <= 30 THEN k END AS ek FROM near WHERE dk <= 30 OR k <= 30),
+f AS (SELECT *, round(coalesce(1.0 / (60 + dk), 0) + coalesce(1.0 / (60 + ek), 0), 9) AS rrf FROM j),
+g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, dk NULLS LAST, ek NULLS LAST, doc_id) AS fr FROM f),
+h AS (SELECT g.*, CASE WHEN len(bt.w) > 0 THEN CAST(len(list_intersect(bt.w, tok.w)) AS DOUBLE) / len(bt.w) ELSE 0.0 END AS sc
+      FROM g JOIN bt USING (item_id) JOIN tok USING (doc_id) WHERE fr <= 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sc DESC, fr) AS final_rank FROM h)
+SELECT item_id AS query_id, doc_id, round(rrf, 6) AS rrf_score, round(sc, 6) AS rerank_score, CAST(final_rank AS INT) AS final_rank FROM r WHERE final_rank <= 10
+""",
+)
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 candidates fused with a second list, the shortest of the best 60, and reranked by word overlap."""
+    from granary.plans.retrieval import hybrid_topk as fuse
+
+    docs, queries = _docs(spark, sf_dir), _benchmark_queries(spark, sf_dir)
+    index = bm25.build_index(docs)
+    pool = bm25.bm25_topk(index, queries, 60)
+    sized = docs.select(F.col("doc_id").alias("id"), F.size(text.word_tokens(F.col("text"))).alias("len"))
+    second = vectors.top_k(pool.join(sized, "id"), "query_id", 30, "dense_rank", F.col("len"), F.col("bm25_rank"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text")
+    out = fuse(second.select("query_id", "id", "dense_rank"), pool.where("bm25_rank <= 30").select("query_id", "id", "bm25_rank"), chunks, queries)
+    return out.select("query_id", F.col("id").alias("doc_id"), F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
+
+
+# ---- filters
+
+#: Words common in the test texts, in the place of the topic words.
+TEST_KEYWORDS = ["the", "tion", "ing", "que", "ción", "heit", "der", "ment", "and", "los"]
+
+
+@query(
+    "quality_filter",
+    rf"""
+WITH d AS (SELECT doc_id, {_sql_strip("coalesce(source, '')")} AS title, {_sql_strip("coalesce(text, '')")} AS t FROM documents),
+l AS (SELECT *, regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS lines FROM d)
+SELECT doc_id FROM l WHERE title <> '' AND length(t) >= 1500 AND lower(title) NOT LIKE '%src1'
+  AND {" + ".join(f"CAST(contains(lower(t), '{k}') AS INT)" for k in TEST_KEYWORDS)} >= 4
+  AND len(list_filter(lines, lambda x: regexp_matches({_sql_strip("x")}, '^[*#|!]'))) <= 0.4 * len(lines)
+  AND len(list_filter(string_split(t, '.'), lambda x: length({_sql_strip("x")}) > 40)) >= 10
+""",
+)
+def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that pass the first filter with words of the test corpus."""
+    good = quality.passes_quality(F.col("source"), F.col("text"), TEST_KEYWORDS, 4, 1500, titles=[])
+    return _docs(spark, sf_dir).where(~F.endswith(F.lower("source"), F.lit("src1")) & good).select("doc_id")
+
+
+@query(
+    "corpus_filter",
+    rf"""
+WITH d AS (SELECT doc_id, source, lower({_sql_strip("coalesce(text, '')")}) AS t FROM documents)
+SELECT doc_id, source FROM d WHERE coalesce(source, '') <> '' AND length(t) >= 3000 AND NOT contains(source, 'src7') AND NOT contains(t, '###')
+  AND {" + ".join(f"CAST(contains(t, '{k}') AS INT)" for k in TEST_KEYWORDS)} >= 3 AND (source IS NULL OR source NOT IN ('src2', 'src3'))
+""",
+)
+def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that pass the second filter and the category exclusion, with words of the test corpus."""
+    good = quality.passes_corpus_filter(F.col("source"), F.col("text"), TEST_KEYWORDS, 3, 3000, titles=["src7"], topics=["###"])
+    return _docs(spark, sf_dir).where(quality.category_kept(F.col("source"), ["src2", "src3"]) & good).select("doc_id", "source")
+
+
+# ---- corpus statistics
+
+
+@query("category_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.counts_by(_docs(spark, sf_dir), "source")
+
+
+@query(
+    "category_length_stats",
+    """SELECT source, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median, min(n_chars) AS min, max(n_chars) AS max
+    FROM documents GROUP BY source""",
+)
+def category_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = reports.group_stats(_docs(spark, sf_dir), "source", "n_chars")
+    return stats.withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query(
+    "length_describe",
+    """SELECT count(n_chars) AS count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min,
+    round(quantile_cont(n_chars, 0.25), 6) AS q25, round(quantile_cont(n_chars, 0.5), 6) AS q50, round(quantile_cont(n_chars, 0.75), 6) AS q75, max(n_chars) AS max FROM documents""",
+)
+def length_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = reports.describe(_docs(spark, sf_dir), "n_chars")
+    return d.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+@query(
+    "length_extremes",
+    """SELECT doc_id, n_chars, 'shortest' AS "end" FROM (SELECT * FROM documents ORDER BY n_chars, doc_id LIMIT 10)
+    UNION ALL SELECT doc_id, n_chars, 'longest' FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10)""",
+)
+def length_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.extremes(_docs(spark, sf_dir), "doc_id", "n_chars")
+
+
+@query(
+    "docs_per_category_ratio",
+    """SELECT source, count(*) AS n_docs, count(l.doc_id) AS n_labelled, round(CAST(count(l.doc_id) AS DOUBLE) / count(*), 6) AS share
+    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source""",
+)
+def docs_per_category_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l")).distinct()
+    g = _docs(spark, sf_dir).select("doc_id", "source").join(labelled, "doc_id", "left").groupBy("source")
+    g = g.agg(F.count(F.lit(1)).alias("n_docs"), F.count("l").alias("n_labelled"))
+    return g.withColumn("share", F.round(reports.ratio(F.col("n_labelled"), F.col("n_docs")), 6))
+
+
+# ---- text and chunks
+
+
+@query("normalize_text", f"SELECT doc_id, md5({_sql_normal('text')}) AS normal, CAST(length({_sql_normal('text')}) AS INT) AS n FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _docs(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("t"))
+    return n.select("doc_id", F.md5("t").alias("normal"), F.char_length("t").alias("n"))
+
+
+@query(
+    "bm25_tokens",
+    f"""SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens
+    FROM (SELECT doc_id, {WORDS("coalesce(text, '')")} AS w FROM documents)""",
+)
+def bm25_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _docs(spark, sf_dir).select("doc_id", text.word_tokens(F.col("text")).alias("w"))
+    return t.select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens"))
+
+
+@query(
+    "vocab_stats",
+    f"""WITH t AS (SELECT doc_id, unnest({WORDS("coalesce(text, '')")}) AS term FROM documents)
+    SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""",
+)
+def vocab_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = bm25.build_index(_docs(spark, sf_dir))
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def _sql_chunks(size: int, step: int) -> str:
+    return f"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ci, array_to_string(p[s + 1 : s + {size}], ' ') AS text, len(p[s + 1 : s + {size}]) AS n
+FROM (SELECT doc_id, p, unnest(range(0, len(p), {step})) AS s FROM (SELECT doc_id, {_sql_pieces(_sql_normal("text"))} AS p FROM documents))
+"""
+
+
+@query(
+    "fixed_chunks",
+    f"""SELECT printf('%s_%04d', CAST(doc_id AS VARCHAR), ci) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(ci AS INT) AS chunk_index, md5(text) AS text, CAST(n AS INT) AS token_count
+    FROM ({_sql_chunks(256, 231)})""",
+)
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fixed_chunks(_docs(spark, sf_dir), 256, 25).withColumn("text", F.md5("text"))
+
+
+#: Headings put into the test texts, which have none: each line but the first starts a section.
+HEADED = "chr(10) || '== ' || {} || ' ==' || chr(10)"
+
+
+@query(
+    "section_chunks",
+    rf"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Endnotes' ELSE 'Part' END AS head, source AS title, {_sql_normal("text")} AS t FROM documents),
+s AS (SELECT doc_id, title, unnest(string_split(t, chr(10))) AS body, unnest(range(0, len(string_split(t, chr(10))))) AS si, head FROM d),
+n AS (SELECT doc_id, si, title, CASE WHEN si = 0 THEN 'Introduction' ELSE head END AS h, {_sql_pieces("body")} AS p FROM s WHERE {_sql_strip("body")} <> ''),
+k AS (SELECT *, '[' || title || ' > ' || h || ']' || chr(10) || chr(10) AS pre FROM n WHERE h <> 'Endnotes'),
+z AS (SELECT *, len({_sql_pieces("pre")}) AS np FROM k),
+w AS (SELECT *, unnest(range(0, len(p), CAST(greatest(128 - np - 12, 1) AS BIGINT))) AS st FROM z WHERE np < 128),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY si, st) - 1 AS ci, h, pre || array_to_string(p[st + 1 : st + 128 - np], ' ') AS text,
+        np + len(p[st + 1 : st + 128 - np]) AS n FROM w)
+SELECT printf('%s_%04d', CAST(doc_id AS VARCHAR), ci) AS chunk_id, h AS section_heading, CAST(ci AS INT) AS chunk_index, md5(text) AS text, CAST(n AS INT) AS token_count FROM c
+""",
+)
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by section, every line after the first being put under a heading."""
+    head = F.when(F.col("doc_id") % 7 == 0, "Endnotes").otherwise("Part")
+    mark = F.concat(F.lit("\n== "), head, F.lit(" ==\n"))
+    headed = _docs(spark, sf_dir).withColumn("text", F.replace(text.normalize(F.col("text")), F.lit("\n"), mark)).withColumnRenamed("source", "title")
+    out = chunking.section_chunks(headed, 128, 12)
+    return out.select("chunk_id", "section_heading", "chunk_index", F.md5("text").alias("text"), "token_count")
+
+
+MAPPING_SQL = f"""
+WITH s AS ({_sql_chunks(256, 231)}), t AS ({_sql_chunks(128, 116)}),
+sd AS (SELECT doc_id, ci, list_distinct({WORDS("text")}) AS w FROM s), td AS (SELECT doc_id, ci, list_distinct({WORDS("text")}) AS w FROM t),
+p AS (SELECT printf('%s_%04d', CAST(sd.doc_id AS VARCHAR), sd.ci) AS source_id, printf('%s_%04d', CAST(sd.doc_id AS VARCHAR), td.ci) AS target_id,
+        CASE WHEN len(sd.w) > 0 THEN CAST(len(list_intersect(sd.w, td.w)) AS DOUBLE) / len(sd.w) ELSE 0.0 END AS o
+      FROM sd JOIN td USING (doc_id))
+"""
+
+
+def _chunkings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _docs(spark, sf_dir)
+    return chunking.fixed_chunks(docs, 256, 25), chunking.fixed_chunks(docs, 128, 12)
+
+
+@query("overlap_mapping", MAPPING_SQL + "SELECT source_id, target_id, round(o, 6) AS overlap_ratio FROM p WHERE o >= 0.52")
+def overlap_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large chunks and the small ones of the same document that hold enough of their words."""
+    m = overlap.overlap_mapping(*_chunkings(spark, sf_dir))
+    return m.select("source_id", "target_id", F.round("overlap_ratio", 6).alias("overlap_ratio"))
+
+
+@query(
+    "overlap_topn",
+    MAPPING_SQL
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY o DESC, target_id) AS k FROM p)
+SELECT source_id, target_id, round(o, 6) AS overlap_ratio, CAST(k AS INT) AS rank FROM r WHERE k <= 3""",
+)
+def overlap_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = overlap.overlap_topn(*_chunkings(spark, sf_dir), 3)
+    return t.select("source_id", "target_id", F.round("overlap_ratio", 6).alias("overlap_ratio"), "rank")
+
+
+@query("snippets", "SELECT doc_id, replace(text[1:80], chr(10), ' ') AS snippet FROM documents")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", text.snippet(F.col("text"), 80).alias("snippet"))
+
+
+@query("encoded_titles", "SELECT p_partkey, 'https://en.wikipedia.org/wiki/' || url_encode(replace(p_name, ' ', '_')) AS url FROM part")
+def encoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://en.wikipedia.org/wiki/"), text.percent_encode(F.col("p_name")))
+    return _table(spark, sf_dir, "part").select("p_partkey", url.alias("url"))
+
+
+@query(
+    "keyword_occurrences",
+    """WITH h AS (SELECT doc_id, text, list_filter(range(0, length(text)), lambda p: lower(text)[p + 1 : p + 4] = 'an a') AS ps FROM documents)
+    SELECT doc_id, len(ps) AS n, md5(array_to_string(list_transform(ps, lambda p: text[greatest(p - 150, 0) + 1 : least(p + 150, length(text))]), '|')) AS contexts
+    FROM h WHERE len(ps) > 0""",
+)
+def keyword_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All occurrences of a phrase with what stands around them."""
+    o = _docs(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("an a"))).select("doc_id", text.occurrences(F.col("text"), "an a").alias("o"))
+    return o.select("doc_id", F.size("o").cast("bigint").alias("n"), F.md5(F.array_join("o", "|")).alias("contexts"))
+
+
+CLAIMS = [("licence", ["Apache License", "Public License"]), ("insult", ["idiot", "Clown"]), ("never", ["qqqqq"])]
+
+
+@query(
+    "claim_evidence",
+    f"""WITH c(claim, term) AS (VALUES {", ".join(f"('{c}', '{t}')" for c, ts in CLAIMS for t in ts)}),
+    f AS (SELECT claim, term, doc_id, position(lower(term) IN lower(text)) AS p1, text FROM c, documents WHERE contains(lower(text), lower(term)))
+    SELECT claim, term, doc_id, md5(text[greatest(p1 - 1 - 220, 0) + 1 : least(p1 - 1 + length(term) + 220, length(text))]) AS snippet FROM f""",
+)
+def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = spark.createDataFrame(CLAIMS, "claim string, evidence_terms array<string>")
+    found = overlap.claim_evidence(_docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"), claims)
+    return found.select("claim", "term", F.col("chunk_id").alias("doc_id"), F.md5("snippet").alias("snippet"))
+
+
+@query(
+    "claim_status",
+    f"""WITH c(claim, term) AS (VALUES {", ".join(f"('{c}', '{t}')" for c, ts in CLAIMS for t in ts)}),
+    f AS (SELECT claim, term, doc_id FROM c, documents WHERE contains(lower(text), lower(term)))
+    SELECT c.claim, count(DISTINCT f.term) AS n_terms_found, count(DISTINCT f.doc_id) AS n_chunks,
+      CASE WHEN count(f.term) = 0 THEN 'likely not grounded' ELSE 'evidence found' END AS status
+    FROM (SELECT DISTINCT claim FROM c) c LEFT JOIN f USING (claim) GROUP BY c.claim""",
+)
+def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = spark.createDataFrame(CLAIMS, "claim string, evidence_terms array<string>")
+    return overlap.claim_status(_docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"), claims)
+
+
+# ---- questions, lookups and mappings made from labels
+
+QUESTION_SQL = "q AS (SELECT doc_id AS id, [doc_id + 1, doc_id, doc_id + 5000000] AS ids, toxic, quality FROM labels)"
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array(F.col("doc_id") + 1, F.col("doc_id"), F.col("doc_id") + 5_000_000)
+    return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ids.alias("ids"), "toxic", "quality")
+
+
+@query(
+    "enrich_default",
+    f"""WITH {QUESTION_SQL}, e AS (SELECT id, unnest(ids) AS c, unnest([1, 2, 3]) AS pos FROM q)
+    SELECT id, md5(string_agg(coalesce(d.text, 'CHUNK NOT FOUND'), '|' ORDER BY pos)) AS texts FROM e LEFT JOIN documents d ON d.doc_id = e.c GROUP BY id""",
+)
+def enrich_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup.looked_up(_questions(spark, sf_dir), "id", "ids", _docs(spark, sf_dir), "doc_id", "text", F.lit("CHUNK NOT FOUND"))
+    return found.select("id", F.md5(F.array_join("values", "|")).alias("texts"))
+
+
+@query(
+    "lookup_drop_missing",
+    f"""WITH {QUESTION_SQL}, e AS (SELECT id, unnest(ids) AS c, unnest([1, 2, 3]) AS pos FROM q)
+    SELECT id, count(d.doc_id) AS n_found, string_agg(d.source, ',' ORDER BY pos) AS sources FROM e LEFT JOIN documents d ON d.doc_id = e.c GROUP BY id""",
+)
+def lookup_drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup.looked_up(_questions(spark, sf_dir), "id", "ids", _docs(spark, sf_dir), "doc_id", "source", drop=True)
+    return found.select("id", F.size("values").cast("bigint").alias("n_found"), F.array_join("values", ",").alias("sources"))
+
+
+@query(
+    "missing_chunks",
+    f"WITH {QUESTION_SQL}, e AS (SELECT id, unnest(ids) AS c FROM q) SELECT id, c AS missing_id FROM e WHERE c NOT IN (SELECT doc_id FROM documents)",
+)
+def missing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.missing_ids(_questions(spark, sf_dir), "id", "ids", _docs(spark, sf_dir), "doc_id")
+
+
+def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("doc_id"), F.col("doc_id") + 2))
+    return _docs(spark, sf_dir).where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), ids.alias("mapped_relevant_chunk_ids"))
+
+
+SKIP_SQL = f"""WITH {QUESTION_SQL}, r AS (SELECT q.*, d.doc_id AS known FROM q LEFT JOIN documents d ON d.doc_id = q.id AND d.doc_id % 5 <> 0),
+s AS (SELECT *, CASE WHEN known IS NULL THEN 'not in mapping' WHEN id % 3 = 0 THEN 'no mapped chunks' END AS skip_reason FROM r)"""
+
+
+@query("mapping_skip_report", SKIP_SQL + " SELECT coalesce(skip_reason, 'evaluated') AS outcome, count(*) AS n FROM s GROUP BY 1")
+def mapping_skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.with_skip_reason(_questions(spark, sf_dir), _mapping(spark, sf_dir))
+    return rows.groupBy(F.coalesce("skip_reason", F.lit("evaluated")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "mapping_overlay",
+    SKIP_SQL
+    + """ SELECT id, array_to_string(CASE WHEN known IS NULL THEN ids WHEN id % 3 = 0 THEN [] ELSE [id, id + 2] END, ',') AS relevant, array_to_string(ids, ',') AS original FROM s""",
+)
+def mapping_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = overlap.overlaid(_questions(spark, sf_dir).withColumnRenamed("ids", "relevant_chunk_ids"), _mapping(spark, sf_dir))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("id", joined("relevant_chunk_ids").alias("relevant"), joined("original_relevant_chunk_ids").alias("original"))
+
+
+@query(
+    "unmapped_rows",
+    MAPPING_SQL + ", m AS (SELECT DISTINCT source_id FROM p WHERE o >= 0.52) SELECT DISTINCT source_id AS id FROM p WHERE source_id NOT IN (SELECT source_id FROM m)",
+)
+def unmapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large chunks that no small chunk of their document stands for."""
+    source, target = _chunkings(spark, sf_dir)
+    questions = source.select(F.col("chunk_id").alias("id"), F.array("chunk_id").alias("relevant_chunk_ids"))
+    mapped = overlap.mapping_of_questions(questions, overlap.overlap_mapping(source, target))
+    return mapped.where(F.size("mapped_relevant_chunk_ids") == 0).select("id")
+
+
+@query("used_ids", f"WITH {QUESTION_SQL} SELECT DISTINCT unnest(ids) AS chunk_id FROM q")
+def used_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select(F.explode("ids").alias("chunk_id")).distinct()
+
+
+@query("resume_antijoin", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.resumed(_docs(spark, sf_dir).select("doc_id"), _table(spark, sf_dir, "labels"), "doc_id")
+
+
+WANTED = [3, 70, 123456789]
+
+
+@query("id_lookup", f"SELECT w.doc_id, d.source, d.doc_id IS NOT NULL AS found FROM (SELECT unnest({WANTED})::BIGINT AS doc_id) w LEFT JOIN documents d USING (doc_id)")
+def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.createDataFrame([(i,) for i in WANTED], "doc_id bigint")
+    return lookup.spot_lookup(ids, _docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+
+
+@query(
+    "max_index_by_prefix",
+    """WITH i AS (SELECT 'q_' || coalesce(lang, 'x') || '_' || CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE printf('%03d', doc_id) END AS id FROM documents)
+    SELECT 'q_en' AS prefix, coalesce(max(try_cast(string_split(id, '_')[-1] AS INT)), 0) AS last_index FROM i WHERE id LIKE 'q\\_en%' ESCAPE '\\'
+    UNION ALL SELECT 'q_zz', coalesce(max(try_cast(string_split(id, '_')[-1] AS INT)), 0) FROM i WHERE id LIKE 'q\\_zz%' ESCAPE '\\'""",
+)
+def max_index_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = replies.question_id(F.coalesce("lang", F.lit("x")), F.col("doc_id"))
+    odd = F.concat(F.lit("q_"), F.coalesce("lang", F.lit("x")), F.lit("_x"))
+    ids = _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 11 == 0, odd).otherwise(made).alias("id"))
+    one = lambda p: lookup.last_index(ids, "id", p).select(F.lit(p).alias("prefix"), "last_index")
+    return one("q_en").unionByName(one("q_zz"))
+
+
+@query("multi_row_groups", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) >= 2")
+def multi_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.groups_of_at_least(_table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query(
+    "set_ops",
+    """SELECT 'both' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+    UNION ALL SELECT 'only_documents', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+    UNION ALL SELECT 'bag', (SELECT count(*) FROM documents) + (SELECT count(*) FROM labels)
+    UNION ALL SELECT 'set', count(*) FROM (SELECT lang FROM documents UNION SELECT role FROM conversations)
+    UNION ALL SELECT 'docs_per_category', count(*) FROM (SELECT DISTINCT lang, doc_id FROM documents)""",
+)
+def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, l = _docs(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id")  # noqa: E741
+    ids = d.select("doc_id")
+    c = _table(spark, sf_dir, "conversations")
+    sets = {
+        "both": ids.intersect(l),
+        "only_documents": ids.subtract(l),
+        "bag": ids.unionByName(l),
+        "set": d.select("lang").union(c.select("role")).distinct(),
+        "docs_per_category": d.select("lang", "doc_id").distinct(),
+    }
+    out = None
+    for kind, rows in sets.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- samples
+
+
+def _sql_order(seed: int, c: str) -> str:
+    return f"md5('{seed}:' || CAST({c} AS VARCHAR)), {c}"
+
+
+@query(
+    "stratified_sample",
+    f"""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_sql_order(42, "doc_id")}) AS k FROM documents),
+    c AS (SELECT greatest(1, 70 // count(DISTINCT source)) AS quota FROM documents)
+    SELECT doc_id, source FROM (SELECT r.* FROM r, c ORDER BY CASE WHEN k <= quota THEN 0 ELSE 1 END, {_sql_order(42, "doc_id")} LIMIT 70)""",
+)
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """70 documents with an even share of each source, as the evaluation set takes them."""
+    return sampling.sample_stratified(_docs(spark, sf_dir).select("doc_id", "source"), 70, 42, "doc_id", "source")
+
+
+@query(
+    "stratified_sample_exclude",
+    f"""WITH d AS (SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+    r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_sql_order(7, "doc_id")}) AS k FROM d),
+    c AS (SELECT greatest(1, 25 // count(DISTINCT source)) AS quota FROM d)
+    SELECT doc_id, source FROM (SELECT r.* FROM r, c ORDER BY CASE WHEN k <= quota THEN 0 ELSE 1 END, {_sql_order(7, "doc_id")} LIMIT 25)""",
+)
+def stratified_sample_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = lookup.resumed(_docs(spark, sf_dir).select("doc_id", "source"), _table(spark, sf_dir, "labels"), "doc_id")
+    return sampling.sample_stratified(rest, 25, 7, "doc_id", "source")
+
+
+@query(
+    "pair_sample",
+    f"""WITH t AS (SELECT role AS first_role, conv_id, turn FROM conversations WHERE turn IS NOT NULL),
+    r AS (SELECT conv_id, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY {_sql_order(42, "(conv_id * 1000 + turn)")}) AS k FROM t),
+    p AS (SELECT conv_id % 4 AS category, conv_id, max(CASE WHEN k = 1 THEN id END) AS first_id, max(CASE WHEN k = 2 THEN id END) AS second_id FROM r WHERE k <= 2 GROUP BY ALL),
+    g AS (SELECT * FROM p WHERE second_id IS NOT NULL),
+    c AS (SELECT greatest(1, 25 // count(DISTINCT category)) AS quota FROM g),
+    n AS (SELECT g.*, row_number() OVER (PARTITION BY category ORDER BY {_sql_order(42, "conv_id")}) AS k FROM g)
+    SELECT category, conv_id, first_id, second_id FROM (SELECT n.* FROM n, c WHERE k <= quota ORDER BY {_sql_order(42, "conv_id")} LIMIT 25)""",
+)
+def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns each of conversations with at least two, an even share of each category."""
+    t = _table(spark, sf_dir, "conversations").where("turn IS NOT NULL")
+    rows = t.select((F.col("conv_id") % 4).alias("category"), "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return sampling.sample_pairs(rows, 25, 42, "id", "conv_id", "category")
+
+
+@query(
+    "sample_per_type",
+    f"""SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_sql_order(42, "event_id")}) AS k FROM events) WHERE k <= 15""",
+)
+def sample_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15 results of each type for manual review."""
+    return sampling.sample_per_group(_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 15, 42, "event_id")
+
+
+@query(
+    "dedupe_first_wins",
+    f"""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(lower({_sql_strip("coalesce(text, '')")})) ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1""",
+)
+def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document of each text, the first by category."""
+    rows = _docs(spark, sf_dir).select("doc_id", "source", F.md5(F.lower(text.text_or_empty(F.col("text")))).alias("t"))
+    return quality.first_wins(rows, F.col("t"), F.col("source"), F.col("doc_id")).select("doc_id", "source")
+
+
+@query("category_cap", "SELECT page_id, host FROM (SELECT page_id, split_part(url, '/', 3) AS host, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS k FROM pages) WHERE k <= 3")
+def category_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three pages of each host."""
+    p = _table(spark, sf_dir, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"))
+    return quality.capped(p, "host", 3, F.col("page_id"))
+
+
+# ---- reports over a log of results (events) and graded documents
+
+ERRORS = ["NONE", "HALLUCINATION", "OMISSION"]
+RESULT_SQL = f"""e AS (SELECT event_id, event_type AS type, value AS recall_at_k, value * value AS ap, CASE WHEN event_id % 5 <> 0 THEN value / 7 END AS lat,
+  event_id % 7 <> 0 AS judged, CASE WHEN event_id % 4 <> 0 THEN CAST(1 + event_id % 5 AS DOUBLE) END AS acc, CAST(1 + user_id % 5 AS DOUBLE) AS rel,
+  CASE WHEN event_id % 13 <> 0 THEN CASE event_id % 3 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ERRORS))} END END AS err FROM events)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    error = F.when(i % 13 != 0, F.element_at(F.array(*[F.lit(x) for x in ERRORS]), (i % 3 + 1).cast("int")))
+    scores = F.struct(
+        F.when(i % 4 != 0, (1 + i % 5).cast("double")).alias("accuracy"), (1 + F.col("user_id") % 5).cast("double").alias("relevance"), error.alias("error_type")
+    )
+    return _table(spark, sf_dir, "events").select(
+        i.alias("id"), F.col("event_type").alias("type"), F.col("value").alias("recall_at_k"), (F.col("value") * F.col("value")).alias("ap"),
+        F.when(i % 5 != 0, F.col("value") / 7).alias("latency_seconds"), F.when(i % 7 != 0, scores).alias("judge_scores"),
+    )
+
+
+def _metrics_sql(judged_only: bool, zero: bool) -> str:
+    lat = "coalesce(avg(coalesce(lat, 0)), 0)" if zero else "coalesce(avg(lat), 0)"
+    of = lambda c: f"coalesce(CASE WHEN grouping(type) = 1 OR NOT {judged_only} THEN avg({c}) ELSE avg(CASE WHEN judged THEN {c} END) END, 0)"
+    return f"""WITH {RESULT_SQL} SELECT type, count(*) AS n, count(*) FILTER (NOT judged) AS n_skipped, round({of("recall_at_k")}, 6) AS recall_at_k, round({of("ap")}, 6) AS ap,
+    round(coalesce(avg(CASE WHEN judged THEN coalesce(acc, 0) END), 0), 6) AS accuracy, round(coalesce(avg(CASE WHEN judged THEN rel END), 0), 6) AS relevance,
+    round({lat}, 6) AS avg_latency_seconds FROM e GROUP BY ROLLUP (type)"""
+
+
+def _metrics(rows: DataFrame, **more) -> DataFrame:
+    out = reports.metrics_by_type(rows, ["recall_at_k", "ap"], ["accuracy", "relevance"], **more)
+    return out.withColumns({c: F.round(c, 6) for c in ("recall_at_k", "ap", "accuracy", "relevance", "avg_latency_seconds")})
+
+
+@query("metrics_overall_by_type", _metrics_sql(False, False))
+def metrics_overall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(_results(spark, sf_dir))
+
+
+@query("metrics_judged_only", _metrics_sql(True, True))
+def metrics_judged_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(_results(spark, sf_dir), judged_only=True, missing_latency_is_zero=True)
+
+
+@query(
+    "error_distribution",
+    f"""WITH {RESULT_SQL}, c AS (SELECT coalesce(err, 'UNKNOWN') AS error_type, count(*) AS n FROM e WHERE judged GROUP BY 1)
+    SELECT error_type, n, CAST(row_number() OVER (ORDER BY CASE error_type {" ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(replies.ERROR_TYPES))} ELSE 99 END, error_type) AS INT) AS place FROM c""",
+)
+def error_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.error_distribution(_results(spark, sf_dir), "UNKNOWN")
+
+
+@query(
+    "type_summary",
+    f"WITH {RESULT_SQL} SELECT type, count(*) AS n, round(avg(recall_at_k), 6) AS recall_at_k, round(coalesce(avg(CASE WHEN judged THEN rel END), 0), 6) AS relevance FROM e GROUP BY type",
+)
+def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _results(spark, sf_dir).groupBy("type")
+    return r.agg(F.count(F.lit(1)).alias("n"), F.round(reports.mean(F.col("recall_at_k")), 6).alias("recall_at_k"), F.round(reports.mean(F.col("judge_scores.relevance")), 6).alias("relevance"))
+
+
+GRADED_SQL = """g AS (SELECT d.doc_id, source AS name, lang AS type, CAST(quality AS DOUBLE) AS mq, CAST(1 - toxic AS DOUBLE) AS mt,
+  CAST(d.n_chars % 2 AS DOUBLE) AS jq, CAST((d.n_chars // 2) % 2 AS DOUBLE) AS jt, l.doc_id IS NOT NULL AS man, d.doc_id % 9 <> 0 AS jud FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+AGREEMENT_SQL = f"""WITH {GRADED_SQL}, x AS (SELECT name, type, 'accuracy' AS dim, mq AS m, jq AS j FROM g WHERE man AND jud UNION ALL SELECT name, type, 'relevance', mt, jt FROM g WHERE man AND jud),
+a AS (SELECT name, type, dim, avg(m) AS manual, avg(j) AS judge, count(*) AS n FROM x GROUP BY GROUPING SETS ((name, dim), (name, type, dim)))"""
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select("doc_id", "source", "lang", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    manual = F.struct(F.col("quality").cast("double").alias("accuracy"), (1 - F.col("toxic")).cast("double").alias("relevance"))
+    judge = F.struct((F.col("n_chars") % 2).cast("double").alias("accuracy"), (F.floor(F.col("n_chars") / 2) % 2).cast("double").alias("relevance"))
+    return d.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("lang").alias("type"),
+        F.when(F.col("quality").isNotNull(), manual).alias("manual_scores"), F.when(F.col("doc_id") % 9 != 0, judge).alias("judge_scores"),
+    )
+
+
+@query("grader_agreement", AGREEMENT_SQL + " SELECT name, type, dim, round(manual, 6) AS manual, round(judge, 6) AS judge, round(judge - manual, 6) AS diff_judge_minus_manual, n FROM a")
+def grader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = reports.grader_agreement(_graded(spark, sf_dir), ["accuracy", "relevance"])
+    return a.withColumns({c: F.round(c, 6) for c in ("manual", "judge", "diff_judge_minus_manual")})
+
+
+@query(
+    "config_ranking",
+    AGREEMENT_SQL
+    + """, t AS (SELECT name, avg(manual) AS manual_avg, avg(judge) AS judge_avg FROM a WHERE type IS NULL GROUP BY name)
+    SELECT name, round(manual_avg, 6) AS manual_avg, round(judge_avg, 6) AS judge_avg, CAST(row_number() OVER (ORDER BY round(manual_avg, 9) DESC, name) AS INT) AS rank FROM t""",
+)
+def config_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reports.config_ranking(reports.grader_agreement(_graded(spark, sf_dir), ["accuracy", "relevance"]))
+    return r.select("name", F.round("manual_avg", 6).alias("manual_avg"), F.round("judge_avg", 6).alias("judge_avg"), "rank")
+
+
+@query(
+    "counts_by_type_category",
+    """SELECT coalesce(role, 'unknown') AS type, conv_id % 3 AS category, count(*) AS n FROM conversations GROUP BY ALL""",
+)
+def counts_by_type_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").withColumn("categories", F.array("role"))
+    first = F.coalesce(F.get("categories", F.lit(0)), F.lit("unknown"))
+    return reports.counts_by(c, first.alias("type"), (F.col("conv_id") % 3).alias("category"))
+
+
+# ---- prompts and replies
+
+
+@query(
+    "prompt_context",
+    """SELECT conv_id, md5(string_agg('[' || k || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY k)) AS context, count(*) AS n
+    FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations) GROUP BY conv_id""",
+)
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of each conversation as numbered passages."""
+    item = F.struct("turn", F.col("role").alias("title"), "text")
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("hits"))
+    return c.select("conv_id", F.md5(replies.prompt_context(F.col("hits"))).alias("context"), F.size("hits").cast("bigint").alias("n"))
+
+
+@query(
+    "parse_judge_json",
+    """SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN TRY_CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 4 IN (0, 1) AS parsed FROM events""",
+)
+def parse_judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that are bare or fenced JSON, cut short, or a list."""
+    p, i = F.col("props"), F.col("event_id") % 4
+    reply = (
+        F.when(i == 0, p).when(i == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(i == 2, F.substr(p, F.lit(1), F.length(p) - 1)).otherwise(F.concat(F.lit("["), p, F.lit("]")))
+    )
+    e = _table(spark, sf_dir, "events").select("event_id", replies.json_object(reply, "k bigint").alias("s"))
+    return e.select("event_id", "s.k", F.col("s").isNotNull().alias("parsed"))
+
+
+ENTRIES = ["3", "4,5", " 2.5 ", "0", "6", "x", "5"]
+
+
+@query(
+    "score_parse",
+    f"""WITH v(entry) AS (SELECT unnest({ENTRIES})), n AS (SELECT entry, TRY_CAST(replace(trim(entry), ',', '.') AS DOUBLE) AS x FROM v)
+    SELECT entry, CASE WHEN x BETWEEN 1 AND 5 THEN x END AS score, t.event_type, t.n,
+      CASE t.c WHEN 0 THEN 'NONE' WHEN 1 THEN 'HALLUCINATION' WHEN 2 THEN 'MISATTRIBUTION' WHEN 3 THEN 'OMISSION' WHEN 4 THEN 'RETRIEVAL_FAIL' END AS error_name
+    FROM n, (SELECT event_type, count(*) AS n, CAST(count(*) % 7 AS INT) AS c FROM events GROUP BY event_type) t""",
+)
+def score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed scores and error codes of a reviewer."""
+    entries = spark.createDataFrame([(e,) for e in ENTRIES], "entry string")
+    types = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    code = replies.error_name((F.col("n") % 7).cast("int"))
+    return types.crossJoin(F.broadcast(entries)).select("entry", replies.parse_score(F.col("entry")).alias("score"), "event_type", "n", code.alias("error_name"))
