@@ -45,7 +45,7 @@ def term_weights(index: Index) -> DataFrame:
 def bm25_topk(index: Index, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """``query_id, id, bm25_score, bm25_rank``; ``queries`` has query_id and text. Documents without a common term fill up with 0.
 
-    Fillers are the first documents in order of id; at most k of them are looked at for each query.
+    Fillers are the first documents in order of id.
     """
     wanted = queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = wanted.join(term_weights(index), "term")
@@ -59,7 +59,13 @@ def bm25_topk(index: Index, queries: DataFrame, k: int = 10, digits: int = 6) ->
         .agg(F.round(F.sum(gain), digits).alias("bm25_score"))
     )
     best = top_k(scores, "query_id", k, "bm25_rank", F.desc("bm25_score"), F.col("id"))
-    first = index.ids.orderBy("id").limit(2 * k)  # enough for k fillers beside k matches
-    filler = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    both = best.drop("bm25_rank").unionByName(filler.withColumn("bm25_score", F.lit(0.0)))
+    # Only queries with fewer than k good matches need fillers, of which k are among the first k + their matches ids.
+    found = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bm25_score") > 0).alias("good"))
+    short = queries.select("query_id").distinct().join(found, "query_id", "left").where(F.coalesce("good", F.lit(0)) < k)
+    most = short.agg(F.max(F.coalesce("n", F.lit(0))).alias("n"), F.count(F.lit(1)).alias("q")).first()
+    if not most.q:
+        return best
+    first = index.ids.orderBy("id").limit(k + most.n)
+    filler = first.crossJoin(F.broadcast(short.select("query_id"))).join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    both = best.drop("bm25_rank").unionByName(filler.select("query_id", "id").withColumn("bm25_score", F.lit(0.0)))
     return top_k(both, "query_id", k, "bm25_rank", F.desc("bm25_score"), F.col("id"))
