@@ -6,7 +6,8 @@
 2. Document rates r >= 0 minimise the squared distance between the expected domain totals sum(r * tokens * posterior) and the
    targets, by accelerated projected gradient from rate 1, with the step that the Gram matrix of the posteriors allows. A
    rate depends on its document's posteriors and the short list of gradients only, so that no round writes anything: each
-   one is a sum over a narrow table, of which as many numbers as there are domains reach the driver.
+   one is a sum over a narrow table, of which as many numbers as there are domains reach the driver. Rounds end when the gap
+   is below ``TOLERANCE`` or has all but stopped to shrink.
 
 Edge cases: null and empty texts have no words, the prior as posterior, and rate as any other; labelled rows without id or
 domain are not learned from; without labelled rows all domains are equally likely; a domain that no document can supply keeps
@@ -154,7 +155,7 @@ def solve_rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tol
         gap = [s - x for s, x in zip(shares(True), targets)]
         error = math.sqrt(sum(g * g for g in gap))
         errors.append(error)
-        if history and (error < tolerance or len(errors) > 8 and min(errors[-4:]) > 0.99 * min(errors[:-4])):
+        if history and (error < tolerance or len(errors) > 8 and min(errors[-4:]) > 0.995 * min(errors[:-4])):
             break
         b = (1 + math.sqrt(1 + 4 * a * a)) / 2
         history.append([step * g for g in gap])
