@@ -1,12 +1,12 @@
 """Mixing to target weights with soft domain membership, in DataFrame operations only.
 
 1. A labelled table gives domains. From at most ``SAMPLE`` labelled rows (those with the smallest hashes of their ids) the
-   words (and levels of marks, capitals and repetition) whose presence departs from a domain's share by ``SIGNAL`` standard errors are taken, at most ``FEATURES`` of them;
+   words (and levels of letters, shouting and repetition) whose presence departs from a domain's share by ``SIGNAL`` standard errors are taken, at most ``FEATURES`` of them;
    their presence gives every document a posterior chance of each domain (naive Bayes).
 2. Document rates r >= 0 minimise the squared distance between the expected domain totals sum(r * tokens * posterior) and the
    targets, by accelerated projected gradient from rate 1, with the step that the Gram matrix of the posteriors allows. A
-   rate depends on its document's posteriors and the short list of gradients only, so that no round writes anything: each
-   one is a sum over a narrow table, of which as many numbers as there are domains reach the driver. Rounds end when the gap
+   rate depends on its document's posteriors and the short list of gradients only, so that documents are summed by their
+   posteriors first; each round is a sum over that table, of which as many numbers as there are domains reach the driver. Rounds end when the gap
    is below ``TOLERANCE`` or has all but stopped to shrink.
 
 Edge cases: null and empty texts have no words, the prior as posterior, and rate as any other; labelled rows without id or
@@ -30,8 +30,9 @@ SIGNAL = 5.0
 LIFT = 2.0
 SHRINK = 5.0  # documents without opinion that each word's counts are joined by
 ROUNDS = 60
+SAVE = 8
 TOLERANCE = 1e-4
-NOT_LETTERS = r"[^\p{L}]+"
+NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Domains by label class and the shares of tokens that the query and the pipeline aim at.
 TARGETS = {"good": 0.88, "poor": 0.05, "toxic": 0.01}
 
@@ -40,18 +41,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_LETTERS), "")
 
 
-def signs_of(text: Column, words: Column) -> Column:
-    """Words that stand for the levels of marks, capitals and repetition; no text has them as words."""
-    size = F.greatest(F.char_length(text), F.lit(1))
-    share = lambda chars: F.floor(10 * (size - F.char_length(F.translate(text, chars, ""))) / size)
-    distinct = F.floor(10 * F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))
-    return F.array(
-        F.concat(F.lit("1 "), share("#$%&*|!<>{}[]=@^~_")), F.concat(F.lit("2 "), share(UPPER)), F.concat(F.lit("3 "), distinct)
-    )
+def features_of(text: Column, words: str, distinct: str) -> Column:
+    """The distinct words and three that no text has as words, for the share of letters, shouting and repetition."""
+    size = F.greatest(F.char_length(F.coalesce(text, F.lit(""))), F.lit(1))
+    letters = F.floor(10 * F.char_length(F.array_join(words, "")) / size)
+    varied = F.floor(10 * F.size(distinct) / F.greatest(F.size(words), F.lit(1)))
+    shouts = F.coalesce(text, F.lit("")).rlike("[A-Z]{4}").cast("string")
+    return F.concat(F.col(distinct), F.array(F.concat(F.lit("1 "), letters), F.concat(F.lit("2 "), shouts), F.concat(F.lit("3 "), varied)))
 
 
-def features_of(text: Column, words: Column) -> Column:
-    return F.concat(words, signs_of(F.coalesce(text, F.lit("")), words))
+def with_features(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_w``, ``_d`` and ``_f``: words, distinct words and features of the text."""
+    rows = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_d", F.array_distinct("_w"))
+    return rows.withColumn("_f", features_of(F.col("text"), "_w", "_d"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -63,15 +65,16 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def train_domains(docs: DataFrame, domains: DataFrame, names: list[str], sample: int = SAMPLE) -> tuple[list[float], dict[str, list[float]]]:
     """Log chances of texts without any chosen word and, for each such word, how it moves them (shrunk to nothing)."""
     chosen = domains.where(F.col("doc_id").isNotNull() & F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("w", words_of(F.col("text")))
-    labelled = labelled.select("domain", features_of(F.col("text"), F.col("w")).alias("w"))
+    # Written, or the engine would look for features in all documents before it joins.
+    found = Scratch(docs.sparkSession, "domains").write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text"))
+    labelled = with_features(found).select("domain", F.col("_f").alias("w"))
     sizes = {r.domain: r.n for r in labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [sizes.get(d, 0) for d in names]
     total = sum(n)
     prior = [math.log((x + 1) / (total + len(names))) for x in n]
     if not total:
         return prior, {}
-    each = labelled.select("domain", F.explode(F.array_distinct("w")).alias("word"))
+    each = labelled.select("domain", F.explode("w").alias("word"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)])
 
     def departs(i: int) -> Column:
@@ -108,28 +111,34 @@ def posteriors(words: Column, prior: list[float], features: dict[str, list[float
     return F.transform(F.array(top(logits)), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))[0]
 
 
-def _rate(history: list[list[float]], momentum: list[float], ahead: bool) -> Column:
-    """The rate after all rounds, or the point ahead of it where the next gradient is taken."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def _rate(history: list[list[float]], momentum: list[float], r: Column, y: Column) -> Column:
+    """The rate ``r`` and the point ``y`` ahead of it, where the next gradient is taken, after the rounds of ``history``."""
+    state = F.struct(r.alias("r"), y.alias("y"))
     if not history:
-        return F.lit(1.0)
+        return state
     d = len(history[0])
     rounds = F.array(*[F.array(*[F.lit(float(x)) for x in [*g, m]]) for g, m in zip(history, momentum)])
 
     def step(s: Column, g: Column) -> Column:
         move = sum((g[i] * F.col("_post")[i] for i in range(1, d)), g[0] * F.col("_post")[0])
-        r = F.greatest(F.lit(0.0), s["y"] - move)
-        return F.struct(r.alias("r"), (r + g[d] * (r - s["r"])).alias("y"))
+        new = F.greatest(F.lit(0.0), s["y"] - move)
+        return F.struct(new.alias("r"), (new + g[d] * (new - s["r"])).alias("y"))
 
-    done = F.aggregate(rounds, start, step)
-    return done["y"] if ahead else done["r"]
+    return F.aggregate(rounds, state, step)
 
 
 def solve_rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """The rate as a function of ``_post``, and the shares reached. ``rows`` has _tokens and _post; targets are shares of all tokens."""
+    """The rate as a function of ``_post``, and the shares reached. ``rows`` has _tokens and _post; targets are shares of all tokens.
+
+    Documents with the same posteriors have the same rate and are summed first. The state of the rounds is written every
+    ``SAVE`` rounds, so that a round's work does not grow with their number.
+    """
     d = len(targets)
-    t = F.col("_tokens").cast("double")
-    gram = rows.agg(
+    scratch = Scratch(rows.sparkSession, "rates")
+    grouped = rows.groupBy("_post").agg(F.sum(F.col("_tokens").cast("double")).alias("_t"))
+    state = scratch.write(grouped.withColumns({"_r": F.lit(1.0), "_y": F.lit(1.0)}))
+    t = F.col("_t")
+    gram = state.agg(
         F.sum(t).alias("n"), *[F.sum(t * F.col("_post")[i] * F.col("_post")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
     ).first()
     if not gram.n:
@@ -141,18 +150,22 @@ def solve_rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tol
         top = max(math.sqrt(sum(x * x for x in w)), 1e-12)
         v = [x / top for x in w]
     step = 1.0 / (1.05 * top)
+    history: list[list[float]] = []
+    momentum: list[float] = []
+    saved = 0
 
-    def shares(ahead: bool) -> list[float]:
-        r = _rate(history, momentum, ahead)
-        got = rows.select(t.alias("t"), r.alias("r"), "_post").agg(*[F.sum(F.col("t") * F.col("r") * F.col("_post")[i]).alias(f"s{i}") for i in range(d)]).first()
+    def now() -> Column:
+        return _rate(history[saved:], momentum[saved:], F.col("_r"), F.col("_y"))
+
+    def shares(at: str) -> list[float]:
+        r = state.select("_t", "_post", now().getField(at).alias("x"))
+        got = r.agg(*[F.sum(F.col("_t") * F.col("x") * F.col("_post")[i]).alias(f"s{i}") for i in range(d)]).first()
         return [x / gram.n for x in got]
 
-    history: list[list[float]] = []
-    momentum: list[float] = []
     errors: list[float] = []
     a = 1.0
     for _ in range(rounds):
-        gap = [s - x for s, x in zip(shares(True), targets)]
+        gap = [s - x for s, x in zip(shares("y"), targets)]
         error = math.sqrt(sum(g * g for g in gap))
         errors.append(error)
         if history and (error < tolerance or len(errors) > 8 and min(errors[-4:]) > 0.995 * min(errors[:-4])):
@@ -161,7 +174,10 @@ def solve_rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tol
         history.append([step * g for g in gap])
         momentum.append((a - 1) / b)
         a = b
-    return _rate(history, momentum, False), shares(False)
+        if len(history) - saved >= SAVE:
+            state = scratch.write(state.select("_post", "_t", now().alias("_s")).select("_post", "_t", "_s.r", "_s.y").toDF("_post", "_t", "_r", "_y"))
+            saved = len(history)
+    return _rate(history, momentum, F.lit(1.0), F.lit(1.0)).getField("r"), shares("r")
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], budget: float = 1.0, keep: list[str] | None = None) -> DataFrame:
@@ -174,9 +190,10 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], budget:
     prior, features = train_domains(docs, domains, names)
     keep = docs.columns if keep is None else keep
     scratch = Scratch(docs.sparkSession, "mixing")
-    words = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), "text", words_of(F.col("text")).alias("_w"))
-    seen = words.select("_row", F.xxhash64("_row").alias("_u"), F.size("_w").cast("bigint").alias("_tokens"), features_of(F.col("text"), F.col("_w")).alias("_f"))
-    rows = seen.select("_row", "_u", "_tokens", posteriors(F.col("_f"), prior, features).alias("_post"))
+    seen = with_features(docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), "text"))
+    rows = seen.select(
+        "_row", F.xxhash64("_row").alias("_u"), F.size("_w").cast("bigint").alias("_tokens"), posteriors(F.col("_f"), prior, features).alias("_post")
+    )
     rows = scratch.write(rows)
     rate, _ = solve_rates(rows.select("_tokens", "_post"), [budget * targets[d] for d in names])
     u = F.pmod("_u", F.lit(1 << 40)) / F.lit(float(1 << 40))
