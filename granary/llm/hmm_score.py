@@ -32,7 +32,7 @@ HEAD = 16_384
 ROUNDS = 8
 SEGMENT = 512
 LONG = 16_384  # tokens from which a text is scored in pieces
-END = "\n"  # cannot be a word
+END = b"\n"  # cannot be a word
 PRIOR = 20.0  # expected counts of a state's emissions that follow the unigram shares
 FLUSH = 300_000
 
@@ -77,24 +77,23 @@ class Packed:
         self.symbol[np.array(self.first)[step] + row] = flat
 
 
-def forward(model: Model, p: Packed, prior: np.ndarray):
-    """Scaled forward values and scales of all steps; ``prior`` has each sequence's chances of its first state, in packed order."""
-    seen = model.emit[p.symbol]
-    scale = np.empty(len(seen))
-    a = prior * seen[: p.running[0]]
+def forward(model: Model, p: Packed, prior: np.ndarray, seen: np.ndarray | None = None):
+    """Scaled forward values and scales of all steps; ``prior`` has each sequence's chances of its first state, in packed order.
+
+    ``seen``, the emissions of all symbols, is computed where it is not given, and kept where it is.
+    """
+    alpha = model.emit[p.symbol] if seen is None else seen.copy()
+    scale = np.empty(len(alpha), alpha.dtype)
+    ones = np.ones(alpha.shape[1], alpha.dtype)
+    a = prior
     for t, n in enumerate(p.running):
         lo = p.first[t]
-        now = seen[lo : lo + n]
-        if t:
-            np.multiply(now, a[:n] @ model.move, out=now)
-            a = now
-        else:
-            now[:] = a
-            a = now
-        s = a.sum(axis=1)
-        scale[lo : lo + n] = s
-        a /= s[:, None]
-    return seen, scale  # ``seen`` now holds the forward values
+        now = alpha[lo : lo + n]
+        now *= a[:n] @ model.move if t else a
+        s = np.matmul(now, ones, out=scale[lo : lo + n])
+        now /= s[:, None]
+        a = now
+    return alpha, scale
 
 
 def log_likelihoods(p: Packed, scale: np.ndarray) -> np.ndarray:
@@ -107,25 +106,31 @@ def expected_counts(model: Model, sequences: list[np.ndarray], later: np.ndarray
     """Baum-Welch counts (start, move, emit) and log10 likelihood; ``later`` marks pieces that do not start a text."""
     p = Packed(sequences)
     kind = later[p.order].astype(np.int64)
-    alpha, scale = forward(model, p, model.start[kind])
+    # Single precision is enough for counts, which are then summed in double; scores are computed in double throughout.
+    half = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    seen = half.emit[p.symbol]
+    alpha, scale = forward(half, p, half.start[kind], seen)
     states = model.move.shape[0]
     move = np.zeros((states, states))
-    gamma = alpha.copy()
-    back = np.ones((p.running[0], states))
-    steps = len(p.running)
-    for t in range(steps - 1, 0, -1):
-        n, lo, before = p.running[t], p.first[t], p.first[t - 1]
-        gamma[lo : lo + n] *= back[:n]
-        weighed = model.emit[p.symbol[lo : lo + n]] * back[:n]
-        weighed /= scale[lo : lo + n, None]
-        move += alpha[before : before + n].T @ weighed
-        back = np.ones((p.running[t - 1], states))
-        back[:n] = weighed @ model.move.T
-    gamma[: p.running[0]] *= back
+    seen /= scale[:, None]
+    gamma = np.empty_like(alpha)
+    back = np.ones((p.running[-1], states), np.float32)
+    turned = np.ascontiguousarray(half.move.T)
+    for t in range(len(p.running) - 1, -1, -1):
+        n, lo = p.running[t], p.first[t]
+        np.multiply(alpha[lo : lo + n], back, out=gamma[lo : lo + n])
+        if t:
+            before, more = p.first[t - 1], p.running[t - 1]
+            weighed = seen[lo : lo + n]
+            weighed *= back
+            move += alpha[before : before + n].T @ weighed
+            back = weighed @ turned
+            if more > n:  # sequences that end one step before
+                back = np.concatenate((back, np.ones((more - n, states), np.float32)))
     move *= model.move
-    start = np.stack([gamma[: p.running[0]][kind == k].sum(axis=0) for k in (0, 1)])
-    emit = np.stack([np.bincount(p.symbol, gamma[:, s], len(model.emit)) for s in range(states)], axis=1)
-    return start, move, emit, float(np.log10(scale).sum())
+    start = np.stack([gamma[: p.running[0]][kind == k].sum(axis=0, dtype=np.float64) for k in (0, 1)])
+    emit = np.stack([np.bincount(p.symbol, g, len(model.emit)) for g in np.ascontiguousarray(gamma.T)], axis=1)
+    return start, move, emit, float(np.log10(scale.astype(np.float64)).sum())
 
 
 def score(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -172,7 +177,7 @@ def _token_counts(texts: DataFrame) -> DataFrame:
         s, held = Shingler(1), Counter()
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
             held.clear()
             return out
 
@@ -185,23 +190,26 @@ def _token_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield rows()
 
-    return texts.select("text").mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _encoded(rows: DataFrame, head: dict[str, int], log_base: np.ndarray) -> DataFrame:
+def _encoded(rows: DataFrame, head: dict[bytes, int], log_base: np.ndarray) -> DataFrame:
     """Each text as symbols (2 bytes each) beside its tail words and the head's part of the base score."""
     shared = rows.sparkSession.sparkContext.broadcast((head, log_base))  # HEAD words at most
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
         head, log_base = shared.value
-        s, tail = Shingler(1), len(head)
+        s, tail, get = Shingler(1), len(head), head.get
         for batch in batches:
             symbols, words, counts, n, base, known = [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
-                found = [*s.words(text), END]
-                ids = np.array([head.get(w, tail) for w in found], np.uint16)
-                rest = Counter(w for w in found if w not in head)
+                found = s.words(text)
+                found.append(END)
+                times = Counter(found)
+                own = {w: get(w, tail) for w in times}
+                ids = np.fromiter(map(own.__getitem__, found), np.uint16, len(found))
+                rest = {w: c for w, c in times.items() if own[w] == tail}
                 symbols.append(ids.tobytes())
                 words.append(list(rest))
                 counts.append(list(rest.values()))
@@ -211,14 +219,14 @@ def _encoded(rows: DataFrame, head: dict[str, int], log_base: np.ndarray) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(symbols, pa.binary()), pa.array(base, pa.float64()),
-                    pa.array(known, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())),
+                    pa.array(known, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64())),
                 ],
                 names=["rid", "doc_id", "held_out", "n_tokens", "symbols", "base", "known", "words", "counts"],
             )
 
-    return rows.select("rid", "doc_id", "held_out", "text").mapInArrow(
+    return rows.select("rid", "doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(
         encode,
-        f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, symbols binary, base double, known bigint, words array<string>, counts array<bigint>",
+        f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, symbols binary, base double, known bigint, words array<binary>, counts array<bigint>",
     )
 
 
@@ -254,7 +262,7 @@ def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: i
                         for at in range(0, len(whole), SEGMENT):
                             yield whole[at : at + SEGMENT], at > 0
 
-            for group in _groups(pieces(), 250_000):
+            for group in _groups(pieces(), 500_000):
                 start, move, emit, _ = expected_counts(model, [s for s, _ in group], np.array([x for _, x in group]))
                 sums = [start, move, emit] if sums is None else [a + b for a, b in zip(sums, (start, move, emit))]
             if sums is not None:
@@ -283,12 +291,12 @@ def scores(docs: DataFrame, held_out, states: int = STATES, head: int = HEAD, ro
     top = vocabulary.orderBy(F.desc("c"), "word").limit(head).collect()
     symbols = {END: 0}
     for r in top:
-        symbols.setdefault(r.word, len(symbols))
+        symbols.setdefault(bytes(r.word), len(symbols))
     counts = np.zeros(len(symbols) + 1)
     for r in top:
-        counts[symbols[r.word]] = r.c
+        counts[symbols[bytes(r.word)]] = r.c
     if counts[0] == 0 and total.n:  # the end may be rarer than the head
-        counts[0] = vocabulary.where(F.col("word") == END).first().c
+        counts[0] = vocabulary.where(F.col("word") == F.lit(bytearray(END))).first().c
     tail_tokens, tail_words = int(total.n - counts.sum()), int(total.v - (counts[:-1] > 0).sum())
     log_base = np.log10((counts + 1) / (total.n + total.v + 1))
     log_base[-1] = 0.0  # added by the join

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, UPPER, Scratch, ship, table
+from granary.llm.common import Scratch, ship, table
 from granary.llm.graph import contract
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TO_LOWER = str.maketrans(UPPER, LOWER)
 SLOTS = 1 << 20
 ROWS, BANDS = 5, 30
 SALTS = 16
@@ -63,19 +60,20 @@ class Shingler:
     def __init__(self, size: int):
         self.size, self.known = size, {}
 
-    def words(self, text: str | None) -> list[str]:
+    def words(self, text: bytes | str | None) -> list[bytes]:
+        """Words in UTF-8. Lower-casing and splitting bytes concern ASCII letters and white space alone, which is what is wanted."""
         if not text:
             return []
-        return WORD.findall(text.lower() if text.isascii() else text.translate(TO_LOWER))
+        return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
 
-    def shingles(self, words: list[str]) -> np.ndarray:
+    def shingles(self, words: list[bytes]) -> np.ndarray:
         """Sorted hashes of the distinct shingles."""
         if not words:
             return np.empty(0, dtype=np.uint64)
         if len(self.known) > CACHE:
             self.known.clear()
         for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            self.known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = min(self.size, len(h))
         out = h[: len(h) - n + 1].copy()
@@ -120,7 +118,7 @@ def _profiled(docs: DataFrame, size: int) -> DataFrame:
                 words = s.words(text)
                 shingles = s.shingles(words)
                 sizes.append(len(shingles))
-                seqs.append(hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest() if words else None)
+                seqs.append(hashlib.md5(b" ".join(words)).digest() if words else None)
                 bands.append(s.bands(shingles) if words else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(seqs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
@@ -128,7 +126,7 @@ def _profiled(docs: DataFrame, size: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("raw"), "text")
+    rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("raw"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, raw binary, seq binary, n bigint, bands array<bigint>")
 
 
@@ -262,7 +260,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     wanted = nodes.join(labels.select("nid"), "nid").select("nid", "doc_id", "raw")
     texts = docs.withColumn("raw", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["raw"] == wanted["raw"]))
-    texts = scratch.write(texts.select("nid", "text").dropDuplicates(["nid"]))
+    texts = scratch.write(texts.select("nid", F.col("text").cast("binary").alias("text")).dropDuplicates(["nid"]))
 
     def link(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         links = _verified(pairs.distinct(), texts, shingle, percent)
