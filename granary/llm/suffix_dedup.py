@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from granary.llm.common import Scratch, ship, table
 
 SPAN, GRAM = 50, 25
-BLOCK = 8 << 20  # bytes of text in a block
-PART = 16 << 20  # bytes of text for each receiving group
+BLOCK = 4 << 20  # bytes of text in a block
+PART = 8 << 20  # bytes of text for each receiving group
 SLICE = 1 << 17  # windows hashed at a time
 RUNS = 16
 LAST = (1 << 63) - 1
