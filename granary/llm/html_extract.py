@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import ship, table
+from granary.llm.common import Scratch, ship, table
 
 SUPPORT = 3
 PAGE = "#page"
@@ -232,7 +232,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.xxhash64(F.col(id_col), F.col(url_col)).alias("_key"),
         F.col(html_col).alias("html"),
     )
-    joined = rows.join(templates(rows), "_host", "left").select("_row", "html", "_frame")
+    # The templates are written, so that the join may split a host with very many pages over tasks, or broadcast few templates.
+    frames = Scratch(pages.sparkSession, "templates").write(templates(rows))
+    joined = rows.join(frames, "_host", "left").select("_row", "html", "_frame")
 
     def read(batches):
         for batch in batches:
