@@ -84,17 +84,18 @@ class OrdinalModel:
         even = np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1))
         if not rows:
             return cls({}, even)
-        docs, total = Counter(), Counter()
-        for g, f in rows:
-            docs.update(f)
-            total.update(dict.fromkeys(f, g) if g else ())
         every = np.array([g for g, _ in rows], float)
         mean, spread = every.mean(), max(every.std(), 1e-9)
-        used = sorted(b for b, n in docs.items() if n >= MIN_DOCS and abs(total[b] / n - mean) * n**0.5 >= SIGNAL * spread)
-        place = {b: i for i, b in enumerate(used)}
-        found = [[place[b] for b in f if b in place] for _, f in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-        feature = np.array([i for f in found for i in f], np.int64)
+        flat = np.concatenate([np.asarray(f, np.int64) for _, f in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
+        n = np.bincount(flat, minlength=BUCKETS)
+        total = np.bincount(flat, every[owner], BUCKETS)
+        means = total / np.maximum(n, 1)
+        used = np.flatnonzero((n >= MIN_DOCS) & (np.abs(means - mean) * np.sqrt(n) >= SIGNAL * spread))
+        place = np.full(BUCKETS, -1)
+        place[used] = np.arange(len(used))
+        feature = place[flat]
+        owner, feature = owner[feature >= 0], feature[feature >= 0]
         grade = np.array([g for g, _ in rows], np.int64)
         share = np.clip([(grade >= k).mean() for k in range(1, grades)], 0.01, 0.99)
         # Thresholds as a first one and positive gaps keep their order.
@@ -122,7 +123,7 @@ class OrdinalModel:
             second += 0.001 * (slope * slope - second)
             theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
         b = np.concatenate(([theta[0]], theta[0] + np.cumsum(np.exp(theta[1 : grades - 1]))))
-        return cls(dict(zip(used, theta[grades - 1 :].tolist())), b)
+        return cls(dict(zip(used.tolist(), theta[grades - 1 :].tolist())), b)
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE) -> OrdinalModel:
@@ -138,14 +139,15 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
         f = Features()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([f.of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(2), pa.array([np.array(f.of(t), np.int32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
                 names=["grade", "doc_id", "features"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rated.withColumn("grade", F.col("grade").cast("int")).mapInArrow(featured, f"grade int, doc_id {kind}, features array<int>").collect()
+    rows = rated.withColumn("grade", F.col("grade").cast("int")).mapInArrow(featured, f"grade int, doc_id {kind}, features binary").collect()
     # In a fixed order, so that sums do not depend on which task came first.
-    return OrdinalModel.fit([(r.grade, r.features) for r in sorted(rows, key=lambda r: (r.doc_id, r.grade, r.features))], grades)
+    rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.features)))
+    return OrdinalModel.fit([(r.grade, np.frombuffer(r.features, np.int32)) for r in rows], grades)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", tail_grade: int | None = None, keep_at: float = 0.5) -> DataFrame:
