@@ -1,8 +1,8 @@
 """The corpus pipeline over documents: each stage works on all that the one before kept.
 
 Stages: language identification drops documents without a language; exact duplicates keep the row with the largest id; of near
-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays; documents with windows of two or more benchmark
-items go; mixing gives the rest their rates and numbers of copies and drops those with no copy.
+duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays; documents with a window of any benchmark item
+go; mixing gives the rest their rates and numbers of copies and drops those with no copy.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not repeat the benchmark."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

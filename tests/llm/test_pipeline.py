@@ -43,6 +43,16 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(r.doc_id for r in whole.collect()) == ids[5]
 
 
+def test_one_planted_item_goes(spark, tmp_path):
+    item, other = " ".join(f"b{i}" for i in range(12)), " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"{other} {item} {other}"), (2, other), (3, f"{other} " + " ".join(item.split()[:7])), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert not any(r.contaminated for r in decontaminate.report(d, bench).collect())  # op4's column asks for two items
+    assert sorted(r.doc_id for r in corpus_pipeline.stage_decontaminate(spark, d, str(tmp_path)).collect()) == [2, 3, 4]
+
+
 def test_empty_documents(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
