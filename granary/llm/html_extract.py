@@ -6,8 +6,8 @@ so that a host of any size is summed with map-side combine. Tokens with one vect
 of the vector that is one on every page is the frame of the template if its elements come in one order and nest; classes
 with other vectors (menu entries, paragraphs) nest in the slots that the frame leaves. Text that has the frame's own vector
 is template text. What remains are slots. Slots in roles for menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments are not article text; of the others, those in the frame's article or main element are taken, or all where
-the host has none, without template text and lists of links.
+and reader comments are not article text; of the others, those in an article or main element are taken, or all where
+the page has none and then without lists of links; template text is left out of both. Equal pages of a host count once.
 
 Edge cases: a null html counts as empty and gives an empty text, as does a page without article text; a null url belongs to
 the host ''; a host of fewer than ``SUPPORT`` pages has no template text and is read by its roles alone; repeated rows give
@@ -159,7 +159,7 @@ def page_tokens(source: str | None) -> list[tuple[str, int, float]]:
     for i, role in enumerate(elements):
         places.setdefault(role, []).append(i)
     for role, text, _, other, main, i in blocks:
-        if not main and not other:
+        if not other:
             places.setdefault(_text_token(role, text), []).append(i)
     return [(PAGE, 1, 0.0), *[(t, len(p), sum(p) / len(p)) for t, p in places.items()]]
 
@@ -178,7 +178,7 @@ def article_text(source: str | None, frame: list[str]) -> str:
         slot_of.append(slot)
     kept = [b for b in blocks if not b[3]]
     if any(b[4] for b in kept):
-        return "\n\n".join(b[1] for b in kept if b[4])
+        return "\n\n".join(b[1] for b in kept if b[4] and _text_token(b[0], b[1]) not in constant)
     chars: dict[int, list[int]] = {}
     for role, text, linked, _, _, i in kept:
         s = chars.setdefault(slot_of[i - 1] if i else -1, [0, 0])
@@ -194,12 +194,13 @@ def article_text(source: str | None, frame: list[str]) -> str:
 
 
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(_host, _frame): the tokens of each host's frame in template order. ``pages`` has _host, _key and html."""
+    """(_host, _frame): the tokens of each host's frame in template order. ``pages`` has _host and html; equal pages count once."""
 
     def tokens(batches):
         for batch in batches:
             host, key, token, n, place = [], [], [], [], []
-            for h, k, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k = xxhash.xxh3_64_intdigest((source or "").encode("utf-8", "surrogatepass")) - 2**63
                 for t, count, at in page_tokens(source):
                     host.append(h)
                     key.append(k)
@@ -211,10 +212,13 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
                 names=["_host", "_key", "_token", "_n", "_place"],
             )
 
-    each = pages.select("_host", "_key", "html").mapInArrow(tokens, "_host string, _key bigint, _token string, _n bigint, _place double")
+    each = pages.select("_host", "html").mapInArrow(tokens, "_host string, _key bigint, _token string, _n bigint, _place double")
+    # A page under several addresses is no evidence of a template: what all its copies hold may be its article.
+    each = each.groupBy("_host", "_token", "_key").agg(F.first("_n").alias("_n"), F.first("_place").alias("_place"))
     vectors = each.groupBy("_host", "_token").agg(
         F.count(F.lit(1)).alias("_pages"), F.bit_xor(F.xxhash64("_key", "_n")).alias("_vector"), F.avg("_place").alias("_place")
     )
+    vectors = Scratch(pages.sparkSession, "vectors").write(vectors.where((F.col("_token") == PAGE) | (F.col("_pages") >= support)))
     # A token has the frame's vector if it equals that of the page itself.
     page = vectors.where(F.col("_token") == PAGE).select("_host", F.col("_pages").alias("_all"), F.col("_vector").alias("_ones"))
     frame = vectors.where(F.col("_token") != PAGE).join(page, "_host")
@@ -229,7 +233,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.struct(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("_row"),
         host.alias("_host"),
-        F.xxhash64(F.col(id_col), F.col(url_col)).alias("_key"),
         F.col(html_col).alias("html"),
     )
     # The templates are written, so that the join may split a host with very many pages over tasks, or broadcast few templates.

@@ -455,6 +455,17 @@ def test_html_frame_is_the_class_of_ones(spark):
     assert sum(t.startswith("#text") for t in frame) >= 1
 
 
+def _html(spark, pages):
+    rows = [(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)]
+    return [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_template_text_in_article_goes(spark):
+    page = "<body><article><h1>Head {i}</h1><p>Get our app</p><p>Text {i}</p></article></body>"
+    assert _html(spark, [page.format(i=i) for i in range(4)]) == [f"Head {i}\n\nText {i}" for i in range(4)]
+    assert _html(spark, [page.format(i=0)] * 4) == ["Head 0\n\nGet our app\n\nText 0"] * 4  # copies of one page show no template
+
+
 # ---- quality
 
 
