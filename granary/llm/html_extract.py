@@ -2,10 +2,11 @@
 
 A page is read as tokens: elements in the role their path gives them, and short-lived text blocks. Over all pages of a host
 each token gets its occurrence vector (how often it occurs on each page), kept as a count of pages and an order-free digest,
-so that a host of any size is summed with map-side combine. Tokens with one vector form an equivalence class. The class
-of the vector that is one on every page is the frame of the template if its elements come in one order and nest; classes
-with other vectors (menu entries, paragraphs) nest in the slots that the frame leaves. Text that has the frame's own vector
-is template text. What remains are slots. Slots in roles for menus, headers, footers, sidebars, notices, adverts, forms
+so that a host of any size is summed without gathering its pages. Tokens with one vector form an equivalence class. The class
+of the vector that is one on every page is the frame of the template, without tokens that some page has in another order; elements
+of a tree then nest. Tokens with other vectors are told apart by the slot of the frame they lie in and form classes again, one
+level deep. Text of the frame is template text, and so is text of a nested class on ``SUPPORT`` pages and more than half of the
+host's, where the class comes whole and in order. What remains are slots. Slots in roles for menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments are not article text; of the others, those in an article or main element are taken, or all where
 the page has none and then without lists of links; template text is left out of both. Equal pages of a host count once.
 
@@ -16,6 +17,7 @@ repeated results; pages cut short are read as far as they go.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 
@@ -152,78 +154,140 @@ def _text_token(role: str, text: str) -> str:
     return "#text " + xxhash.xxh3_128_hexdigest(f"{role}\n{text}")
 
 
-def page_tokens(source: str | None) -> list[tuple[str, int, float]]:
-    """(token, occurrences, mean place) of a page."""
-    blocks, elements = read_page(source)
-    places: dict[str, list[int]] = {}
-    for i, role in enumerate(elements):
-        places.setdefault(role, []).append(i)
-    for role, text, _, other, main, i in blocks:
-        if not other:
-            places.setdefault(_text_token(role, text), []).append(i)
-    return [(PAGE, 1, 0.0), *[(t, len(p), sum(p) / len(p)) for t, p in places.items()]]
+def events(blocks: list, elements: list[str]) -> list[tuple[str | None, int]]:
+    """(token, number of the block or -1) of elements and blocks in the page's order; blocks in other roles have no token."""
+    out, b = [], 0
+    for i in range(len(elements) + 1):
+        while b < len(blocks) and blocks[b][5] == i:
+            out.append((None if blocks[b][3] else _text_token(blocks[b][0], blocks[b][1]), b))
+            b += 1
+        if i < len(elements):
+            out.append((elements[i], -1))
+    return out
 
 
-def article_text(source: str | None, frame: list[str]) -> str:
-    """The text of a page's article slots, given the tokens of its host's frame in template order."""
-    blocks, elements = read_page(source)
-    constant = {t for t in frame if t.startswith("#text ")}
+def _slots(seq: list[tuple[str | None, int]], frame: list[str]) -> list[int]:
+    """The slot of each event: the place in the frame of the last frame token before it, -1 before the first."""
     order = {t: i for i, t in enumerate(frame)}
-    # Elements of the frame that keep its order on this page delimit the slots.
-    slot_of, slot, last = [], -1, -1
-    for i, role in enumerate(elements):
-        place = order.get(role, -1)
-        if place > last:
-            slot, last = i, place
-        slot_of.append(slot)
-    kept = [b for b in blocks if not b[3]]
-    if any(b[4] for b in kept):
-        return "\n\n".join(b[1] for b in kept if b[4] and _text_token(b[0], b[1]) not in constant)
+    out, last = [], -1
+    for t, _ in seq:
+        last = max(last, order.get(t, -1))
+        out.append(last)
+    return out
+
+
+def page_tokens(source: str | None, frame: list[str] = (), only: list[str] | None = None) -> list[tuple[int, str, int, float]]:
+    """(slot, token, occurrences, mean place) of a page, of the tokens in ``only`` where it is given."""
+    seq = events(*read_page(source))
+    wanted = None if only is None else set(only)
+    places: dict[tuple[int, str], list[int]] = {}
+    for i, ((t, _), slot) in enumerate(zip(seq, _slots(seq, frame))):
+        if t is not None and (wanted is None or t in wanted):
+            places.setdefault((slot, t), []).append(i)
+    return [*([(-1, PAGE, 1, 0.0)] if wanted is None else []), *[(s, t, len(p), sum(p) / len(p)) for (s, t), p in places.items()]]
+
+
+def out_of_order(source: str | None, frame: list[str]) -> list[str]:
+    """The frame tokens outside the longest run of them that comes in the frame's order on this page."""
+    order = {t: i for i, t in enumerate(frame)}
+    found = [order[t] for t, _ in events(*read_page(source)) if t in order]
+    ends, at, before = [], [], []  # least last place of a run of each length, where it is, and the one before
+    for k, place in enumerate(found):
+        i = bisect.bisect_left(ends, place)
+        ends[i : i + 1], at[i : i + 1] = [place], [k]
+        before.append(at[i - 1] if i else -1)
+    good, k = set(), at[-1] if at else -1
+    while k >= 0:
+        good.add(found[k])
+        k = before[k]
+    return [t for i, t in enumerate(frame) if i not in good]
+
+
+def article_text(source: str | None, frame: list[str], nested: list = ()) -> str:
+    """The text of a page's article slots, given its host's frame in template order and the classes (slot, tokens) nested in it."""
+    blocks, elements = read_page(source)
+    seq = events(blocks, elements)
+    slots = _slots(seq, frame)
+    tokens = set(frame)
+    constant = {b for t, b in seq if b >= 0 and t in tokens}
+    for slot, ordered in nested:
+        tokens = set(ordered)
+        here = [(t, b) for (t, b), at in zip(seq, slots) if at == slot and t in tokens]
+        # A class is cut where its tokens come whole and in order, once or more.
+        if [t for t, _ in here] == ordered * (len(here) // len(ordered)):
+            constant.update(b for _, b in here if b >= 0)
+    kept = [(b, blocks[b], at) for (_, b), at in zip(seq, slots) if b >= 0 and not blocks[b][3]]
+    slot_text = [(block, at) for b, block, at in kept if b not in constant]
+    if any(block[4] for _, block, _ in kept):
+        return "\n\n".join(block[1] for block, _ in slot_text if block[4])
     chars: dict[int, list[int]] = {}
-    for role, text, linked, _, _, i in kept:
-        s = chars.setdefault(slot_of[i - 1] if i else -1, [0, 0])
-        s[0] += len(text)
-        s[1] += linked
-    out = []
-    for role, text, linked, _, _, i in kept:
-        total, links = chars[slot_of[i - 1] if i else -1]
-        if _text_token(role, text) in constant or 2 * links > total:
-            continue
-        out.append(text)
-    return "\n\n".join(out)
+    for block, at in slot_text:
+        s = chars.setdefault(at, [0, 0])
+        s[0] += len(block[1])
+        s[1] += block[2]
+    return "\n\n".join(block[1] for block, at in slot_text if 2 * chars[at][1] <= chars[at][0])
 
 
-def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(_host, _frame): the tokens of each host's frame in template order. ``pages`` has _host and html; equal pages count once."""
+def _rows(df: DataFrame, schema: str, rows) -> DataFrame:
+    """The tuples that ``rows`` gives for each row of ``df``."""
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
 
-    def tokens(batches):
+    def run(batches):
         for batch in batches:
-            host, key, token, n, place = [], [], [], [], []
-            for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = xxhash.xxh3_64_intdigest((source or "").encode("utf-8", "surrogatepass")) - 2**63
-                for t, count, at in page_tokens(source):
-                    host.append(h)
-                    key.append(k)
-                    token.append(t)
-                    n.append(count)
-                    place.append(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.string()), pa.array(key, pa.int64()), pa.array(token, pa.string()), pa.array(n, pa.int64()), pa.array(place, pa.float64())],
-                names=["_host", "_key", "_token", "_n", "_place"],
-            )
-
-    each = pages.select("_host", "html").mapInArrow(tokens, "_host string, _key bigint, _token string, _n bigint, _place double")
+            out = [r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in rows(*row)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[k]) for i, k in enumerate(kinds)], names=list(names))
+
+    return df.mapInArrow(run, schema)
+
+
+def _vectors(each: DataFrame) -> DataFrame:
+    """The occurrence vector of each token in each slot."""
     # A page under several addresses is no evidence of a template: what all its copies hold may be its article.
-    each = each.groupBy("_host", "_token", "_key").agg(F.first("_n").alias("_n"), F.first("_place").alias("_place"))
-    vectors = each.groupBy("_host", "_token").agg(
+    each = each.groupBy("_host", "_slot", "_token", "_key").agg(F.first("_n").alias("_n"), F.first("_place").alias("_place"))
+    return each.groupBy("_host", "_slot", "_token").agg(
         F.count(F.lit(1)).alias("_pages"), F.bit_xor(F.xxhash64("_key", "_n")).alias("_vector"), F.avg("_place").alias("_place")
     )
-    vectors = Scratch(pages.sparkSession, "vectors").write(vectors.where((F.col("_token") == PAGE) | (F.col("_pages") >= support)))
+
+
+def _key(source: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((source or "").encode("utf-8", "surrogatepass")) - 2**63
+
+
+def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(_host, _frame, _nested): the tokens of each host's frame in template order, and the classes (slot, tokens) with text nested in it.
+
+    ``pages`` has _host and html; equal pages count once. A frame token is on every page once and in one order. A nested class has
+    one vector within one slot, ``support`` pages at least and more than half of the host's, so that text that a few articles share
+    stays.
+    """
+    scratch, pages = Scratch(pages.sparkSession, "vectors"), pages.select("_host", "html")
+    kind = "_host string, _key bigint, _slot int, _token string, _n bigint, _place double"
+    vectors = _vectors(_rows(pages, kind, lambda h, s: [(h, _key(s), *t) for t in page_tokens(s)]))
+    vectors = scratch.write(vectors.where((F.col("_token") == PAGE) | (F.col("_pages") >= support)))
     # A token has the frame's vector if it equals that of the page itself.
     page = vectors.where(F.col("_token") == PAGE).select("_host", F.col("_pages").alias("_all"), F.col("_vector").alias("_ones"))
-    frame = vectors.where(F.col("_token") != PAGE).join(page, "_host")
-    frame = frame.where((F.col("_pages") == F.col("_all")) & (F.col("_vector") == F.col("_ones")) & (F.col("_all") >= support))
-    return frame.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("_place", "_token"))).alias("_f")).select("_host", F.col("_f._token").alias("_frame"))
+    often = vectors.where(F.col("_token") != PAGE).join(page, "_host").where(2 * F.col("_pages") > F.col("_all"))
+    ones = (F.col("_pages") == F.col("_all")) & (F.col("_vector") == F.col("_ones"))
+    hosts = often.groupBy("_host").agg(
+        F.first("_all").alias("_all"),
+        F.sort_array(F.collect_list(F.when(ones, F.struct("_place", "_token")))).alias("_f"),
+        F.collect_list(F.when(~ones, F.col("_token"))).alias("_rest"),
+    )
+    hosts = scratch.write(hosts.select("_host", "_all", F.col("_f._token").alias("_frame"), "_rest"))
+    # Elements of a tree nest where they come in one order; tokens that any page has in another order leave the frame.
+    bad = _rows(pages.join(hosts.select("_host", "_frame"), "_host"), "_host string, _token string", lambda h, s, f: [(h, t) for t in out_of_order(s, f)])
+    bad = bad.distinct().groupBy("_host").agg(F.collect_list("_token").alias("_bad"))
+    none = F.array().cast("array<string>")
+    hosts = hosts.join(bad, "_host", "left").withColumn("_bad", F.coalesce("_bad", none))
+    hosts = scratch.write(hosts.select("_host", "_all", F.array_except("_frame", "_bad").alias("_frame"), F.concat("_rest", "_bad").alias("_rest")))
+    within = pages.join(hosts.where(F.size("_rest") > 0).select("_host", "_frame", "_rest"), "_host")
+    within = _vectors(_rows(within, kind, lambda h, s, f, r: [(h, _key(s), *t) for t in page_tokens(s, f, r)]))
+    within = within.join(hosts.select("_host", "_all"), "_host").where((F.col("_pages") >= support) & (2 * F.col("_pages") > F.col("_all")))
+    classes = within.groupBy("_host", "_slot", "_vector").agg(F.sort_array(F.collect_list(F.struct("_place", "_token"))).alias("_c"))
+    classes = classes.where(F.exists("_c", lambda t: t["_token"].startswith("#text ")))
+    nested = classes.groupBy("_host").agg(F.collect_list(F.struct("_slot", F.col("_c._token").alias("_tokens"))).alias("_nested"))
+    return hosts.join(nested, "_host", "left").select("_host", "_frame", "_nested")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -237,11 +301,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     # The templates are written, so that the join may split a host with very many pages over tasks, or broadcast few templates.
     frames = Scratch(pages.sparkSession, "templates").write(templates(rows))
-    joined = rows.join(frames, "_host", "left").select("_row", "html", "_frame")
+    joined = rows.join(frames, "_host", "left").select("_row", "html", "_frame", "_nested")
 
     def read(batches):
         for batch in batches:
-            texts = [article_text(s, f or []) for s, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            texts = [
+                article_text(s, f or [], [(c["_slot"], c["_tokens"]) for c in n or []])
+                for s, f, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "text"])
 
     kind = joined.schema["_row"].dataType.simpleString()

@@ -466,6 +466,22 @@ def test_html_template_text_in_article_goes(spark):
     assert _html(spark, [page.format(i=0)] * 4) == ["Head 0\n\nGet our app\n\nText 0"] * 4  # copies of one page show no template
 
 
+def test_html_nested_classes(spark):
+    page = "<body><h1>Head {i}</h1>{a}<p>Text {i}</p>{b}<p>End {i}</p></body>"
+    share = "<p>Share this</p>"
+    # Missing on one page of five, and twice a page.
+    assert _html(spark, [page.format(i=i, a=share if i else "", b="") for i in range(5)]) == [f"Head {i}\n\nText {i}\n\nEnd {i}" for i in range(5)]
+    assert _html(spark, [page.format(i=i, a=share, b=share) for i in range(5)]) == [f"Head {i}\n\nText {i}\n\nEnd {i}" for i in range(5)]
+    # Text that two articles of five share stays.
+    assert [t.count("Share") for t in _html(spark, [page.format(i=i, a=share if i < 2 else "", b="") for i in range(5)])] == [1, 1, 0, 0, 0]
+
+
+def test_html_frame_has_one_order():
+    swapped = "<body><h2>a</h2><h1>b</h1><h3>c</h3></body>"
+    assert html_extract.out_of_order(swapped, ["/body", "/body/h1", "/body/h2", "/body/h3"]) in (["/body/h1"], ["/body/h2"])
+    assert html_extract.out_of_order(swapped, ["/body", "/body/h2", "/body/h1", "/body/h3"]) == []
+
+
 # ---- quality
 
 
