@@ -52,26 +52,58 @@ OTHER_WORDS = set(
     "share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus discussion reactions "
     "search searchform tags taglist hidden skip".split()
 )
+#: Words around these in a name leave it the name of a part; any other makes it the name of a layout ('has-sidebar') or a subject.
+PLAIN_WORDS = set("top bottom left right box block wrap wrapper container inner outer bar area section list links item items main page site module panel primary secondary global the".split())
+#: Parts whose articles are not the page's.
+FIRM_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion sidebar side widget widgets related "
+    "recommended recommendations comment comments commentlist respond reply replies disqus".split()
+)
+#: Words that in an article name its own sections as well.
+SECTION_WORDS = set("discussion related recommendations legal disclaimer notice notices header copyright search tags reply replies reactions side skip notification alert".split())
+#: Raw elements whose end is looked for no farther than their parent's.
+SOFT = {"noscript", "template", "iframe", "svg", "math", "object", "select", "button", "canvas"}
 MAIN_WORDS = {"main", "article"}
 
 
 def _labels(attributes: str) -> tuple[str, set[str], bool]:
-    """Class and id for the role, the words in them, and whether the element is hidden."""
+    """Class and id for the role, the words in them, those of ``OTHER_WORDS`` from names of parts only, and whether the element is hidden."""
     words, names, hidden = set(), [], False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
             names.append(value)
-            words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()) if w)
+            for name in (m[2] or m[3] or m[4] or "").split():
+                parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+                words.update(w for w in parts if w not in OTHER_WORDS or all(v in OTHER_WORDS or v in PLAIN_WORDS for v in parts))
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
     return " ".join(names), words, hidden
 
 
+def _raw_end(source: str, at: int, tag: str, parent: str) -> int:
+    """Where a raw element that starts before ``at`` ends: after its end tag, or, unclosed, at its parent's end or the next block."""
+    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+    if tag not in SOFT:
+        return end.end() if end else len(source)
+    depth = 0
+    for m in re.compile(rf"<(/?)({tag}|{parent or tag})\b[^>]*>", re.I).finditer(source, at, end.start() if end else at):
+        if m[2].lower() == tag:
+            break
+        depth += -1 if m[1] else 1
+        if depth < 0:
+            break
+    else:
+        if end:
+            return end.end()
+    stop = re.compile(rf"<(?:/{parent or 'html'}|{'|'.join(sorted(CLOSES_P))})\b", re.I).search(source, at)
+    return stop.start() if stop else len(source)
+
+
 def read_page(source: str | None):
     """(blocks, elements): text blocks as (role, text, characters in links, is not article, is in main) and element roles in order."""
     blocks, elements = [], []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, role, not article, main
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, role, not article, main, not article by a word that an article resets
     text: list[str] = []
     linked, in_link = 0, 0
     source = source or ""
@@ -113,13 +145,12 @@ def read_page(source: str | None):
             text.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            if tag == "head" and end is None:
+            if tag == "head" and not re.compile(r"</head\b[^>]*>", re.I).search(source, at):
                 end = re.compile(r"<body\b", re.I).search(source, at)
                 at = end.start() if end else at
                 continue
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
-                at = end.end() if end else len(source)
+                at = _raw_end(source, at, tag, stack[-1][0] if stack else "")
             continue
         if tag == "a":
             in_link += 1
@@ -138,13 +169,16 @@ def read_page(source: str | None):
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             stack.pop()
         names, words, hidden = _labels(m[3]) if m[3].strip() else ("", set(), False)
-        above = stack[-1] if stack else ("", "", False, False)
-        main = above[3] or (tag in MAIN_WORDS and not above[2]) or ("main" in words and tag == "div" and not above[2])
-        other = above[2] or hidden or tag in OTHER_ROLES or (tag == "header" and not above[3])
-        if tag not in ("html", "body", "article", "main") and words & OTHER_WORDS:
-            other = True
+        above = stack[-1] if stack else ("", "", False, False, False)
+        inherited = above[2] and not (above[4] and tag in MAIN_WORDS)
+        main = above[3] or (tag in MAIN_WORDS and not inherited) or ("main" in words and tag == "div" and not inherited)
+        other = inherited or hidden or tag in OTHER_ROLES or (tag == "header" and not above[3])
+        named = words & OTHER_WORDS - (SECTION_WORDS if above[3] else set()) if tag not in ("html", "body", "article", "main") else set()
+        soft = (above[4] and inherited) or (bool(named) and not named & FIRM_WORDS)
+        soft = soft and not (hidden or tag in OTHER_ROLES or tag == "header" or named & FIRM_WORDS or (inherited and not above[4]))
+        other = other or bool(named)
         role = f"{above[1]}/{tag}" + (f".{names}" if names else "")
-        stack.append((tag, role, other, main))
+        stack.append((tag, role, other, main, soft))
         elements.append(role)
     flush()
     return blocks, elements

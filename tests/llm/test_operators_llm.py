@@ -482,6 +482,29 @@ def test_html_frame_has_one_order():
     assert html_extract.out_of_order(swapped, ["/body", "/body/h2", "/body/h1", "/body/h3"]) == []
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "page-header-fixed", "search-layout", "header", "search"])
+def test_html_layout_words_keep_the_article(name):
+    page = f"<body><div class='{name}'><p>menu</p><article><h1>H</h1><p>a</p></article></div></body>"
+    assert html_extract.article_text(page, []) == "H\n\na"
+
+
+def test_html_words_inside_articles():
+    for name in ("discussion", "related-work", "legal"):
+        assert html_extract.article_text(f"<article><p>a</p><section class='{name}'><p>b</p></section></article>", []) == "a\n\nb"
+    for name in ("comments", "ad", "share", "newsletter-box", "top-nav"):
+        assert html_extract.article_text(f"<article><p>a</p><div class='{name}'><p>b</p></div></article>", []) == "a"
+    assert html_extract.article_text("<article><p>a</p></article><div class='comments'><article><p>b</p></article></div>", []) == "a"
+    assert html_extract.article_text("<nav><div class='search'><article>b</article></div></nav><p>a</p>", []) == "a"
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "iframe"])
+def test_html_unclosed_raw_element(tag):
+    page = f"<body><div><{tag}>x</div><article><p>a</p><{tag}>y</article><p>z</p></body>"
+    assert html_extract.article_text(page, []) == "a"
+    assert html_extract.article_text(f"<body><{tag}>x<p>a</p></body>", []) == "a"
+    assert html_extract.article_text(f"<div><{tag}>x<div>y</div></{tag}>a</div>", []) == "a"
+
+
 # ---- quality
 
 
