@@ -17,8 +17,7 @@ from granary.llm.common import Scratch, table
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known language; the profiles come from the labelled ones among them."""
     profiles = language_id.train_profiles(docs)
-    found = language_id.identify(docs, profiles).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.drop("lang_pred", "lang_score")
+    return docs.where(language_id.language_of(F.col("text"), profiles, spark)["lang"] != language_id.UNKNOWN)
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ over the largest possible distance.
 
 Edge cases: a text that is null, empty or without a letter gets ``und`` and score 0, and so does every text when no
 labelled row exists; ties go to the n-gram with the lower code and to the language whose name sorts first; null ids count
-as empty when folds are made; repeated rows give repeated results; long texts are counted whole, in slices.
+as empty when folds are made; repeated rows give repeated results; long texts are counted whole, in slices that share no
+n-gram; letters beyond 16 bits are told apart by 64-bit hashes of their n-grams.
 """
 
 from __future__ import annotations
@@ -25,41 +26,52 @@ from pyspark.sql import window as W
 from granary.llm.common import ship, table
 
 PROFILE = 300
-SLICE = 1 << 21  # characters counted at a time
+SLICE = 1 << 21  # letters counted at a time
 UNKNOWN = "und"
 
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """16-bit code of every letter by code point, 0 for anything else; astral letters are folded."""
-    points = np.arange(0x110000, dtype=np.uint32)
+    """Which code points are letters."""
     is_letter = np.zeros(0x110000, dtype=bool)
     for low, high in ((0, 0xD800), (0xE000, 0x110000)):
         is_letter[low:high] = np.fromiter((chr(c).isalpha() for c in range(low, high)), bool, high - low)
-    codes = (points ^ (points >> 16) * 40503) & 0xFFFF
-    return np.where(is_letter, np.where(codes == 0, 1, codes), 0).astype(np.uint64)
+    return is_letter
 
 
-def _grams_of(text: str) -> np.ndarray:
+def _letters_of(text: str) -> np.ndarray:
+    """The letters of the text, with one 0 between words and at both ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    c = np.zeros(len(points) + 2, dtype=np.uint64)
-    c[1:-1] = _letters()[points]
-    c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]  # one border between words
-    if len(c) < 3:
-        return np.empty(0, dtype=np.uint64)
+    c = np.zeros(len(points) + 2, dtype=np.uint32)
+    np.multiply(points, _letters()[points], out=c[1:-1])
+    return c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
+
+
+def _scattered(*letters: np.ndarray) -> np.ndarray:
+    h = np.full(len(letters[0]), len(letters) << 40, np.uint64)
+    for x in letters:
+        h = (h ^ (h >> np.uint64(29)) ^ x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+    return h ^ (h >> np.uint64(32))
+
+
+def _grams_of(letters: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Codes of the n-grams that start at ``begin`` up to ``end``: 16 bits a letter, or 64 hashed bits where a letter needs more."""
+    c, n = letters[begin : end + 3].astype(np.uint64), end - begin
     inner = c != 0
     two = c[:-1] | (c[1:] << np.uint64(16))
     three = two[:-1] | (c[2:] << np.uint64(32))
     four = three[:-1] | (c[3:] << np.uint64(48))
     # The top slot of shorter grams holds a mark that no letter has.
-    return np.concatenate(
-        (
-            c[inner] | np.uint64(0xFFFF << 48),
-            two | np.uint64(0xFFFE << 48),
-            three[inner[1:-1]] | np.uint64(0xFFFD << 48),
-            four[inner[1:-2] & inner[2:-1]],
-        )
-    )
+    out = [
+        (c | np.uint64(0xFFFF << 48), inner, (c,)),
+        (two | np.uint64(0xFFFE << 48), inner[:-1] | inner[1:], (c[:-1], c[1:])),
+        (three | np.uint64(0xFFFD << 48), inner[1:-1], (c[:-2], c[1:-1], c[2:])),
+        (four, inner[1:-2] & inner[2:-1], (c[:-3], c[1:-2], c[2:-1], c[3:])),
+    ]
+    if (c >> np.uint64(16)).any():
+        far = [np.logical_or.reduce([p > np.uint64(0xFFFF) for p in parts]) for _, _, parts in out]
+        out = [(np.where(f, _scattered(*parts), codes), whole, parts) for f, (codes, whole, parts) in zip(far, out)]
+    return np.concatenate([codes[:n][whole[:n]] for codes, whole, _ in out])
 
 
 def _merge(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +89,12 @@ def _merge(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of the whole text and their counts."""
-    if len(text) <= SLICE:
-        return _merge(_grams_of(text))
-    parts, at = [], 0
-    while at < len(text):
-        end = min(at + SLICE, len(text))
-        cut = text.rfind(" ", at, end) if end < len(text) else end
-        cut = end if cut <= at else cut
-        parts.append(_merge(_grams_of(text[at:cut])))
-        at = cut
+    letters = _letters_of(text)
+    if len(letters) <= SLICE:
+        return _merge(_grams_of(letters, 0, len(letters)))
+    parts = []
+    for at in range(0, len(letters), SLICE):
+        parts.append(_merge(_grams_of(letters, at, min(at + SLICE, len(letters)))))
         if len(parts) > 16:
             parts = [_merge(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
     return _merge(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
@@ -163,25 +172,26 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return Profiles({lang: [c for _, c in sorted(v)] for lang, v in ranks.items()}, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``lang_score``, of the whole text of each row."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # size x languages ranks
+def language_of(text: Column, profiles: Profiles, spark: SparkSession) -> Column:
+    """The struct (lang, score) of a whole text. Only the text goes to Python; the rest of the row stays in the engine."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(profiles)  # size x languages ranks
 
-    def predict(batches):
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
         p = shared.value
-        for batch in batches:
-            found = [p.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                names=["row", "lang_pred", "lang_score"],
-            )
+        found = [p.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang", "score"]
+        )
+
+    return predict(text)
+
 
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text_col).alias("t"))
-    kind = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(predict, f"row {kind}, lang_pred string, lang_score double")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "lang_score")
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score``, of the whole text of each row; columns of these names are replaced."""
+    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")], language_of(F.col(text_col), profiles, docs.sparkSession).alias("_found"))
+    return found.select(*[F.col(f"`{c}`") for c in found.columns[:-1]], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("lang_score"))
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -193,5 +203,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two of three folds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = train_profiles(docs.where(fold("doc_id", 3) != 1))
-    folded = docs.withColumn("held_out", fold("doc_id", 3) == 1)
-    return identify(folded, profiles, keep=["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
+    folded = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text")
+    return identify(folded, profiles).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

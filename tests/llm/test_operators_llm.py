@@ -35,11 +35,26 @@ def py_grams(text):
 
 
 def test_gram_counts_match_brute_force():
-    for text in ("a", "ab", "Abc abc", "x-y É", "one two three " * 30, "", "12 !"):
+    for text in ("a", "ab", "Abc abc", "x-y É", "one two three " * 30, "", "12 !", "𐐀𐐁 a𐐁𐐁b 𐐁𐐀𐐁𐐀 \u0428\u0429"):
         codes, counts = language_id.gram_counts(text)
         assert sorted(counts.tolist()) == sorted(py_grams(text).values())
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 50])
+def test_gram_counts_of_slices(monkeypatch, size):
+    monkeypatch.setattr(language_id, "SLICE", size)
+    for text in ("a", "ab cd", "one two three " * 30, "wordwithoutblanks" * 9, "", "é𐐁𐐀x " * 5):
+        codes, counts = language_id.gram_counts(text)
+        assert sorted(counts.tolist()) == sorted(py_grams(text).values()) and len(set(codes.tolist())) == len(codes)
+
+
+def test_language_ties_and_repeated_rows(spark):
+    rows = [(1, "ab", "yy"), (2, "ab", "xx"), (2, "ab", "xx"), (3, "ab", None), (3, "ab", None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = language_id.identify(d, language_id.train_profiles(d)).collect()
+    assert len(out) == 5 and {r.lang_pred for r in out} == {"xx"}  # equal distances: the first name
+
+
 def test_language_id(spark, empty):
     r = random.Random(2)
     stock = {"aa": "wah koo mib tas".split(), "bb": "eun lof zir pex".split()}
@@ -71,7 +86,9 @@ def test_language_id(spark, empty):
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 @pytest.mark.parametrize("weak", [False, True])
-def test_exact_groups(docs, corpus, keep, weak):
+@pytest.mark.parametrize("bound", [exact_dedup.BROADCAST_GROUPS, 0])
+def test_exact_groups(docs, corpus, keep, weak, bound, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", bound)
     h = (lambda c: F.substring(F.md5(c), 1, 1)) if weak else F.md5
     groups = defaultdict(list)
     for i, t in corpus:
@@ -86,6 +103,8 @@ def test_exact_dedup_rows(spark, docs, corpus, empty):
     out = exact_dedup.dedup(more)
     assert out.columns == more.columns
     assert sorted(low(r.text) for r in out.collect()) == sorted({low(t) for _, t in corpus})
+    out = exact_dedup.dedup(more, hash_of=lambda c: F.substring(F.md5(c), 1, 1))
+    assert sorted(low(r.text) for r in out.collect()) == sorted({low(t) for _, t in corpus})
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.dedup(empty).count() == 0
     nulls = spark.createDataFrame([(None, "a"), (1, "A"), (None, None)], "doc_id bigint, text string")
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_groups(nulls).collect()} == {(None, 1), (1, 1), (None, None)}
