@@ -2,7 +2,15 @@
 
 Stages: language identification drops documents without a language; exact duplicates keep the row with the largest id; of near
 duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays; documents with a window of any benchmark item
-go; mixing gives the rest their rates and numbers of copies and drops those with no copy.
+go; mixing gives the rest their rates and numbers of copies and drops those with no copy. Its targets are raised alike where
+good or poor text would otherwise have to be thinned, so that what it drops are documents that resemble the toxic ones. A
+document stays one row; a reader who wants the target weights takes it ``copies`` times.
+
+Edge cases: a null or empty text, or one without letters, goes in the first stage; null ids, languages, sources and sizes are no
+reason to go, and a null id ranks below every other in exact dedup and last among near duplicates; of rows that repeat an id and
+a text one stays; ties of language go to the first name; labels of unknown ids or without a class are not learned from; empty
+tables give an empty result. Extra columns of documents pass through all stages, whatever their names; only those named as the
+columns that mixing adds (``n_tokens``, ``posteriors``, ``rate``, ``copies``) are replaced, in the last stage.
 """
 
 from __future__ import annotations
@@ -36,9 +44,9 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least one copy at their rate."""
-    mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS)
-    return mixed.where("copies > 0")
+    """Documents with at least one copy at their rate, with the columns of the mixing."""
+    domains = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, domains, mixing.TARGETS, whole=["good", "poor"]).where("copies > 0")
 
 
 STAGES = [

@@ -337,16 +337,39 @@ def test_rates_solve_the_least_squares(spark):
     tokens = r.integers(1, 500, 200)
     rows = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, post)], "_tokens bigint, _post array<double>")
     for targets in ([0.6, 0.3, 0.1], [0.9, 0.1, 0.0], [0.2, 0.2, 0.2]):
-        rate, reached = mixing.solve_rates(rows, targets)
-        got = np.array([x.r for x in rows.select(rate.alias("r")).collect()])
+        found = mixing.solve_rates(rows, targets)
+        got = np.array([x.r for x in rows.select(found.rate.alias("r")).collect()])
         assert (got >= 0).all()
         share = (got * tokens) @ post / tokens.sum()
-        assert share == pytest.approx(reached)
+        assert share == pytest.approx(found.reached) and found.residual == pytest.approx(np.linalg.norm(share - targets))
         best = np.ones(200)
         for _ in range(20_000):
             best = np.maximum(0, best - 0.9 * post @ ((best * tokens) @ post / tokens.sum() - targets))
         least = np.linalg.norm((best * tokens) @ post / tokens.sum() - targets)
-        assert np.linalg.norm(share - targets) <= least + 0.015
+        assert np.linalg.norm(share - targets) <= least + 1e-5
+    # Few documents, of which no mixture gives the targets.
+    rows = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.8, 0.2]), (5, [1.0, 0.0])], "_tokens bigint, _post array<double>")
+    found = mixing.solve_rates(rows, [0.2, 0.7])
+    a, b = np.array([[9.0, 16.0, 5.0], [1.0, 4.0, 0.0]]) / 35, np.array([0.2, 0.7])
+    least = np.linalg.norm(b)
+    for used in ([0], [1], [2], [0, 1], [0, 2], [1, 2]):  # the best rates have some documents at 0 and solve the rest
+        x = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+        least = min(least, np.linalg.norm(a[:, used] @ x - b)) if (x >= 0).all() else least
+    assert found.residual == pytest.approx(least, abs=1e-5)
+    kept = mixing.solve_rates(rows, [0.5, 0.1], whole=[0])
+    assert kept.targets == pytest.approx([30 / 35, 30 / 35 / 5]) and kept.residual < 1e-5
+
+
+def test_posteriors_are_naive_bayes(spark):
+    prior, features = [math.log(0.5), math.log(0.3), math.log(0.2)], {f"w{i}": [i * 0.1, -i * 0.2, 0.05 * i * i] for i in range(1, 90)}
+    r = random.Random(8)
+    rows = [[f"w{r.randrange(120)}" for _ in range(r.randrange(12))] for _ in range(60)] + [[], ["éé"]]
+    rows = [sorted(set(w)) for w in rows]
+    got = spark.createDataFrame([(w,) for w in rows], "w array<string>").select("w", mixing.posteriors(F.col("w"), prior, features).alias("p")).collect()
+    for x in got:
+        logits = np.array(prior) + sum((np.array(features[w]) for w in x.w if w in features), np.zeros(3))
+        e = np.exp(logits - logits.max())
+        assert x.p == pytest.approx(list(e / e.sum()))
 
 
 def test_mixing_finds_domains(spark, empty):
@@ -356,12 +379,22 @@ def test_mixing_finds_domains(spark, empty):
     rows += [(500, None, "good"), (501, "", "poor")]
     d = spark.createDataFrame([x[:2] for x in rows], "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("_row", "_w", "rate_", "_post")})
     labels = spark.createDataFrame([(i, k) for i, _, k in rows[::2]] + [(None, "good")], "doc_id bigint, domain string")
-    out = mixing.mix(d, labels, {"good": 0.5, "poor": 0.1, "toxic": 0.01})
+    out = mixing.mix(d, labels, {"good": 0.5, "poor": 0.1, "toxic": 0.05})
     assert out.columns == [*d.columns, "n_tokens", "posteriors", "rate", "copies"]
     got = {x.doc_id: x for x in out.collect()}
     assert all(max(got[i].posteriors.asDict(), key=got[i].posteriors.asDict().get) == k for i, _, k in rows[:120])
     assert all(abs(sum(x.posteriors) - 1) < 1e-9 and x.rate >= 0 and abs(x.copies - x.rate) <= 1 for x in got.values())
     assert got[500].n_tokens == 0
+    rows2, found = mixing.assign(d, labels, {"good": 0.5, "poor": 0.1, "toxic": 0.05})
+    assert found.residual < 1e-5
+    total = sum(x.n_tokens for x in got.values())
+    for k, target in (("good", 0.5), ("poor", 0.1), ("toxic", 0.05)):
+        assert sum(x.rate * x.n_tokens * x.posteriors[k] for x in got.values()) / total == pytest.approx(target, abs=1e-5)
+    twice = d.union(d)
+    again = mixing.mix(twice, labels, {"good": 0.5, "poor": 0.1, "toxic": 0.05}).collect()
+    assert len(again) == 2 * len(got) and len({(x.doc_id, x.rate, x.copies) for x in again}) == len(got)
+    clash = d.withColumns({c: F.lit("x") for c in mixing.ADDED})
+    assert mixing.mix(clash, labels, {"good": 0.5, "poor": 0.5}).columns == [*d.columns, *mixing.ADDED]
     assert mixing.mix(empty, labels, {"good": 0.5, "poor": 0.5}).count() == 0
     none = mixing.mix(d, labels.where("false"), {"good": 0.5, "poor": 0.5})
     assert {round(x.posteriors.good, 6) for x in none.collect()} == {0.5}

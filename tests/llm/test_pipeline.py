@@ -1,12 +1,13 @@
 """The pipeline stage by stage on a small corpus."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import decontaminate, exact_dedup, near_dedup
+from granary.llm import decontaminate, exact_dedup, mixing, near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +44,28 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(r.doc_id for r in whole.collect()) == ids[5]
 
 
+def test_clashing_names_nulls_and_repeated_rows(spark, tmp_path):
+    names = ["lang_pred", "lang_score", "copies", "rate", "n_tokens", "posteriors", "_row", "_id", "_raw", "_h", "_salt", "_w", "_post", "row", "kept", "bits"]
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    text = lambda i: " ".join(words[(i * k + k * k) % 10] + str(i) * (k % 3 == 0) for k in range(1, 14))
+    rows = [(i, text(i), "xx", None, None) for i in range(8)] + [(3, text(3), "xx", None, None)] * 2
+    rows += [(None, text(9), None, "s", 5), (20, None, None, None, None), (21, "", "xx", "s", 0), (22, "??? 12", "xx", "s", 6), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1), (99, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert now.columns == docs.columns
+            assert all(r[c] == f"own {c}" for r in now.collect() for c in names)
+    assert now.columns == [c for c in docs.columns if c not in mixing.ADDED] + mixing.ADDED
+    assert Counter(r.doc_id for r in now.collect()) == Counter([None, *range(8)])
+
+
 def test_one_planted_item_goes(spark, tmp_path):
     item, other = " ".join(f"b{i}" for i in range(12)), " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
@@ -66,8 +89,6 @@ def test_empty_documents(spark, folder, tmp_path):
 @pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_decontaminate"])
 def test_sql(spark, name):
     import glob
-    from collections import Counter
-
     import duckdb
 
     from granary.llm.queries import ORACLE_SQL, QUERIES
