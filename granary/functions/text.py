@@ -65,15 +65,17 @@ def percent_encode(c: Column) -> Column:
 
 
 def occurrences(text: Column, keyword: str, context: int = 150) -> Column:
-    """Contexts of all occurrences of a keyword, overlapping ones too, whatever their case."""
+    """Contexts of all occurrences of a keyword, overlapping ones too, whatever their case.
+
+    The text is split before each occurrence. A piece is not empty, so that the ``context`` pieces on either side hold the
+    context, and the work grows with the text and not with its square.
+    """
     quoted = "".join("\\" + ch if not ch.isalnum() and ch.isascii() else ch for ch in keyword.lower())
-    low = F.lower(text)
-    pieces = F.split(low, f"(?={quoted})")
-    # Each piece but perhaps the first starts at an occurrence; lengths add up to positions.
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(p))))
-    starts = F.filter(F.slice(ends, 1, F.size(pieces)), lambda p: F.substr(low, p + 1, F.lit(len(keyword))) == keyword.lower())
-    n = F.char_length(text)
-    return F.transform(
-        starts,
-        lambda p: F.substr(text, F.greatest(p - context, F.lit(0)) + 1, F.least(p + context, n) - F.greatest(p - context, F.lit(0))),
-    )
+    here = f"(?iu)(?={quoted})"
+    pieces = F.filter(F.split(text, here), lambda p: F.char_length(p) > 0)
+    before = lambda i: F.array_join(F.slice(pieces, F.greatest(i - context, F.lit(0)) + 1, F.least(i, F.lit(context))), "")
+    after = lambda i: F.array_join(F.slice(pieces, i + 1, F.lit(context)), "")
+    # Each piece but perhaps the first starts at an occurrence.
+    marked = F.transform(pieces, lambda p, i: F.struct(((i > 0) | p.rlike(rf"(?iu)\A{quoted}")).alias("here"), i.alias("i")))
+    found = F.filter(marked, lambda m: m["here"])
+    return F.transform(found, lambda m: F.concat(F.right(before(m["i"]), F.lit(context)), F.substring(after(m["i"]), 1, context)))

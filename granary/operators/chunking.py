@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.replies import chunk_id
 from granary.functions.text import normalize, space_tokens, strip
 from granary.operators.quality import SKIPPED_SECTIONS, is_skipped_section
 
+#: Fixed value: a heading line of wiki text, its text in the second group.
 HEADING = r"(?Umd)^(={2,})\s*(.+?)\s*\1\s*$"
 
 
@@ -18,11 +19,11 @@ def join_with_space(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
-def _windows(tokens: str, size: Column, step: Column) -> Column:
+def _windows(tokens: Column, size: Column, step: Column) -> Column:
     """(start, tokens) of each window."""
     n = F.size(tokens)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(F.col(tokens), s + 1, size).alias("part")))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, size).alias("part")))
 
 
 def fixed_chunks(
@@ -34,19 +35,23 @@ def fixed_chunks(
     encode: Callable[[Column], Column] = space_tokens,
     decode: Callable[[Column], Column] = join_with_space,
     carry: list[str] | None = None,
+    decode_all: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``chunk_id, doc_id, chunk_index, text, token_count`` and the columns ``carry``. Windows that decode to blanks take no index.
 
-    The index is made inside the row, so that nothing is exchanged.
+    The index is made inside the row, so that nothing is exchanged. ``decode_all``, from an array of windows to their texts,
+    replaces ``decode`` where decoding needs a Python function.
     """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the size")
     carry = carry or []
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), *carry, encode(normalize(F.col(text_col))).alias("_t"))
-    parts = F.transform(
-        _windows("_t", F.lit(size), F.lit(size - overlap)),
-        lambda w: F.struct(strip(decode(w["part"])).alias("text"), F.size(w["part"]).alias("token_count")),
-    )
+    windows = _windows(F.col("_t"), F.lit(size), F.lit(size - overlap))
+    if decode_all is not None:
+        rows = rows.withColumn("_w", F.transform(windows, lambda w: w["part"])).withColumn("_d", decode_all(F.col("_w")))
+        parts = F.zip_with("_w", "_d", lambda w, d: F.struct(strip(d).alias("text"), F.size(w).alias("token_count")))
+    else:
+        parts = F.transform(windows, lambda w: F.struct(strip(decode(w["part"])).alias("text"), F.size(w["part"]).alias("token_count")))
     kept = F.filter(parts, lambda p: F.char_length(p["text"]) > 0)
     out = rows.select("doc_id", *carry, F.posexplode(kept).alias("chunk_index", "_c"))
     return out.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", *carry, "chunk_index", "_c.text", "_c.token_count")
@@ -71,24 +76,31 @@ def section_chunks(
     encode: Callable[[Column], Column] = space_tokens,
     decode: Callable[[Column], Column] = join_with_space,
 ) -> DataFrame:
-    """Chunks that stay in one section and carry '[title > heading]'; the index runs on over the sections of a document."""
+    """Chunks that stay in one section and carry '[title > heading]'; the index runs on over the sections of a document.
+
+    Sections, windows and the index are made inside the row, so that nothing is exchanged; ``encode`` and ``decode`` are built of
+    engine functions.
+    """
     rows = docs.select(
         F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(title_col), F.lit("")).alias("title"), normalize(F.col(text_col)).alias("_n")
     )
-    each = rows.select("doc_id", "title", F.posexplode(sections(F.col("_n"))).alias("_s", "_sec"))
-    each = each.where(~is_skipped_section(F.col("_sec.heading"), skip))
-    prefix = F.concat(F.lit("["), F.col("title"), F.lit(" > "), F.col("_sec.heading"), F.lit("]\n\n"))
-    each = each.withColumn("_p", prefix).withColumn("_np", F.size(encode(F.col("_p")))).where(F.col("_np") < size)
-    each = each.select("doc_id", "title", "_s", "_p", "_np", F.col("_sec.heading").alias("section_heading"), encode(F.col("_sec.body")).alias("_t"))
-    room = F.lit(size) - F.col("_np")
-    parts = each.select("*", F.explode(_windows("_t", room, F.greatest(room - overlap, F.lit(1)))).alias("_w"))
-    text = F.concat("_p", strip(decode(F.col("_w.part"))))
-    parts = parts.select("doc_id", "title", "section_heading", "_s", "_w.start", text.alias("text"), (F.col("_np") + F.size("_w.part")).alias("token_count"))
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("_s", "start")) - 1
-    parts = parts.withColumn("chunk_index", index)
-    return parts.select(
-        chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "title", "section_heading", "chunk_index", "text", "token_count"
-    )
+    prefix = lambda s: F.concat(F.lit("["), F.col("title"), F.lit(" > "), s["heading"], F.lit("]\n\n"))
+    wanted = F.filter(sections(F.col("_n")), lambda s: ~is_skipped_section(s["heading"], skip))
+    parts = F.transform(wanted, lambda s: F.struct(s["heading"].alias("h"), prefix(s).alias("p"), F.size(encode(prefix(s))).alias("np"), encode(s["body"]).alias("t")))
+    rows = rows.withColumn("_s", F.filter(parts, lambda s: s["np"] < size))
+
+    def chunks(s: Column) -> Column:
+        room = F.lit(size) - s["np"]
+        return F.transform(
+            _windows(s["t"], room, F.greatest(room - overlap, F.lit(1))),
+            lambda w: F.struct(s["h"].alias("h"), F.concat(s["p"], strip(decode(w["part"]))).alias("text"), (s["np"] + F.size(w["part"])).alias("n")),
+        )
+
+    each = rows.select("doc_id", "title", F.posexplode(F.flatten(F.transform("_s", chunks))).alias("chunk_index", "_c"))
+    return each.select(
+        chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "title", F.col("_c.h").alias("section_heading"), "chunk_index",
+        "_c.text", F.col("_c.n").alias("token_count"),
+    )
 
 
 def skipped_sections(docs: DataFrame, text_col: str = "text", skip: list[str] = SKIPPED_SECTIONS) -> Column | int:

@@ -9,6 +9,7 @@ from granary.functions.text import overlap_ratio, word_tokens
 from granary.operators.vectors import top_k
 
 THRESHOLD = 0.52
+MAX_TERMS = 10_000  # evidence terms that are broadcast
 
 
 def chunk_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -26,6 +27,18 @@ def overlap_topn(source: DataFrame, target: DataFrame, n: int = 10) -> DataFrame
     return top_k(chunk_pairs(source, target), "source_id", n, "rank", F.desc("overlap_ratio"), F.col("target_id"))
 
 
+def candidates_of_questions(questions: DataFrame, source: DataFrame, target: DataFrame, n: int = 10) -> DataFrame:
+    """The best ``n`` targets of each chunk that a question names: ``id, source_id, target_id, overlap_ratio, rank``.
+
+    A run fails on a chunk that ``source`` does not hold.
+    """
+    each = questions.select("id", F.explode("relevant_chunk_ids").alias("source_id")).distinct()
+    known = source.select(F.col("chunk_id").alias("source_id"), F.lit(True).alias("_there"))
+    unknown = F.raise_error(F.concat(F.lit("unknown chunk "), F.col("source_id")))
+    each = each.join(known, "source_id", "left").withColumn("source_id", F.when(F.col("_there").isNull(), unknown).otherwise(F.col("source_id")))
+    return each.drop("_there").join(overlap_topn(source, target, n), "source_id").select("id", "source_id", "target_id", "overlap_ratio", "rank")
+
+
 def mapping_of_questions(questions: DataFrame, mapping: DataFrame) -> DataFrame:
     """For each question the distinct targets of its chunks, in the order of the chunks and of falling overlap."""
     each = questions.select("id", F.posexplode_outer("relevant_chunk_ids").alias("pos", "source_id"))
@@ -43,9 +56,18 @@ def overlaid(results: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def claim_evidence(chunks: DataFrame, claims: DataFrame, context: int = 220) -> DataFrame:
-    """First occurrence of each evidence term in each chunk: ``claim, term, chunk_id, snippet``. The claims are few and broadcast."""
+    """First occurrence of each evidence term in each chunk: ``claim, term, chunk_id, snippet``.
+
+    Each chunk is searched for every term. Terms are broadcast up to a counted bound, beyond it in blocks of that size.
+    """
     terms = claims.select("claim", F.explode("evidence_terms").alias("term"))
-    pairs = chunks.select("chunk_id", "text").crossJoin(F.broadcast(terms))
+    blocks = -(-terms.count() // MAX_TERMS)
+    if blocks <= 1:
+        pairs = chunks.select("chunk_id", "text").crossJoin(F.broadcast(terms))
+    else:
+        dealt = terms.withColumn("_block", F.pmod(F.xxhash64("claim", "term"), F.lit(blocks)))
+        every = chunks.select("chunk_id", "text", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_block"))
+        pairs = every.join(dealt, "_block").drop("_block")
     at = F.position(F.lower("term"), F.lower("text"))
     found = pairs.withColumn("_at", at).where("_at > 0")
     begin = F.greatest(F.col("_at") - 1 - context, F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.replies import DIMENSIONS, ERROR_TYPES
+from granary.operators.stored import stored
 
 TYPE_ORDER = ["single_chunk", "multi_chunk", "complex"]
 
@@ -114,20 +115,42 @@ def counts_by(rows: DataFrame, *by: str | Column) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] = []) -> DataFrame:
+    """``_g`` (a struct of 0 and ``by``), and ``q0``, ``q1``, ...: exact quantiles, between neighbours by their distance.
+
+    Values are counted, put in order over all tasks by range, and numbered from the sums of the ranges before, so that no task
+    holds all values of a group. Nulls are left out.
+    """
+    group = F.struct(F.lit(0).alias("_0"), *by)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = stored(counts.repartitionByRange("_g", "_v").withColumn("_p", F.spark_partition_id()), "quantiles")
+    sums = ranged.groupBy("_g", "_p").agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy("_g")
+    sums = sums.select("_g", "_p", (F.sum("_s").over(w.orderBy("_p")) - F.col("_s")).alias("_before"), F.sum("_s").over(w).alias("_n"))
+    seen = F.sum("_c").over(Window.partitionBy("_g", "_p").orderBy("_v")) + F.col("_before")
+    placed = ranged.join(sums, ["_g", "_p"]).withColumn("_seen", seen)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_seen") > place) & (F.col("_seen") - F.col("_c") <= place), F.col("_v").cast("double")))
+
+    place = [F.lit(p) * (F.col("_n") - 1) for p in shares]
+    ends = placed.groupBy("_g", "_n").agg(*[at(f(p)).alias(f"{x}{k}") for k, p in enumerate(place) for x, f in (("a", F.floor), ("b", F.ceil))])
+    between = [F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * (p - F.floor(p)) for k, p in enumerate(place)]
+    return ends.select("_g", *[q.alias(f"q{k}") for k, q in enumerate(between)])
+
+
 def group_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
     v = F.col(value)
-    return rows.groupBy(by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
+    stats = rows.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    median = quantiles(rows, value, [0.5], [by]).select(F.col("_g").getField(by).alias("_by"), F.col("q0").alias("median"))
+    return stats.join(median, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "median", "min", "max")
 
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
-    quarter = lambda p: F.percentile(v, F.lit(p))
-    return rows.agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), quarter(0.25).alias("q25"),
-        quarter(0.5).alias("q50"), quarter(0.75).alias("q75"), F.max(v).alias("max"),
-    )
+    stats = rows.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(rows, value, [0.25, 0.5, 0.75]).select(F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    return stats.join(q, how="left").select("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def extremes(rows: DataFrame, id_col: str, value: str, n: int = 10) -> DataFrame:
