@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,7 @@ from granary.functions.replies import DIMENSIONS
 from granary.functions.text import overlap_ratio, word_tokens
 
 BATCH, TRIES, LONGEST_WAIT = 100, 6, 30.0
+RERANK_BATCH, JUDGE_TRIES = 8, 3
 
 
 def with_retries(call: Callable[[], object], tries: int = TRIES, wait: Callable[[float], None] = time.sleep):
@@ -69,6 +72,65 @@ def hashed_client(dimensions: int = 64) -> Callable[[], Callable[[list[str]], li
     return opened
 
 
+def reranker(open_model: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = RERANK_BATCH):
+    """A column function from (query, text) to a score. The model is opened once a task and called with ``batch`` pairs at a time."""
+
+    @F.pandas_udf("double")
+    def score(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = open_model()
+        for queries, texts in columns:
+            pairs = [(q or "", t or "") for q, t in zip(queries, texts)]
+            out: list = []
+            for i in range(0, len(pairs), batch):
+                part = pairs[i : i + batch]
+                scores = list(model(part))
+                if len(scores) != len(part):
+                    raise ValueError("the model returned another number of scores than pairs")
+                out.extend(map(float, scores))
+            yield pd.Series(out, dtype="float64")
+
+    return score
+
+
+def word_overlap_model() -> Callable[[list[tuple[str, str]]], list[float]]:
+    """Stand-in pair model: share of the query's distinct words found in the text."""
+    words = re.compile(r"\w+")
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        sets = [(set(words.findall(q.lower())), set(words.findall(t.lower()))) for q, t in pairs]
+        return [len(q & t) / len(q) if q else 0.0 for q, t in sets]
+
+    return score
+
+
+def retried_judge(open_client: Callable[[], Callable[[str], str]], tries: int = JUDGE_TRIES, pause: float = 1.0):
+    """A column function from prompt to a reply that is a JSON object, bare or in a code fence; null after ``tries`` failures.
+
+    A failure is an error of the client or a reply that cannot be read; ``pause`` seconds pass between tries.
+    """
+
+    @F.pandas_udf("string")
+    def judge(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = open_client()
+
+        def ask(prompt: str) -> str:
+            reply = client(prompt).replace("```json", "").replace("```", "").strip()
+            if not isinstance(json.loads(reply), dict):
+                raise ValueError("the reply is no JSON object")
+            return reply
+
+        def one(prompt: str) -> str | None:
+            try:
+                return with_retries(lambda: ask(prompt), tries, lambda _: time.sleep(pause))
+            except Exception:
+                return None
+
+        for prompts in series:
+            yield pd.Series([one(p or "") for p in prompts], dtype="object")
+
+    return judge
+
+
 def lexical_reranker(query: Column, text: Column) -> Column:
     """Stand-in reranker: share of the query's words found in the text."""
     return overlap_ratio(word_tokens(query), word_tokens(text))

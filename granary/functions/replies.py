@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import strip
 
+#: The error names and grading dimensions that result files hold.
 ERROR_TYPES = ["NONE", "HALLUCINATION", "MISATTRIBUTION", "OMISSION", "RETRIEVAL_FAIL"]
 DIMENSIONS = ["accuracy", "groundedness", "relevance", "completeness"]
 JUDGE_REPLY = "accuracy double, groundedness double, relevance double, completeness double, error_type string, reasoning string"
@@ -67,7 +68,9 @@ def prompt_context(hits: Column) -> Column:
 
 
 def judge_context(hits: Column) -> Column:
-    return F.array_join(F.transform(hits, lambda h: F.concat(F.coalesce(h["title"], F.lit("")), F.lit("\n"), h["text"])), "\n\n---\n\n")
+    """Hits as numbered passages between rules."""
+    part = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(h["title"], F.lit("")), F.lit("\n"), h["text"])
+    return F.array_join(F.transform(hits, part), "\n\n---\n\n")
 
 
 def fact_list(facts: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +90,32 @@ def grader_agreement(rows: DataFrame, dimensions: list[str] = DIMENSIONS, name:
     return grouped.withColumn("diff_judge_minus_manual", F.col("judge") - F.col("manual"))
 
 
+OPTIONAL_METRICS = ["recall_at_k", "average_precision", "hit", "reciprocal_rank"]
+
+
+def manual_rows(results: DataFrame, grades: DataFrame, dimensions: list[str] = DIMENSIONS) -> DataFrame:
+    """Results of a run with what a reviewer gave them: ``grades`` has id, the dimensions, error_type and notes.
+
+    Results without grades are left out; metrics that the run lacks are null, and missing lists of ids are empty.
+    """
+    given = F.struct(*[F.col(f"_g.{c}").alias(c) for c in [*dimensions, "error_type", "notes"]]).alias("manual_scores")
+    g = grades.select(F.col("id").alias("_id"), F.struct(*dimensions, "error_type", "notes").alias("_g"))
+    have = set(results.columns)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) if c in have else F.array().cast("array<string>").alias(c) for c in ("relevant_chunk_ids", "retrieved_chunk_ids")]
+    metrics = [F.col(c).cast("double").alias(c) if c in have else none(c, "double") for c in OPTIONAL_METRICS]
+    texts = [F.col(c) if c in have else none(c, "array<string>" if c == "key_facts" else "string") for c in ("question", "generated_answer", "reference_answer", "key_facts")]
+    return results.join(g, F.col("id") == F.col("_id")).select("id", "type", *texts, *lists, *metrics, "judge_scores", given)
+
+
+def manual_summary(rows: DataFrame, dimensions: list[str] = DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+    """Means of the manual grades in total (``type`` null) and by type, and the counts of error types."""
+    rows = rows.where(F.col("manual_scores").isNotNull())
+    means = rows.rollup("type").agg(F.count(F.lit(1)).alias("n"), *[mean(F.col("manual_scores").getField(d)).alias(d) for d in dimensions])
+    errors = counts_by(rows, F.col("manual_scores.error_type").alias("error_type"))
+    return means, errors
+
+
 def missing_gradings(rows: DataFrame) -> DataFrame:
     """Ids that lack a grading, with which one."""
     kind = F.when(F.col("manual_scores").isNull(), "manual").when(F.col("judge_scores").isNull(), "judge")
@@ -111,6 +140,19 @@ def run_all(experiments: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def run_paths(read: Callable[[str], DataFrame], paths: dict[str, str]) -> tuple[DataFrame | None, list[str]]:
+    """``run_all`` over stored results, and the experiments whose file is missing; any other failure is raised."""
+    found, missing = {}, []
+    for label, path in paths.items():
+        try:
+            found[label] = read(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append(label)
+    return (run_all(found) if found else None), missing
+
+
 def counts_by(rows: DataFrame, *by: str | Column) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 

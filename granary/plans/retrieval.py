@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from granary.functions import metrics, models
 from granary.functions.replies import JUDGE_REPLY, answer_prompt, json_object
 from granary.operators.bm25 import Index, bm25_topk
+from granary.operators import reports
 from granary.operators.fusion import reciprocal_rank_fusion, rerank
+from granary.operators.stored import stored
 from granary.operators.vectors import dense_topk
 
 CANDIDATES, FUSED, FINAL = 30, 30, 10
@@ -59,3 +61,23 @@ def graded(answers: DataFrame, judge: Callable[[Column, Column, Column], Column]
     )
     reply = judge(F.col("generated_answer"), F.col("key_facts"), F.col("hits"))
     return rows.withColumn("judge_scores", json_object(reply, JUDGE_REPLY))
+
+
+def evaluation(
+    questions: DataFrame,
+    ranked: DataFrame,
+    rank: str,
+    generate: Callable[[Column, Column], Column] | None = None,
+    judge: Callable[[Column, Column, Column], Column] = models.rule_judge,
+) -> dict[str, DataFrame]:
+    """A whole run over retrieved passages: 'results' by question, 'metrics' in total and by type, 'errors' by type.
+
+    ``questions`` has query_id, type, text, key_facts and relevant_chunk_ids. Results are stored, so that models are called once.
+    """
+    rows = graded(rag(questions, ranked, rank, generate), judge).withColumn("latency_seconds", F.lit(None).cast("double"))
+    results = stored(rows.withColumnRenamed("query_id", "id"), "evaluation")
+    return {
+        "results": results,
+        "metrics": reports.metrics_by_type(results, ["hit", "full_hit", "reciprocal_rank", "recall_at_k", "average_precision"], judged_only=True),
+        "errors": reports.error_distribution(results),
+    }

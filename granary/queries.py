@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import metrics, replies, text
+from granary.functions import metrics, models, replies, text, tokens
 from granary.operators import bm25, chunking, fusion, lookup, overlap, quality, reports, sampling, vectors
+from granary.operators.stored import shared_folder
+from granary.sources import json_tables
+from granary.sources.code import ship
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -183,28 +186,101 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"""
 , tok AS (SELECT doc_id, list_distinct({WORDS("coalesce(text, '')")}) AS w FROM documents),
 bt AS (SELECT item_id, list_distinct({WORDS("coalesce(text, '')")}) AS w FROM benchmark),
-near AS (SELECT item_id, doc_id, s, k, row_number() OVER (PARTITION BY item_id ORDER BY dl, k) AS dk FROM bm JOIN len USING (doc_id) WHERE k <= 60),
-j AS (SELECT item_id, doc_id, CASE WHEN dk <= 30 THEN dk END AS dk, CASE WHEN k <= 30 THEN k END AS ek FROM near WHERE dk <= 30 OR k <= 30),
+dn AS (SELECT q.vec_id AS item_id, c.vec_id AS doc_id, round(1 - list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dist
+       FROM embeddings q, embeddings c WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+dr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY dist, doc_id) AS k FROM dn),
+j AS (SELECT coalesce(d.item_id, e.item_id) AS item_id, coalesce(d.doc_id, e.doc_id) AS doc_id, d.k AS dk, e.k AS ek
+      FROM (SELECT * FROM dr WHERE k <= 30) d FULL JOIN (SELECT * FROM bm WHERE k <= 30) e ON d.item_id = e.item_id AND d.doc_id = e.doc_id),
 f AS (SELECT *, round(coalesce(1.0 / (60 + dk), 0) + coalesce(1.0 / (60 + ek), 0), 9) AS rrf FROM j),
 g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, dk NULLS LAST, ek NULLS LAST, doc_id) AS fr FROM f),
 h AS (SELECT g.*, CASE WHEN len(bt.w) > 0 THEN CAST(len(list_intersect(bt.w, tok.w)) AS DOUBLE) / len(bt.w) ELSE 0.0 END AS sc
       FROM g JOIN bt USING (item_id) JOIN tok USING (doc_id) WHERE fr <= 30),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sc DESC, fr) AS final_rank FROM h)
-SELECT item_id AS query_id, doc_id, round(rrf, 6) AS rrf_score, round(sc, 6) AS rerank_score, CAST(final_rank AS INT) AS final_rank FROM r WHERE final_rank <= 10
+SELECT item_id AS query_id, doc_id, CASE WHEN dk IS NOT NULL THEN 'dense' ELSE 'bm25' END AS retrieval_source, round(rrf, 6) AS rrf_score, round(sc, 6) AS rerank_score,
+       CAST(final_rank AS INT) AS final_rank FROM r WHERE final_rank <= 10
 """,
 )
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 candidates fused with a second list, the shortest of the best 60, and reranked by word overlap."""
-    from granary.plans.retrieval import hybrid_topk as fuse
+    """30 nearest vectors and 30 BM25 candidates for each passage, fused and reranked by a batched pair model.
+
+    A document has the vector of its number; the vector of a passage is that of its own number.
+    """
+    from granary.plans.retrieval import hybrid_retrieve
+
+    ship(spark)
+    docs, queries, vecs = _docs(spark, sf_dir), _benchmark_queries(spark, sf_dir), _table(spark, sf_dir, "embeddings")
+    queries = queries.join(vecs.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    model = models.reranker(lambda: models.word_overlap_model())
+    collection, chunks = vecs.select(F.col("vec_id").alias("id"), "embedding"), docs.select(F.col("doc_id").alias("chunk_id"), "text")
+    out = hybrid_retrieve(bm25.build_index(docs), collection, chunks, queries, score=model)
+    return out.select(
+        "query_id", F.col("id").alias("doc_id"), "retrieval_source", F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "final_rank"
+    )
+
+
+FIRST_SENTENCE = r"regexp_extract({}, '^(?s)(.*?[.!?])(?:\s|$)', 1)"
+ANSWER_SQL = BM25_SQL + rf"""
+, hit AS (SELECT item_id, k, bm.doc_id, coalesce(source, 'Unknown') AS title, text FROM bm JOIN documents USING (doc_id) WHERE k <= 3),
+lst AS (SELECT item_id, list(doc_id ORDER BY k) AS got, string_agg('[' || k || '] ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS context,
+          string_agg(text, ' ' ORDER BY k) AS seen, {FIRST_SENTENCE.format("any_value(text) FILTER (k = 1)")} AS answer FROM hit GROUP BY item_id),
+ans AS (SELECT l.*, CASE WHEN item_id % 2 = 0 THEN 'single_chunk' ELSE 'complex' END AS type, b.text AS question, [item_id, item_id + 1, got[2]] AS rel,
+          b.text AS facts FROM lst l JOIN benchmark b USING (item_id))
+"""
 
+
+def _answer_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions made of the benchmark and their three best documents."""
     docs, queries = _docs(spark, sf_dir), _benchmark_queries(spark, sf_dir)
-    index = bm25.build_index(docs)
-    pool = bm25.bm25_topk(index, queries, 60)
-    sized = docs.select(F.col("doc_id").alias("id"), F.size(text.word_tokens(F.col("text"))).alias("len"))
-    second = vectors.top_k(pool.join(sized, "id"), "query_id", 30, "dense_rank", F.col("len"), F.col("bm25_rank"))
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text")
-    out = fuse(second.select("query_id", "id", "dense_rank"), pool.where("bm25_rank <= 30").select("query_id", "id", "bm25_rank"), chunks, queries)
-    return out.select("query_id", F.col("id").alias("doc_id"), F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
+    best = bm25.bm25_topk(bm25.build_index(docs), queries, 3)
+    ranked = best.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text"), "id")
+    second = best.where("bm25_rank = 2").select("query_id", F.col("id").alias("_second"))
+    asked = queries.join(second, "query_id").select(
+        "query_id", "text", F.when(F.col("query_id") % 2 == 0, "single_chunk").otherwise("complex").alias("type"), F.array("text").alias("key_facts"),
+        F.array(*[c.cast("string") for c in (F.col("query_id"), F.col("query_id") + 1, F.col("_second"))]).alias("relevant_chunk_ids"),
+    )
+    return asked, ranked
+
+
+@query(
+    "answer_rows",
+    ANSWER_SQL
+    + """SELECT item_id AS query_id, type, array_to_string(got, ',') AS retrieved, md5(answer) AS answer,
+    md5('Answer the question from the numbered passages alone. Say so if they do not hold the answer.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:') AS prompt FROM ans""",
+)
+def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, prompt and answer of each question as one row."""
+    from granary.plans.retrieval import rag
+
+    out = rag(*_answer_parts(spark, sf_dir), "bm25_rank")
+    got = F.array_join(F.transform("hits", lambda h: h["id"]), ",")
+    return out.select("query_id", "type", got.alias("retrieved"), F.md5("generated_answer").alias("answer"), F.md5("prompt").alias("prompt"))
+
+
+@query(
+    "evaluation_run",
+    ANSWER_SQL
+    + f"""
+, w AS (SELECT *, list_distinct({WORDS("answer")}) AS aw, list_distinct({WORDS("facts")}) AS fw, list_distinct({WORDS("seen")}) AS sw FROM ans),
+g AS (SELECT *, round(1 + 4 * CASE WHEN len(fw) > 0 THEN CAST(len(list_intersect(fw, aw)) AS DOUBLE) / len(fw) ELSE 0 END, 1) AS complete,
+        round(1 + 4 * CASE WHEN len(aw) > 0 THEN CAST(len(list_intersect(aw, sw)) AS DOUBLE) / len(aw) ELSE 0 END, 1) AS grounded,
+        len(list_filter(rel, lambda x: list_contains(got, x))) AS found, len(list_distinct(rel)) AS n_rel FROM w),
+mm AS (SELECT *, CASE WHEN found > 0 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN found = len(rel) THEN 1.0 ELSE 0.0 END AS full_hit,
+        coalesce(1.0 / list_min(list_filter(list_transform(rel, lambda x: list_position(got, x)), lambda p: p > 0)), 0.0) AS rr, CAST(found AS DOUBLE) / len(rel) AS recall FROM g)
+SELECT type, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(full_hit), 6) AS full_hit, round(avg(rr), 6) AS reciprocal_rank, round(avg(recall), 6) AS recall_at_k,
+       round(avg(complete), 6) AS accuracy, round(avg(grounded), 6) AS groundedness,
+       count(*) FILTER (grounded < 3) AS n_hallucination, count(*) FILTER (grounded >= 3 AND complete < 3) AS n_omission FROM mm GROUP BY ROLLUP (type)
+""",
+)
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval, answers, grades and reports in one plan, with the offline models."""
+    from granary.plans.retrieval import evaluation
+
+    run = evaluation(*_answer_parts(spark, sf_dir), "bm25_rank")
+    m = run["metrics"]
+    shown = ["hit", "full_hit", "reciprocal_rank", "recall_at_k", "accuracy", "groundedness"]
+    kinds = run["results"].rollup("type").agg(*[F.count_if(F.col("judge_scores.error_type") == e.upper()).alias(f"n_{e}") for e in ("hallucination", "omission")])
+    out = m.join(kinds.withColumnRenamed("type", "_t"), F.col("type").eqNullSafe(F.col("_t")))
+    return out.select("type", "n", *[F.round(c, 6).alias(c) for c in shown], "n_hallucination", "n_omission")
 
 
 # ---- filters
@@ -810,3 +886,349 @@ def score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     code = replies.error_name((F.col("n") % 7).cast("int"))
     return types.crossJoin(F.broadcast(entries)).select("entry", replies.parse_score(F.col("entry")).alias("score"), "event_type", "n", code.alias("error_name"))
+
+
+# ---- files, stores and models
+
+#: The stand-in embedder: +1 or -1 for each word at one of 64 places, brought to length 1.
+EMBED_SQL = """{id} AS (SELECT id, w, CAST(('0x' || substr(md5(w), 1, 16)) AS UBIGINT) AS h FROM
+    (SELECT {key} AS id, unnest(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '\\s+'), lambda x: x <> '')) AS w FROM {table})),
+{id}_v AS (SELECT id, h % 64 AS at, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END) AS x FROM {id} GROUP BY ALL),
+{id}_n AS (SELECT id, sqrt(sum(x * x)) AS n FROM {id}_v GROUP BY id),
+{id}_e AS (SELECT t.{key} AS id, string_agg(CAST(CAST(round(coalesce(x / nullif(n, 0), 0) * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY p.at) AS vec
+  FROM {table} t CROSS JOIN (SELECT unnest(range(0, 64)) AS at) p LEFT JOIN {id}_v v ON v.id = t.{key} AND v.at = p.at LEFT JOIN {id}_n n ON n.id = t.{key} GROUP BY t.{key})"""
+
+
+def _vector_text(c: str):
+    return F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 10_000).cast("bigint").cast("string")), ",")
+
+
+@query("embed_queries", "WITH " + EMBED_SQL.format(id="q", key="item_id", text="text", table="benchmark") + " SELECT id AS item_id, md5(vec) AS vec FROM q_e")
+def embed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of each query, in batches through a model client, beside its own row."""
+    ship(spark)
+    embed = models.embedder(models.hashed_client())
+    return _table(spark, sf_dir, "benchmark").withColumn("v", embed(F.col("text"))).select("item_id", F.md5(_vector_text("v")).alias("vec"))
+
+
+@query(
+    "collection_roundtrip",
+    "WITH "
+    + EMBED_SQL.format(id="p", key="p_partkey", text="p_name", table="part")
+    + """ SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS document, coalesce(p_brand, '') AS title, 0 AS chunk_index, '' AS url, md5(vec) AS vec FROM part JOIN p_e ON p_e.id = p_partkey""",
+)
+def collection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts embedded, stored as a collection with its default values, and read back."""
+    ship(spark)
+    embed = models.embedder(models.hashed_client())
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("url", "source_category")]
+    rows = _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("chunk_id"), F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"), F.col("p_brand").alias("title"),
+        *nothing, F.lit(None).cast("int").alias("chunk_index"), F.lit(3).alias("token_count"),
+    )
+    path = shared_folder(spark, "collection")
+    json_tables.write_collection(rows.withColumn("embedding", embed(F.col("text"))), path)
+    c = json_tables.read_collection(spark, path)
+    return c.select("id", "document", "metadata.title", "metadata.chunk_index", "metadata.url", F.md5(_vector_text("embedding")).alias("vec"))
+
+
+@query("embedding_run", "SELECT 'labels' AS input_path, 'hashed' AS embedding_model, 64 AS embedding_dimensions_actual, 100 AS batch_size, CAST(count(*) AS INT) AS total_chunks FROM part")
+def embedding_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored run of the embedder says of itself."""
+    ship(spark)
+    embed = models.embedder(models.hashed_client())
+    path = shared_folder(spark, "embedding-run")
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text")).withColumn("embedding", embed(F.col("text")))
+    json_tables.write_embedding_run(rows, path, "labels", "hashed", 100, 0.0)
+    return spark.read.parquet(f"{path}/run").select("input_path", "embedding_model", "embedding_dimensions_actual", "batch_size", "total_chunks")
+
+
+LABEL_ROW = "doc_id bigint, quality int, toxic int"
+
+
+@query(
+    "json_scans",
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS form, count(*) AS n, sum(doc_id) AS ids, sum(quality) AS quality, sum(toxic) AS toxic FROM labels" for k in ("array", "strict", "lines", "wrapped", "bare", "keyed", "normalized")
+    ),
+)
+def json_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels written in all JSON forms and read back by each of the scans."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    top = shared_folder(spark, "json")
+    json_tables.write_json_array(labels, f"{top}/array")
+    json_tables.write_json(labels, f"{top}/lines")
+    json_tables.write_wrapped(labels, f"{top}/wrapped")
+    json_tables.write_keyed(labels, f"{top}/keyed", "doc_id")
+    forms = {
+        "array": json_tables.read_json(spark, f"{top}/array", LABEL_ROW),
+        "strict": json_tables.read_json(spark, f"{top}/array", LABEL_ROW, strict=True),
+        "lines": spark.read.schema(LABEL_ROW).json(f"{top}/lines"),
+        "wrapped": json_tables.read_wrapped(spark, f"{top}/wrapped", LABEL_ROW),
+        "bare": json_tables.read_wrapped(spark, f"{top}/array", LABEL_ROW),
+        "keyed": json_tables.read_keyed(spark, f"{top}/keyed", LABEL_ROW),
+    }
+    raw = labels.select(F.lit("").alias("chunk_id"), F.col("doc_id").alias("id"), F.lit("x").alias("text"), F.struct("doc_id", F.col("quality").alias("title"), F.col("toxic").alias("url")).alias("metadata"))
+    n = json_tables.normalized_chunks(raw)
+    forms["normalized"] = n.select(F.col("chunk_id").cast("bigint").alias("doc_id"), F.col("metadata.title").alias("quality"), F.col("metadata.url").alias("toxic"))
+    out = None
+    for form, rows in forms.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic"))
+        one = one.select(F.lit(form).alias("form"), "n", "ids", "quality", "toxic")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("id_texts", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, md5(text) AS text FROM documents")
+def id_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _docs(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
+    return json_tables.id_to_text(chunks).select("chunk_id", F.md5("text").alias("text"))
+
+
+@query(
+    "validation_report",
+    rf"""WITH d AS (SELECT doc_id % 17 = 0 AS a, {_sql_strip("coalesce(text, '')")} = '' OR doc_id % 19 = 0 AS b FROM documents)
+    SELECT CASE WHEN a THEN 'missing chunk_id' WHEN b THEN 'missing text' ELSE 'valid' END AS reason, count(*) AS n FROM d GROUP BY 1""",
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by what is wrong with them; the good ones pass the check that stops a run."""
+    chunks = _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 17 != 0, F.col("doc_id").cast("string")).alias("chunk_id"), F.when(F.col("doc_id") % 19 == 0, " ").otherwise(F.col("text")).alias("text"))
+    bad = quality.violations(chunks).select("reason")
+    blank = lambda c: F.length(text.text_or_empty(F.col(c))) == 0
+    good = quality.validated(chunks.where(~(blank("chunk_id") | blank("text")))).select(F.when(F.length("text") > 0, "valid").alias("reason"))
+    return reports.counts_by(bad.unionByName(good), "reason")
+
+
+PAGES = {"Rome": ["Rome wasn't built in a day.", "Gaul", None], "Coins": ["A coin / with art"]}
+
+
+def _stub_reply(params: dict) -> dict:
+    """A tiny encyclopedia in two categories: two pages a reply, one without text."""
+    if params.get("list"):
+        name = params["cmtitle"].removeprefix("Category:")
+        start, titles = int(params.get("cmcontinue", 0)), [f"{name} {i}/x" for i in range(len(PAGES[name]))]
+        more = {"continue": {"cmcontinue": start + 2}} if start + 2 < len(titles) else {}
+        return {"query": {"categorymembers": [{"title": t} for t in titles[start : start + 2]]}, **more}
+    name, i = params["titles"].removesuffix("/x").rsplit(" ", 1)
+    text_ = PAGES[name][int(i)]
+    return {"query": {"pages": {"-1" if text_ is None else f"{name}{i}": {"title": params["titles"], "extract": text_}}}}
+
+
+@query(
+    "article_scan",
+    """SELECT * FROM (VALUES ('Rome0', 'Rome 0/x', 'Rome wasn''t built in a day.', 'https://en.wikipedia.org/wiki/Rome_0/x', 27, 'Rome'),
+    ('Rome1', 'Rome 1/x', 'Gaul', 'https://en.wikipedia.org/wiki/Rome_1/x', 4, 'Rome'),
+    ('Coins0', 'Coins 0/x', 'A coin / with art', 'https://en.wikipedia.org/wiki/Coins_0/x', 17, 'Coins')) v(id, title, text, url, text_length, source_category)""",
+)
+def article_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles by category, page by page, from a server's stand-in that fails once."""
+    from granary.sources import wiki
+
+    ship(spark)
+    spark.dataSource.register(wiki.stub_source(_stub_reply))
+    return spark.read.format("granary_stub_articles").option("categories", "|".join(PAGES)).option("pause", "0").load()
+
+
+@query("bpe_roundtrip", "SELECT doc_id, true AS same, true AS counted FROM documents")
+def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through a public vocabulary and back."""
+    import public_tokenizers
+
+    ship(spark)
+    encode, decode_all = tokens.bpe(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = _docs(spark, sf_dir).select("doc_id", "text", encode(F.col("text")).alias("ids"))
+    back = rows.withColumn("back", decode_all(F.array("ids")))
+    counted = F.size("ids").between(F.sign(F.octet_length(F.coalesce("text", F.lit("")))), F.octet_length(F.coalesce("text", F.lit(""))))
+    return back.select("doc_id", (F.col("back")[0] == F.coalesce("text", F.lit(""))).alias("same"), counted.alias("counted"))
+
+
+@query("overlap_normal", f"SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))) AS normal FROM documents")
+def overlap_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.normalize_words(F.col("text"))).alias("normal"))
+
+
+@query(
+    "string_basics",
+    rf"""SELECT doc_id, length({_sql_strip("coalesce(text, '')")}) AS n, md5(lower({_sql_strip("coalesce(text, '')")})) AS low, starts_with(coalesce(source, ''), 'src1') AS pre,
+    len(string_split(coalesce(text, ''), '.')) AS sentences FROM documents""",
+)
+def string_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.text_or_empty(F.col("text"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.char_length(t).cast("bigint").alias("n"), F.md5(F.lower(t)).alias("low"), F.startswith(F.coalesce("source", F.lit("")), F.lit("src1")).alias("pre"),
+        F.size(F.split(F.coalesce("text", F.lit("")), r"\.", -1)).cast("bigint").alias("sentences"),
+    )
+
+
+# ---- prompts, judges and question writers
+
+TURNS_SQL = "t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations)"
+
+
+@query(
+    "judge_context",
+    f"""WITH {TURNS_SQL} SELECT conv_id, md5(string_agg('[' || k || '] ' || role || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k)) AS context,
+    md5(string_agg('- ' || role, chr(10) ORDER BY k)) AS facts FROM t GROUP BY conv_id""",
+)
+def judge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages and facts that a judge is shown."""
+    item = F.struct("turn", F.col("role").alias("title"), "text")
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("hits"))
+    facts = replies.fact_list(F.transform("hits", lambda h: h["title"]))
+    return c.select("conv_id", F.md5(replies.judge_context(F.col("hits"))).alias("context"), F.md5(facts).alias("facts"))
+
+
+@query(
+    "question_prompts",
+    """SELECT item_id, md5(CASE item_id % 3 WHEN 0 THEN 'Write one question that this passage answers.' WHEN 1 THEN 'Write one question that needs both passages.'
+      ELSE 'Write one question that asks for reasoning over these passages.' END || chr(10) || chr(10) || text || chr(10) || chr(10) || text || chr(10) || chr(10) ||
+      'Reply with one JSON object with the keys question, reference_answer and key_facts (a list).') AS prompt FROM benchmark""",
+)
+def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [replies.question_prompt(k, F.array("text", "text")) for k in ("single_chunk", "multi_chunk", "complex")]
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.element_at(F.array(*kinds), (F.col("item_id") % 3 + 1).cast("int"))).alias("prompt"))
+
+
+@query(
+    "question_replies",
+    """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_type END AS question, CASE WHEN event_id % 4 < 2 THEN coalesce(CASE WHEN event_id % 3 > 0 THEN value END, 0.0) END AS accuracy FROM events""",
+)
+def question_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies read as they are, or without code fences; a grade that is left out counts as 0 where there is a reply at all."""
+    i = F.col("event_id")
+    body = F.to_json(F.struct(F.col("event_type").alias("question"), F.when(i % 3 > 0, F.col("value")).alias("accuracy")))
+    reply = F.when(i % 4 == 0, body).when(i % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 4 == 2, F.lit("no JSON")).otherwise(F.concat(body, F.lit("]")))
+    s = replies.json_object_raw_first(reply, "question string, accuracy double")
+    return _table(spark, sf_dir, "events").withColumn("s", s).select("event_id", "s.question", replies.score_or(F.col("s"), "accuracy").alias("accuracy"))
+
+
+@query(
+    "judge_retries",
+    "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN event_type END AS error_type, CASE WHEN event_id % 5 < 3 THEN 1 + event_id % 5 END AS tries FROM events",
+)
+def judge_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge whose replies can be read after some tries, three at most."""
+
+    def opened():
+        seen: dict[str, int] = {}
+
+        def ask(prompt: str) -> str:
+            kind, bad = prompt.rsplit(" ", 1)
+            seen[prompt] = n = seen.get(prompt, 0) + 1
+            if n <= int(bad):
+                if n == 3:
+                    seen.pop(prompt)  # asked in vain; the next row with this prompt begins anew
+                return "no verdict"
+            seen.pop(prompt)
+            return f'```json\n{{"error_type": "{kind}", "tries": {n}}}\n```'
+
+        return ask
+
+    ship(spark)
+    prompt = F.concat_ws(" ", "event_type", (F.col("event_id") % 5).cast("string"))
+    judge = models.retried_judge(opened, pause=0.0)
+    e = _table(spark, sf_dir, "events").withColumn("s", replies.json_object(judge(prompt), "error_type string, tries bigint"))
+    return e.select("event_id", "s.error_type", "s.tries")
+
+
+def _stub_writer(prompt):
+    """A model's reply: the digest of what it was asked; every prompt whose digest starts with 0 gets no answer."""
+    digest = F.md5(prompt)
+    good = F.to_json(F.struct(digest.alias("question"), F.lit("r").alias("reference_answer"), F.array(F.lit("f")).alias("key_facts")))
+    return F.when(~F.startswith(digest, F.lit("0")), good).otherwise(F.lit("none"))
+
+
+TAIL_SQL = "chr(10) || chr(10) || 'Reply with one JSON object with the keys question, reference_answer and key_facts (a list).'"
+
+
+@query(
+    "question_writers",
+    f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS cid, coalesce(text, '') AS text, source, row_number() OVER (PARTITION BY source ORDER BY {_sql_order(5, "doc_id")}) AS k FROM documents),
+    s AS (SELECT cid, text, source, row_number() OVER (ORDER BY cid) AS n FROM d WHERE k <= 2),
+    p AS (SELECT cid, n, source, md5('Write one question that this passage answers.' || chr(10) || chr(10) || text || {TAIL_SQL}) AS q1,
+            md5('Write one question that asks for reasoning over these passages.' || chr(10) || chr(10) || text || {TAIL_SQL}) AS q2 FROM s)
+    SELECT printf('q_single_%03d', n) AS id, 'single_chunk' AS type, q1 AS question, cid AS relevant, source AS category FROM p WHERE q1 NOT LIKE '0%'
+    UNION ALL SELECT printf('q_complex_%03d', n + 25), 'complex', q2, cid, source FROM p WHERE q2 NOT LIKE '0%'
+    UNION ALL SELECT printf('q_multi_%03d', row_number() OVER (ORDER BY a.cid)), 'multi_chunk', md5('Write one question that needs both passages.' || chr(10) || chr(10) || a.text || chr(10) || chr(10) || b.text || {TAIL_SQL}),
+      a.cid || ',' || b.cid, a.source || ',' || b.source FROM d a JOIN d b ON a.source = b.source AND a.k = 1 AND b.k = 2
+      QUALIFY md5('Write one question that needs both passages.' || chr(10) || chr(10) || a.text || chr(10) || chr(10) || b.text || {TAIL_SQL}) NOT LIKE '0%' OR false""",
+)
+def question_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of three kinds over two documents of each source."""
+    from granary.plans import ingest
+
+    chunks = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("title"), F.col("source").alias("source_category"))
+    few = sampling.sample_per_group(chunks, "source_category", 2, 5, "chunk_id")
+    order = sampling.shuffled(5, "chunk_id")
+    ends = few.groupBy("source_category").agg(F.sort_array(F.collect_list(F.struct(order[0].alias("o"), "chunk_id"))).alias("l")).where(F.col("source_category").isNotNull() & (F.size("l") == 2))
+    pairs = ends.select(F.col("l")[0]["chunk_id"].alias("first_id"), F.col("l")[1]["chunk_id"].alias("second_id"))
+    made = [ingest.single_questions(few, _stub_writer), ingest.complex_questions(few, _stub_writer, after=25), ingest.multi_questions(pairs, few, _stub_writer)]
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    rows = [m.select("id", "type", "question", joined("relevant_chunk_ids").alias("relevant"), F.when(F.col("source_categories")[0].isNotNull(), joined("source_categories")).alias("category")) for m in made]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# ---- manual review and runs
+
+
+@query(
+    "pair_sample_minimum",
+    f"""WITH r AS (SELECT conv_id, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY {_sql_order(42, "(conv_id * 1000 + turn)")}) AS k FROM conversations WHERE turn IS NOT NULL),
+    p AS (SELECT conv_id % 4 AS category, conv_id, max(CASE WHEN k = 1 THEN id END) AS first_id, max(CASE WHEN k = 2 THEN id END) AS second_id FROM r WHERE k <= 2 GROUP BY ALL),
+    g AS (SELECT * FROM p WHERE second_id IS NOT NULL),
+    c AS (SELECT 2 + greatest(0, 25 - 2 * count(DISTINCT category)) // count(DISTINCT category) AS quota FROM g),
+    n AS (SELECT g.*, row_number() OVER (PARTITION BY category ORDER BY {_sql_order(42, "conv_id")}) AS k FROM g)
+    SELECT category, conv_id, first_id, second_id FROM (SELECT n.* FROM n, c WHERE k <= quota ORDER BY {_sql_order(42, "conv_id")} LIMIT 25)""",
+)
+def pair_sample_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with at least two of each category."""
+    t = _table(spark, sf_dir, "conversations").where("turn IS NOT NULL")
+    rows = t.select((F.col("conv_id") % 4).alias("category"), "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return sampling.sample_pairs(rows, 25, 42, "id", "conv_id", "category", minimum=2)
+
+
+@query(
+    "manual_rows",
+    f"""WITH {RESULT_SQL} SELECT event_id AS id, type, recall_at_k, CAST(NULL AS DOUBLE) AS hit, CAST(quality + 1 AS DOUBLE) AS accuracy, CAST(5 - toxic AS DOUBLE) AS relevance,
+    CASE WHEN toxic > 0 THEN 'HALLUCINATION' ELSE 'NONE' END AS error_type, 0 AS n_retrieved, judged FROM e JOIN labels ON doc_id = event_id""",
+)
+def manual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results beside what a reviewer gave them; metrics that the run lacks are null."""
+    l = _table(spark, sf_dir, "labels")  # noqa: E741
+    grades = l.select(
+        F.col("doc_id").alias("id"), (F.col("quality") + 1).cast("double").alias("accuracy"), (5 - F.col("toxic")).cast("double").alias("relevance"),
+        F.when(F.col("toxic") > 0, "HALLUCINATION").otherwise("NONE").alias("error_type"), F.lit("").alias("notes"),
+    )
+    m = reports.manual_rows(_results(spark, sf_dir), grades, ["accuracy", "relevance"])
+    return m.select("id", "type", "recall_at_k", "hit", "manual_scores.accuracy", "manual_scores.relevance", "manual_scores.error_type", F.size("retrieved_chunk_ids").alias("n_retrieved"), F.col("judge_scores").isNotNull().alias("judged"))
+
+
+@query(
+    "manual_summary",
+    f"""WITH {GRADED_SQL} SELECT 'mean' AS what, type, count(*) AS n, round(coalesce(avg(mq), 0), 6) AS accuracy, round(coalesce(avg(mt), 0), 6) AS relevance FROM g WHERE man GROUP BY ROLLUP (type)
+    UNION ALL SELECT 'error', CASE WHEN mt > 0 THEN 'NONE' ELSE 'HALLUCINATION' END, count(*), NULL, NULL FROM g WHERE man GROUP BY 2""",
+)
+def manual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the manual grades and counts of their error types, without a judge."""
+    g = _graded(spark, sf_dir)
+    error = F.when(F.col("manual_scores.relevance") > 0, "NONE").otherwise("HALLUCINATION")
+    g = g.withColumn("manual_scores", F.when(F.col("manual_scores").isNotNull(), F.col("manual_scores").withField("error_type", error)))
+    means, errors = reports.manual_summary(g, ["accuracy", "relevance"])
+    rounded = [F.round(c, 6).alias(c) for c in ("accuracy", "relevance")]
+    none = [F.lit(None).cast("double").alias(c) for c in ("accuracy", "relevance")]
+    return means.select(F.lit("mean").alias("what"), "type", "n", *rounded).unionByName(errors.select(F.lit("error").alias("what"), F.col("error_type").alias("type"), "n", *none))
+
+
+@query(
+    "runs_skipping_missing",
+    f"""WITH {RESULT_SQL} SELECT 'all' AS experiment, count(*) AS n, round(avg(recall_at_k), 6) AS recall_at_k FROM e UNION ALL SELECT 'click', count(*), round(avg(recall_at_k), 6) FROM e WHERE type = 'click'
+    UNION ALL SELECT 'gone', 0, NULL""",
+)
+def runs_skipping_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results of several experiments in one report, of which one has no file."""
+    top, rows = shared_folder(spark, "runs"), _results(spark, sf_dir).select("id", "type", "recall_at_k")
+    json_tables.write_table(rows, f"{top}/all")
+    json_tables.write_table(rows.where("type = 'click'"), f"{top}/click")
+    found, missing = reports.run_paths(spark.read.parquet, {k: f"{top}/{k}" for k in ("all", "click", "gone")})
+    out = found.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall_at_k"), 6).alias("recall_at_k"))
+    return out.unionByName(spark.createDataFrame([(m, 0, None) for m in missing], "experiment string, n bigint, recall_at_k double"))

@@ -76,6 +76,36 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One file with a JSON array of all rows, as other tools read it. Rows stream through one task; use ``write_json`` for large tables."""
+
+    def lines(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            rows = [f"{'[' if first and not i else ','}{r}" for i, r in enumerate(r for r in batch.column(0).to_pylist() if r is not None)]
+            first = first and not rows
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r"))
+    one = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("r"))  # so that an empty table is written too
+    one.unionByName(rows).coalesce(1).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_wrapped(df: DataFrame, path: str) -> None:
+    """One file with an object that holds the rows under 'data'; gathers the rows in one task, for small tables."""
+    one = df.agg(F.collect_list(F.struct("*")).alias("data"))
+    one.select(F.to_json(F.struct("data"))).write.mode("overwrite").text(path)
+
+
+def write_keyed(df: DataFrame, path: str, key: str) -> None:
+    """One file with an object from ids to records; gathers the rows in one task, for small tables."""
+    one = df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.struct("*")))).alias("m"))
+    one.select(F.to_json("m")).write.mode("overwrite").text(path)
+
+
 def write_embedding_run(chunks: DataFrame, path: str, input_path: str, model: str, batch_size: int, pause: float, requested: int | None = None) -> None:
     """Embedded chunks beside a table of one row about the run. All vectors must have one length."""
     spark = chunks.sparkSession

@@ -101,3 +101,21 @@ class ArticleSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return ArticleReader(self.options)
+
+
+def stub_source(reply: Callable[[dict], dict]) -> type[DataSource]:
+    """A source like ``ArticleSource`` under the name 'granary_stub_articles' whose server is a function."""
+
+    class Reader(ArticleReader):
+        def fetch(self, params: dict) -> dict | None:
+            return reply(params)
+
+    class Source(ArticleSource):
+        @classmethod
+        def name(cls) -> str:
+            return "granary_stub_articles"
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(self.options)
+
+    return Source

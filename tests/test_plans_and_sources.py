@@ -117,3 +117,71 @@ def test_stream_of_chunks(spark, tmp_path):
     got = sorted((r.chunk_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     want = sorted((r.chunk_id, r.text) for r in fixed_chunks(spark.createDataFrame(rows, schemas.ARTICLE), 3, 1, id_col="id").collect())
     assert got == want and len(got) == 3
+
+
+def test_strict_scan_and_array_file(spark, tmp_path):
+    bad = tmp_path / "bad.json"
+    bad.write_text('[{"chunk_id": "a", "chunk_index": "x"}]')
+    assert json_tables.read_json(spark, str(bad), schemas.CHUNK).count() == 1
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        json_tables.read_json(spark, str(bad), schemas.CHUNK, strict=True).collect()
+    for n in (0, 1, 5):
+        rows = spark.range(n).select(F.col("id").cast("string").alias("k"), F.lit(None).cast("int").alias("v")).repartition(3)
+        json_tables.write_json_array(rows, str(tmp_path / f"a{n}"))
+        (part,) = (tmp_path / f"a{n}").glob("part-*")
+        got = json.loads(part.read_text())
+        assert sorted(r["k"] for r in got) == [str(i) for i in range(n)] and all(r["v"] is None for r in got)
+
+
+def test_candidates_fail_on_an_unknown_chunk(spark):
+    from granary.operators import overlap
+
+    s = spark.createDataFrame([("d", "d_0", 0, "a b c")], "doc_id string, chunk_id string, chunk_index int, text string")
+    ask = lambda c: spark.createDataFrame([("q", [c])], "id string, relevant_chunk_ids array<string>")
+    assert [tuple(r) for r in overlap.candidates_of_questions(ask("d_0"), s, s).collect()] == [("q", "d_0", "d_0", 1.0, 1)]
+    with pytest.raises(Exception, match="unknown chunk d_9"):
+        overlap.candidates_of_questions(ask("d_9"), s, s).collect()
+
+
+def test_additional_questions(spark):
+    rows = [(f"c{i}", f"d{i // 2}", f"text {i}", "T", f"k{i % 4 // 2}") for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, title string, source_category string")
+    used = spark.createDataFrame([("c0",), ("c1",)], "chunk_id string")
+    asked = spark.createDataFrame([("q_multi_007",), ("q_complex_003",), ("q_complex_bad",)], "id string")
+    reply = lambda p: F.lit('{"question": "Q"}')
+    more = ingest.additional_questions(chunks, used, asked, 4, 1, "complex", reply).collect()
+    assert sorted(r.id for r in more) == [f"q_complex_{i:03d}" for i in range(4, 8)] and all(r.reference_answer == "" and r.key_facts == [] for r in more)
+    assert not {i for r in more for i in r.relevant_chunk_ids} & {"c0", "c1"}
+    pairs = ingest.additional_questions(chunks, used, asked, 4, 1, "multi_chunk", reply).collect()
+    assert sorted(r.id for r in pairs) == [f"q_multi_{i:03d}" for i in range(8, 8 + len(pairs))] and len(pairs) == 4
+    assert all(len(set(r.relevant_chunk_ids)) == 2 and r.source_titles == ["T", "T"] for r in pairs)
+
+
+def test_chunks_of_subword_tokens(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from granary.functions.tokens import bpe
+
+    encode, decode_all = bpe(spark, P.path("byte_bpe_50k.json"))
+    text = "One two three, unbelievable words follow. " * 9
+    docs = spark.createDataFrame([(1, text.strip()), (2, None)], "doc_id int, text string")
+    got = fixed_chunks(docs, 20, 5, encode=encode, decode_all=decode_all).orderBy("chunk_index").collect()
+    assert got[0].token_count == 20 and all(r.text in text for r in got) and {r.doc_id for r in got} == {"1"}
+
+
+def test_index_is_stored_once(spark, tmp_path):
+    from granary.operators.bm25 import bm25_topk, open_index
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c c"), (3, "a")], "doc_id int, text string")
+    build_index(docs, path=str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "c")], "query_id int, text string")
+    assert [r.id for r in bm25_topk(open_index(spark, str(tmp_path / "index")), q, 1).collect()] == [2]
+
+
+def test_blocks_of_evidence_terms(spark, monkeypatch):
+    from granary.operators import overlap
+
+    chunks = spark.createDataFrame([("x", "alpha beta"), ("y", "beta gamma")], "chunk_id string, text string")
+    claims = spark.createDataFrame([("c", ["alpha", "BETA", "delta"])], "claim string, evidence_terms array<string>")
+    want = sorted((r.term, r.chunk_id) for r in overlap.claim_evidence(chunks, claims).collect())
+    monkeypatch.setattr(overlap, "MAX_TERMS", 1)
+    assert sorted((r.term, r.chunk_id) for r in overlap.claim_evidence(chunks, claims).collect()) == want == [("BETA", "x"), ("BETA", "y"), ("alpha", "x")]
