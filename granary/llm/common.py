@@ -27,11 +27,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; where it is unset, a local session gets its own folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -41,7 +43,7 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written in the shared folder to cut lineage; a lost executor costs no recomputation of what they hold.
 
-    ``drop`` removes one that no later plan reads. Tables that a returned DataFrame reads stay.
+    ``drop`` removes those that no later plan reads; other tables are left alone. Tables that a returned DataFrame reads stay.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -60,6 +62,8 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:
+            if not hasattr(t, "_scratch_path"):
+                continue
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 

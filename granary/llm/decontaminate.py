@@ -5,8 +5,9 @@ windows are keyed by a 64-bit hash built by doubling: hashes of 1, 2, 4 and 8 wo
 length. Document words are hashed the same way in one pass; a broadcast hash join finds candidate positions; the words
 themselves are then compared. Only verified hits, and one marker row a document, are shuffled.
 
-The benchmark windows are broadcast only up to ``MAX_BROADCAST`` of them, which is counted first; beyond, (document, position,
-hash) rows are joined by shuffle and the words are compared after a join back.
+The benchmark windows are broadcast only up to ``MAX_BROADCAST`` bytes, which are summed first; beyond, (document, position, hash)
+rows meet them in a shuffle, salted since one window may stand in a third of the documents, and the words are compared after a
+join back.
 
 Edge cases: null, empty or wordless texts have no words, no hits and the digest of the empty string; null item ids count as
 the empty string; repeated rows give repeated results; an item id with several rows is one item; an empty benchmark hits
@@ -23,7 +24,8 @@ from granary.llm.common import Scratch, ascii_lower, table
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 8
-MAX_BROADCAST = 500_000  # windows; at some 100 bytes each, 50 MB
+MAX_BROADCAST = 48 << 20  # bytes of windows, with what arrays of them take
+SALTS = 16
 MARK = -4611686018427387904  # stands for "the document itself" among the hashes; verified apart from them
 
 
@@ -78,49 +80,57 @@ def hits(
     ``_key`` is a digest of the text, so that rows which share an id are kept apart.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    windows = scratch.write(benchmark_windows(bench, size).coalesce(1))
-    counts = {r._n: r.n for r in windows.groupBy("_n").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
-    lengths = sorted(counts)
+    windows = scratch.write(benchmark_windows(bench, size))
+    size_of = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x) + 16)
+    counts = windows.groupBy("_n").agg(F.sum(size_of("_win") + size_of("_items") + 64).alias("b")).collect()  # at most ``size`` rows
+    lengths = sorted(r._n for r in counts)
+    few = sum(r.b for r in counts) <= max_broadcast
     hashed = None
     for n in lengths:
         one = _hashed(windows.where(F.col("_n") == n).withColumnRenamed("_win", "_w"), [n])
         one = one.select(F.element_at(f"_h{n}", 1).alias("_h"), "_n", F.col("_w").alias("_win"), "_items")
         hashed = one if hashed is None else hashed.unionByName(one)
-    mark = docs.sparkSession.range(1).select(
-        F.lit(MARK).cast("bigint").alias("_h"), F.lit(0).alias("_n"), F.array().cast("array<string>").alias("_win"), F.array().cast("array<string>").alias("_items")
-    )
-    known = mark if hashed is None else hashed.unionByName(mark)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), F.md5(text).alias("_key"), words_of(F.col(text_col)).alias("_w"))
-    rows = _hashed(base, lengths) if lengths else base
-    every = F.concat(*[F.col(f"_h{n}") for n in lengths], F.array(F.lit(MARK).cast("bigint")))
+    if not lengths:
+        none = F.array().cast("array<string>").alias("_items"), F.array().cast("array<struct<s:int,e:int>>").alias("_spans")
+        return base.select("_id", "_key", F.size("_w").alias("_words"), *none)
+    rows = _hashed(base, lengths)
+    every = F.concat(*[F.col(f"_h{n}") for n in lengths])
     number = F.size("_w")
-    placed = lambda df: df.select(
-        "*",
-        (F.col("_p") >= F.col("_words") * len(lengths)).alias("_whole"),
-        F.when(F.col("_words") > 0, F.col("_p") % F.when(F.col("_words") > 0, F.col("_words"))).otherwise(0).alias("_at"),
-    )
-    if sum(counts.values()) <= max_broadcast:
+    at = F.when(F.col("_words") > 0, F.col("_p") % F.when(F.col("_words") > 0, F.col("_words"))).otherwise(0)
+    true = (F.col("_n") > 0) & (F.slice("_w", F.col("_at") + 1, F.col("_n")) == F.col("_win"))
+    span = F.struct(F.col("_at").alias("s"), (F.col("_at") + F.col("_n")).alias("e"))
+    if few:
+        # One row a document stands among its hashes for the document itself, so that documents without a hit come out too.
+        mark = docs.sparkSession.range(1).select(
+            F.lit(MARK).cast("bigint").alias("_h"), F.lit(0).alias("_n"), F.array().cast("array<string>").alias("_win"), F.array().cast("array<string>").alias("_items")
+        )
+        every = F.concat(every, F.array(F.lit(MARK).cast("bigint")))
         found = rows.select("_id", "_key", "_w", number.alias("_words"), F.posexplode(every).alias("_p", "_h"))
-        found = placed(found.join(F.broadcast(known), "_h"))
+        found = found.join(F.broadcast(hashed.unionByName(mark)), "_h")
+        whole = F.col("_p") >= F.col("_words") * len(lengths)
+        found = found.withColumns({"_whole": whole, "_at": at}).where(F.when(F.col("_whole"), F.col("_n") == 0).otherwise(true))
+        per_doc = found.groupBy("_id", "_key", "_words").agg(
+            F.count_if("_whole").alias("_times"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
+            F.sort_array(F.collect_set(F.when(~F.col("_whole"), span))).alias("_found"),
+        )
+        per_doc = per_doc.select(F.inline(F.expr("array_repeat(struct(_id, _key, _words, _items, _found), int(_times))")))
     else:
-        found = rows.select("_id", "_key", number.alias("_words"), F.posexplode(every).alias("_p", "_h"))
-        found = placed(found.join(known, "_h"))
+        salt = F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int")
+        known = hashed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = rows.select("_id", "_key", salt.alias("_s"), number.alias("_words"), F.posexplode(every).alias("_p", "_h"))
+        found = found.join(known, ["_h", "_s"]).withColumn("_at", at).drop("_h", "_s", "_p", "_words")
         again = base.dropDuplicates(["_id", "_key"]).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "_w")
-        marks = found.where("_whole").withColumn("_w", F.array().cast("array<string>"))
-        hit = found.where("NOT _whole").join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")))
-        found = marks.unionByName(hit.drop("_id2", "_key2"))
-    true = found.where(
-        (F.col("_whole") & (F.col("_n") == 0))
-        | (~F.col("_whole") & (F.col("_n") > 0) & (F.slice("_w", F.col("_at") + 1, F.col("_n")) == F.col("_win")))
-    )
-    span = F.when(~F.col("_whole"), F.struct(F.col("_at").alias("s"), (F.col("_at") + F.col("_n")).alias("e")))
-    per_doc = true.groupBy("_id", "_key", "_words").agg(
-        F.count_if("_whole").alias("_times"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
-        F.sort_array(F.collect_set(span)).alias("_found"),
-    )
+        hit = found.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2"))).drop("_id2", "_key2").where(true)
+        hit = hit.groupBy(F.col("_id").alias("_id2"), F.col("_key").alias("_key2")).agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_i"), F.sort_array(F.collect_set(span)).alias("_f")
+        )
+        per_doc = base.select("_id", "_key", number.alias("_words")).join(hit, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left")
+        none = F.array().cast("array<string>"), F.array().cast("array<struct<s:int,e:int>>")
+        per_doc = per_doc.select("_id", "_key", "_words", F.coalesce("_i", none[0]).alias("_items"), F.coalesce("_f", none[1]).alias("_found"))
     merged = F.aggregate(
         "_found",
         F.array().cast("array<struct<s:int,e:int>>"),
@@ -134,9 +144,7 @@ def hits(
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return per_doc.select(
-        F.inline(F.expr("array_repeat(struct(_id, _key, _words, _items, _found), int(_times))"))
-    ).withColumn("_spans", merged).drop("_found")
+    return per_doc.withColumn("_spans", merged).drop("_found")
 
 
 def report(docs: DataFrame, bench: DataFrame, size: int = SIZE, min_items: int = 2, **more) -> DataFrame:

@@ -18,7 +18,8 @@ def contract(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
     """``labels`` (nid, label, ...) after joining the labels that ``edges`` (u, v), two labels, connect.
 
     Each round every label takes the smallest label next to it as its parent, parents are followed two steps, and edges are
-    rewritten; the rounds end when no edge is left. The surviving label of a component is its smallest.
+    rewritten; the rounds end when no edge is left. The surviving label of a component is its smallest. A table of labels that is
+    replaced is removed.
     """
     edges = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not edges.isEmpty():
@@ -26,7 +27,10 @@ def contract(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
         for _ in range(2):
             parents = relabelled(parents, "p", parents)
         parents = scratch.write(parents)
+        old = labels, edges, parents
         labels = scratch.write(relabelled(labels, "label", parents))
         both = relabelled(relabelled(edges, "u", parents), "v", parents).where("u <> v")
         edges = scratch.write(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        scratch.drop(*old)
+    scratch.drop(edges)
     return labels

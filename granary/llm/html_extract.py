@@ -12,7 +12,8 @@ the page has none and then without lists of links; template text is left out of
 
 Edge cases: a null html counts as empty and gives an empty text, as does a page without article text; a null url belongs to
 the host ''; a host of fewer than ``SUPPORT`` pages has no template text and is read by its roles alone; repeated rows give
-repeated results; pages cut short are read as far as they go.
+repeated results; pages cut short are read as far as they go; a tag with a quote that never closes ends at its first '>'. Pages
+of any length and depth are read in time that grows with their length; a path longer than ``DEEP`` is kept as its digest.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -30,9 +32,11 @@ from granary.llm.common import Scratch, ship, table
 
 SUPPORT = 3
 PAGE = "#page"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z|([^<]+|<)", re.S
-)
+COMMENT, MARKUP = re.compile(r"<!--.*?(?:-->|\Z)", re.S), re.compile(r"<[!?/][^>]*(?:>|\Z)")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Without regard to quotes, for tags with one that is never closed.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+DEEP = 256  # characters of a path, beyond which its digest stands for it
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "button", "head", "title", "canvas"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "param", "source", "track"}
@@ -81,13 +85,57 @@ def _labels(attributes: str) -> tuple[str, set[str], bool]:
     return " ".join(names), words, hidden
 
 
-def _raw_end(source: str, at: int, tag: str, parent: str) -> int:
+class _Source:
+    """A page's source with searches that remember what they found, so that looking ahead again and again costs one pass."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, text.rfind(">")
+        self.found: dict[str, tuple[int, re.Match | None]] = {}
+        self.compiled: dict[str, re.Pattern] = {}
+
+    def pattern(self, regex: str) -> re.Pattern:
+        if regex not in self.compiled:
+            self.compiled[regex] = re.compile(regex, re.I)
+        return self.compiled[regex]
+
+    def search(self, regex: str, at: int) -> re.Match | None:
+        """The first match from ``at`` on; ``at`` never falls from one call to the next."""
+        begin, m = self.found.get(regex, (-1, None))
+        if begin < 0 or (m is not None and m.start() < at):
+            m = self.pattern(regex).search(self.text, at)
+            self.found[regex] = at, m
+        return m
+
+    def token(self, at: int) -> tuple[int, str | None, re.Match | None]:
+        """(end, text, tag) of the token at ``at``: text, a tag, or neither for comments and other markup."""
+        if self.text[at] != "<":
+            end = self.text.find("<", at)
+            end = len(self.text) if end < 0 else end
+            return end, self.text[at:end], None
+        following = self.text[at + 1 : at + 2]
+        if self.text.startswith("<!--", at):
+            return COMMENT.match(self.text, at).end(), None, None
+        named = following.isascii() and following.isalpha()
+        if named or following == "/":
+            if at < self.last:
+                m = TAG.match(self.text, at) or PLAIN_TAG.match(self.text, at)
+                if m:
+                    return m.end(), None, m
+            elif named:  # a tag that the page's end cuts short
+                end = self.text.find("<", at + 1)
+                return (len(self.text), None, None) if end < 0 else (at + 1, "<", None)
+        if following in ("!", "?", "/"):
+            return MARKUP.match(self.text, at).end(), None, None
+        return at + 1, "<", None
+
+
+def _raw_end(source: _Source, at: int, tag: str, parent: str) -> int:
     """Where a raw element that starts before ``at`` ends: after its end tag, or, unclosed, at its parent's end or the next block."""
-    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+    end = source.search(rf"</{re.escape(tag)}\b[^>]*>", at)
     if tag not in SOFT:
-        return end.end() if end else len(source)
+        return end.end() if end else len(source.text)
     depth = 0
-    for m in re.compile(rf"<(/?)({tag}|{parent or tag})\b[^>]*>", re.I).finditer(source, at, end.start() if end else at):
+    for m in source.pattern(rf"<(/?)({re.escape(tag)}|{re.escape(parent or tag)})\b[^>]*>").finditer(source.text, at, end.start() if end else at):
         if m[2].lower() == tag:
             break
         depth += -1 if m[1] else 1
@@ -96,19 +144,24 @@ def _raw_end(source: str, at: int, tag: str, parent: str) -> int:
     else:
         if end:
             return end.end()
-    stop = re.compile(rf"<(?:/{parent or 'html'}|{'|'.join(sorted(CLOSES_P))})\b", re.I).search(source, at)
-    return stop.start() if stop else len(source)
+    stop = source.search(rf"<(?:/{re.escape(parent or 'html')}|{'|'.join(sorted(CLOSES_P))})\b", at)
+    return stop.start() if stop else len(source.text)
 
 
 def read_page(source: str | None):
     """(blocks, elements): text blocks as (role, text, characters in links, is not article, is in main) and element roles in order."""
     blocks, elements = [], []
     stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, role, not article, main, not article by a word that an article resets
+    opened: Counter = Counter()
     text: list[str] = []
     linked, in_link = 0, 0
-    source = source or ""
+    page = _Source(source or "")
     at = 0
 
+    def close(first: int) -> None:
+        opened.subtract(x[0] for x in stack[first:])
+        del stack[first:]
+
     def flush() -> None:
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
@@ -118,14 +171,13 @@ def read_page(source: str | None):
         text.clear()
         linked = 0
 
-    while at < len(source):
-        m = TOKEN.match(source, at)
-        at = m.end()
-        if m[4] is not None:
-            text.append(m[4])
-            linked += len(m[4]) if in_link else 0
+    while at < len(page.text):
+        at, words_here, m = page.token(at)
+        if words_here is not None:
+            text.append(words_here)
+            linked += len(words_here) if in_link else 0
             continue
-        if m[2] is None:
+        if m is None:
             continue
         tag = m[2].lower()
         if m[1]:
@@ -136,21 +188,19 @@ def read_page(source: str | None):
             if tag in INLINE or tag in VOID:
                 continue
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in RAW:
-            if tag == "head" and not re.compile(r"</head\b[^>]*>", re.I).search(source, at):
-                end = re.compile(r"<body\b", re.I).search(source, at)
+            if tag == "head" and not page.search(r"</head\b[^>]*>", at):
+                end = page.search(r"<body\b", at)
                 at = end.start() if end else at
                 continue
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
-                at = _raw_end(source, at, tag, stack[-1][0] if stack else "")
+                at = _raw_end(page, at, tag, stack[-1][0] if stack else "")
             continue
         if tag == "a":
             in_link += 1
@@ -159,15 +209,15 @@ def read_page(source: str | None):
         flush()
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in ("div", "article", "section", "td", "li", "body"):
                     break
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
+            close(len(stack) - 1)
         names, words, hidden = _labels(m[3]) if m[3].strip() else ("", set(), False)
         above = stack[-1] if stack else ("", "", False, False, False)
         inherited = above[2] and not (above[4] and tag in MAIN_WORDS)
@@ -178,6 +228,9 @@ def read_page(source: str | None):
         soft = soft and not (hidden or tag in OTHER_ROLES or tag == "header" or named & FIRM_WORDS or (inherited and not above[4]))
         other = other or bool(named)
         role = f"{above[1]}/{tag}" + (f".{names}" if names else "")
+        if len(role) > DEEP:
+            role = "#path " + xxhash.xxh3_128_hexdigest(role.encode("utf-8", "surrogatepass"))
+        opened[tag] += 1
         stack.append((tag, role, other, main, soft))
         elements.append(role)
     flush()

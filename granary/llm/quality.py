@@ -2,7 +2,8 @@
 
 A text is the set of its hashed features: lower-case letter runs, marks, and levels of repetition. All grades share one weight
 a feature; ordered thresholds turn the weighted sum into the chance of each grade, P(grade >= k) = logistic(score - b_k). The
-fit is on at most ``SAMPLE`` labelled rows, those with the smallest hashes of their ids; features seen in fewer than
+fit is on at most ``SAMPLE`` labelled rows with at most ``BUDGET`` features together, those with the smallest hashes of their ids;
+features seen in fewer than
 ``MIN_DOCS`` of them, or whose documents' mean grade is within ``SIGNAL`` standard errors of the mean, get no weight. Scoring reads every whole text and needs no exchange.
 
 Edge cases: null and empty texts have no features and get the thresholds' own grade; labelled rows without a grade, an id or a
@@ -21,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import ship, table
+from granary.llm.common import Scratch, ship, table
 
 BUCKETS = 1 << 20
 SAMPLE = 20_000
+BUDGET = 12_000_000  # 4 bytes each
 MIN_DOCS = 5
 SIGNAL = 5.0
 KNOWN = 400_000
@@ -42,7 +44,7 @@ class Features:
         if found is None:
             if len(self.known) > KNOWN:
                 self.known.clear()
-            key = "0" if piece[0].isdigit() else piece[:8] if not piece[0].isalpha() else piece
+            key = "0" if piece[0].isdigit() else piece
             found = self.known[piece] = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass")) % BUCKETS
         return found
 
@@ -126,25 +128,39 @@ class OrdinalModel:
         return cls(dict(zip(used.tolist(), theta[grades - 1 :].tolist())), b)
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE) -> OrdinalModel:
+def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE, budget: int = BUDGET) -> OrdinalModel:
     """A model of ``ratings`` (doc_id, grade) over ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     good = F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()
     chosen = ratings.where(good).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     # At most ``sample`` pairs of numbers are broadcast.
-    rated = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("grade", "text", "doc_id")
+    rated = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id", "grade")), "doc_id").select("grade", "text", "doc_id")
 
     def featured(batches):
         f = Features()
         for batch in batches:
+            found = [np.array(f.of(t), np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([np.array(f.of(t), np.int32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
-                names=["grade", "doc_id", "features"],
+                [batch.column(0), batch.column(2), pa.array([len(x) // 4 for x in found], pa.int32()), pa.array(found, pa.binary())],
+                names=["grade", "doc_id", "n", "features"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rated.withColumn("grade", F.col("grade").cast("int")).mapInArrow(featured, f"grade int, doc_id {kind}, features binary").collect()
+    rows = rated.withColumn("grade", F.col("grade").cast("int")).mapInArrow(featured, f"grade int, doc_id {kind}, n int, features binary")
+    rows = Scratch(spark, "rated").write(rows.withColumn("h", F.xxhash64("doc_id")))
+    # An id may stand for several texts: rows are counted again, in hash order, and their features too.
+    order = rows.orderBy("h", "doc_id", "grade", "n").select("h", "n").limit(sample + 1).collect()
+    last, held = None, 0
+    for k, r in enumerate(order):
+        held += r.n
+        if k >= sample or held > budget:
+            break
+        last = r.h
+    # Rows of the last id that were cut go with it, unless it is the only one.
+    whole = len(order) <= sample and held <= budget
+    rows = rows if whole else rows.where(F.col("h") < order[k].h) if last is not None and order[k].h > order[0].h else rows.orderBy("h", "grade", "n").limit(max(1, k))
+    rows = rows.select("doc_id", "grade", "features").collect()
     # In a fixed order, so that sums do not depend on which task came first.
     rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.features)))
     return OrdinalModel.fit([(r.grade, np.frombuffer(r.features, np.int32)) for r in rows], grades)

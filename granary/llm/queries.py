@@ -6,9 +6,9 @@ from granary.llm.hmm_score import op8_hmm_score
 from granary.llm.html_extract import op9_html_extract
 from granary.llm.language_id import op1_language_id
 from granary.llm.mixing import op7_mix_sources
-from granary.llm.near_dedup import op3_minhash_near_dedup
+from granary.llm.near_dedup import OP3_SQL, op3_minhash_near_dedup
 from granary.llm.quality import op10_quality
-from granary.llm.suffix_dedup import op5_suffix_dedup
+from granary.llm.suffix_dedup import OP5_SQL, op5_suffix_dedup
 from granary.llm.token_counts import op6_token_counts
 
 QUERIES = {
@@ -23,4 +23,9 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL}
+ORACLE_SQL = {
+    "op2_exact_dedup": OP2_SQL,
+    "op3_minhash_near_dedup": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+}

@@ -5,8 +5,10 @@ A byte goes when a string of ``SPAN`` bytes covers it that also starts in a docu
 1. Whole copies of a text are answered by the copy with the smallest id and leave.
 2. The other documents are packed in blocks. Every window of ``SPAN`` bytes has an anchor, the least hash of the ``GRAM``-byte
    strings in it, which depends on the window's bytes alone. Neighbouring windows mostly share theirs, so the windows of a
-   document fall into short runs with one anchor. Each block sends its distinct anchors, sorted and difference-coded; anchors
-   seen in one document only come back unmarked and their windows leave. This filter loses no repeated window.
+   document fall into short runs with one anchor. Each block sends its distinct anchors, sorted and difference-coded, with the
+   number of their runs; anchors seen in one document only come back unmarked and their windows leave. This filter loses no
+   repeated window. Anchors of more than ``HOT`` runs come back as hot: their windows are exchanged one by one by a hash of all
+   their bytes, so that a phrase that stands between other words in each document is spread over all receivers.
 3. Windows with marked anchors are exchanged by anchor. The overlapping windows of one run travel as one region, their common
    text once, which is smaller than front-coded suffixes would be (see README); regions that are equal travel once a block.
 4. Each receiver sorts the windows of groups of blocks into runs with the length of the prefix that each shares with the one
@@ -26,6 +28,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +40,10 @@ BLOCK = 4 << 20  # bytes of text in a block
 PART = 8 << 20  # bytes of text for each receiving group
 SLICE = 1 << 17  # windows hashed at a time
 RUNS = 16
+HOT = 20_000  # runs of one anchor that a receiver takes together; some 2 kB each
+SALTS = 32
 LAST = (1 << 63) - 1
-BROADCAST_IDS = 1_000_000  # copies to drop; 24 bytes each
+BROADCAST_IDS = 500_000  # copies to drop; an id and a digest, some 80 bytes each
 
 
 @functools.lru_cache(maxsize=1)
@@ -115,6 +120,7 @@ class Block:
         a = self.anchor[order]
         first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
         self.distinct = a[first].astype(np.uint64)
+        self.times = np.diff(np.append(first, len(a))).astype(np.uint64)
         self.which = np.empty(len(a), np.int64)  # of each run, the place of its anchor among the distinct ones
         self.which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(a))))
         who = self.ids[self.owner[order]] if len(a) else np.empty(0, np.int64)
@@ -122,18 +128,32 @@ class Block:
             np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first) if len(first) else np.empty(0, bool)
         )
 
-    def regions(self, marked: np.ndarray):
-        """Runs with marked anchors: (run numbers, region number of each, distinct regions as bytes, smallest id, anchor)."""
+    def split(self, marked: np.ndarray, hot: np.ndarray):
+        """(starts, lengths, owners, anchors) of the runs with marked anchors; those with hot anchors are cut into their windows."""
         runs = np.flatnonzero(marked[self.which])
+        cool, warm = runs[~hot[self.which[runs]]], runs[hot[self.which[runs]]]
+        n = self.length[warm]
+        each = np.repeat(self.start[warm] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        data = self.data.tobytes() if len(each) else b""
+        hashes = np.array([xxhash.xxh3_64_intdigest(data[s : s + SPAN]) for s in each.tolist()], np.uint64)
+        return (
+            np.concatenate((self.start[cool], each)), np.concatenate((self.length[cool], np.ones(len(each), np.int64))),
+            np.concatenate((self.owner[cool], np.repeat(self.owner[warm], n))), np.concatenate((self.anchor[cool].astype(np.uint64), hashes)),
+        )
+
+    def regions(self, marked: np.ndarray, hot: np.ndarray):
+        """The runs of ``split``, and their regions: (runs, region number of each, distinct regions as bytes, smallest id, anchor)."""
+        runs = self.split(marked, hot)
+        start, length, owner, anchors = runs
         raw = self.data.tobytes()
         seen: dict[bytes, int] = {}
-        at = np.empty(len(runs), np.int64)
-        for j, (s, n) in enumerate(zip(self.start[runs].tolist(), self.length[runs].tolist())):
+        at = np.empty(len(start), np.int64)
+        for j, (s, n) in enumerate(zip(start.tolist(), length.tolist())):
             at[j] = seen.setdefault(raw[s : s + n + SPAN - 1], len(seen))
         least = np.full(len(seen), LAST, np.int64)
-        np.minimum.at(least, at, self.ids[self.owner[runs]])
+        np.minimum.at(least, at, self.ids[owner])
         anchor = np.zeros(len(seen), np.uint64)
-        anchor[at] = self.anchor[runs]
+        anchor[at] = anchors
         return runs, at, list(seen), least, anchor
 
 
@@ -303,13 +323,15 @@ def _open_block(ids: bytes, offsets: bytes, text: bytes) -> Block:
     return Block(np.frombuffer(ids, np.int64), np.frombuffer(offsets, np.int64), data)
 
 
-def _marks(block: Block, parts: int, replies: list) -> np.ndarray:
-    marked = np.zeros(len(block.distinct), bool)
+def _marks(block: Block, parts: int, replies: list) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the block's distinct anchors are marked and which are hot."""
+    marked, hot = np.zeros(len(block.distinct), bool), np.zeros(len(block.distinct), bool)
     part = _parts(block.distinct, parts)
-    for p, bits in replies or []:
-        at = np.flatnonzero(part == p)
-        marked[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
-    return marked
+    for m in replies or []:
+        at = np.flatnonzero(part == m["part"])
+        both = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=2 * len(at)).astype(bool)
+        marked[at], hot[at] = both[: len(at)], both[len(at) :]
+    return marked, hot
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -329,7 +351,7 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
             for p in np.unique(part).tolist():
                 mine = part == p
                 coded = np.diff(block.distinct[mine], prepend=np.uint64(0))
-                out.append((name, p, _pack(coded, np.packbits(block.several[mine])), None, None))
+                out.append((name, p, _pack(coded, np.packbits(block.several[mine]), block.times[mine]), None, None))
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0]), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
@@ -342,9 +364,10 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     def mark(key, frame):
         import pandas as pd
 
-        lists, several = [], []
+        lists, several, times = [], [], []
         for body in frame["body"]:
-            coded, flags = _unpack(body)
+            coded, flags, runs = _unpack(body)
+            times.append(runs)
             lists.append(np.cumsum(coded, dtype=np.uint64))
             several.append(np.unpackbits(flags, count=len(coded)).astype(bool))
         every = np.concatenate(lists)
@@ -353,10 +376,11 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
         count = np.diff(np.append(first, len(a)))
         many = (count > 1) | np.logical_or.reduceat(np.concatenate(several)[order], first)
-        flag = np.empty(len(a), bool)
-        flag[order] = np.repeat(many, count)
+        hot = many & (np.add.reduceat(np.concatenate(times)[order], first) > HOT)
+        flag = np.empty((2, len(a)), bool)
+        flag[:, order] = np.repeat(np.stack((many, hot)), count, axis=1)
         cuts = np.cumsum([len(x) for x in lists])[:-1]
-        bits = [np.packbits(x).tobytes() for x in np.split(flag, cuts)]
+        bits = [np.packbits(x).tobytes() for x in np.split(flag, cuts, axis=1)]
         return pd.DataFrame({"block": frame["block"], "part": frame["part"], "bits": bits})
 
     replies = scratch.write(
@@ -367,7 +391,7 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
         for batch in batches:
             for name, body, ids, offsets, marks in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 block = _open_block(ids, offsets, body)
-                _, _, regions, least, anchor = block.regions(_marks(block, parts, [(m["part"], m["bits"]) for m in marks or []]))
+                _, _, regions, least, anchor = block.regions(*_marks(block, parts, marks))
                 part = _parts(anchor, parts)
                 out = []
                 for p in np.unique(part).tolist():
@@ -422,7 +446,7 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
         for batch in batches:
             for body, ids, offsets, marks, hits in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 block = _open_block(ids, offsets, body)
-                runs, at, regions, least, anchor = block.regions(_marks(block, parts, [(m["part"], m["bits"]) for m in marks or []]))
+                runs, at, regions, least, anchor = block.regions(*_marks(block, parts, marks))
                 windows = np.array([len(r) - SPAN + 1 for r in regions], np.int64)
                 first = np.concatenate(([0], np.cumsum(windows)[:-1])).astype(np.int64)
                 hit = np.zeros(int(windows.sum()), bool)
@@ -434,10 +458,10 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
                     raw = zstandard.ZstdDecompressor().decompress(h["bits"])
                     hit[inside] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(inside)).astype(bool)
                 gone = np.zeros(len(block.data) + 1, np.int32)
-                n = block.length[runs]
-                here = np.arange(n.sum()) + np.repeat(block.start[runs] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+                start, n, owner, _ = runs
+                here = np.arange(n.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n)
                 same = np.arange(n.sum()) + np.repeat(first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                later = np.repeat(block.ids[block.owner[runs]] > least[at], n)
+                later = np.repeat(block.ids[owner] > least[at], n)
                 starts = here[hit[same] | later]
                 np.add.at(gone, starts, 1)
                 np.add.at(gone, starts + SPAN, -1)
@@ -468,8 +492,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("did"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text")
     )
     keys = scratch.write(rows.select("did", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").cast("bigint").alias("n")))
-    groups = keys.groupBy("sha").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("sha", "lo")
-    copies = scratch.write(keys.join(groups, "sha").where("did > lo").select("did", "sha", "n"))
+    # By salts first, and met by salts, since one text may be a third of all.
+    salted = keys.withColumn("s", F.pmod(F.xxhash64("did"), F.lit(SALTS)).cast("int"))
+    dealt = salted.groupBy("sha", "s").agg(F.min("did").alias("lo"), F.max("did").alias("hi"))
+    groups = dealt.groupBy("sha").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("s").alias("ss")).where("lo < hi")
+    groups = scratch.write(groups.select("sha", "lo", F.explode("ss").alias("s")))
+    copies = scratch.write(salted.join(groups, ["sha", "s"]).where("did > lo").select("did", "sha", "n"))
     n_copies, total = copies.count(), keys.agg(F.sum("n")).first()[0] or 0
     drop = copies.select(F.col("did").alias("d"), F.col("sha").alias("h")).distinct()
     if n_copies <= BROADCAST_IDS:
@@ -492,3 +520,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to earlier documents."""
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+#: Bytes as pairs of hexadecimal digits; a window is 100 of them from an even place on.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, upper(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT doc_id, i, x[2 * i + 1 : 2 * i + 100] AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d WHERE len(x) >= 100)),
+h AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, i, lo FROM w JOIN h USING (s)),
+g AS (SELECT doc_id, i, CASE WHEN i > coalesce(lag(i) OVER v + 50, -1) THEN 1 ELSE 0 END AS fresh FROM m WHERE lo < doc_id WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY ALL),
+p AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS z FROM r),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(x[2 * z + 1 : 2 * a], '' ORDER BY k) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || x[2 * coalesce(last, 0) + 1 :])) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -226,7 +226,7 @@ def _bench(corpus):
     return [(1, cut(texts[0], 2, 14)), (2, cut(texts[1], 0, 8)), (3, cut(texts[1], 4, 13)), (10, "Word"), (11, cut(texts[2], 3, 6)), (12, None), (13, " "), (None, cut(texts[4], 1, 12)), (2, cut(texts[6], 0, 9))]
 
 
-@pytest.mark.parametrize("max_broadcast", [decontaminate.MAX_BROADCAST, 0])
+@pytest.mark.parametrize("max_broadcast", [decontaminate.MAX_BROADCAST, 0])  # beyond the bound: by shuffle
 def test_decontamination_report(spark, docs, corpus, max_broadcast):
     bench = _bench(corpus)
     b = spark.createDataFrame(bench, "item_id bigint, text string")
@@ -279,8 +279,10 @@ def test_repeated_passages(docs, corpus, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
-def test_repeated_passages_over_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3, 0])
+def test_repeated_passages_over_small_blocks(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     r = random.Random(3)
     unit = ["ab" * 40, "x" * 120, "é" * 60, "".join(r.choice("abc") for _ in range(200))]
     rows = [(i, "".join(r.choice(unit) + r.choice("\0pq ") for _ in range(r.randrange(1, 4)))) for i in range(60)]
@@ -575,3 +577,89 @@ def test_ordinal_fit_orders_grades(spark, empty):
     assert quality.grade(empty, model).count() == 0
     none = quality.train(d, ratings.where("false"), 3)
     assert {round(x.expected_grade, 6) for x in quality.grade(d, none).collect()} == {1.0}
+
+
+def test_ordinal_sample_is_bounded(spark):
+    texts = [(i, f"word{i % 3} common") for i in range(30)] + [(5, "word1 again and again")] * 3
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(30)], "doc_id bigint, grade int")
+    fitted = []
+
+    class Seen(quality.OrdinalModel):
+        pass
+
+    original = quality.OrdinalModel.fit
+    quality.OrdinalModel.fit = classmethod(lambda cls, rows, grades, **k: fitted.append(rows) or original.__func__(cls, rows, grades, **k))
+    try:
+        quality.train(d, ratings, 3)
+        quality.train(d, ratings, 3, sample=10)
+        quality.train(d, ratings, 3, budget=40)
+    finally:
+        quality.OrdinalModel.fit = original
+    assert len(fitted[0]) == 33 and 0 < len(fitted[1]) <= 10 and 0 < sum(len(f) for _, f in fitted[2]) <= 40
+
+
+def test_ordinal_fit_is_the_maximum():
+    r = np.random.default_rng(4)
+    rows = []
+    for _ in range(2000):
+        has = r.random(4) < 0.5
+        score = 1.5 * has[0] - 2.0 * has[1] + 0.8 * has[2] + r.logistic()
+        rows.append((int(score > -0.5) + int(score > 1.0), [i for i in range(4) if has[i]]))
+    model = quality.OrdinalModel.fit(rows, 3, steps=3000, rate=0.02)
+    used = sorted(model.weights)
+
+    def loss(theta):
+        b, w = theta[:2], dict(zip(used, theta[2:]))
+        out = 0.0
+        for g, f in rows:
+            tail = [1.0, *[1 / (1 + math.exp(-(sum(w.get(i, 0.0) for i in f) - x))) for x in b], 0.0]
+            out -= math.log(max(tail[g] - tail[g + 1], 1e-12))
+        return out + sum(x * x for x in theta[2:])
+
+    best = np.array([*model.thresholds, *[model.weights[i] for i in used]])
+    least = loss(best)
+    assert model.thresholds[0] < model.thresholds[1] and {0, 1} <= set(used)
+    for i in range(len(best)):
+        for step in (-0.05, 0.05):  # the objective is convex: no neighbour along an axis is better
+            other = best.copy()
+            other[i] += step
+            assert loss(other) > least - 1e-6
+
+
+def test_quality_of_long_and_repeated_texts(spark):
+    d = spark.createDataFrame([(1, "good words " * 50_000), (1, "good words " * 50_000), (2, "?" * 300_000), (3, None), (4, "")], "doc_id bigint, text string")
+    out = quality.grade(d, quality.OrdinalModel({}, np.array([-1.0, 1.0]))).collect()
+    assert len(out) == 5 and len({(r.expected_grade, r.tail_prob) for r in out}) == 1
+
+
+@pytest.mark.parametrize("page", ["<i " * 100_000, "<div>" * 100_000, "<button>" * 50_000, '<a "' * 50_001 + ">", "<p>" * 100_000, "<ul>" * 50_000 + "</x>" * 50_000])
+def test_html_time_grows_with_length(page):
+    import time
+
+    t = time.time()
+    blocks, elements = html_extract.read_page(page + "<article><p>text here</p></article>")
+    assert time.time() - t < 5 and all(len(e) < 400 for e in elements)
+
+
+def test_html_text_comes_from_the_template(spark):
+    """Pages without article or main; the text that all have in one place is the template's."""
+    pages = [(i, "http://h/x", f"<body><div><h2>Site name</h2><p>Body of page {i} with words.</p><p>All rights kept here</p></div></body>") for i in range(5)]
+    d = spark.createDataFrame(pages + [pages[0]], "page_id bigint, url string, html string")
+    out = html_extract.extract(d).collect()
+    assert len(out) == 6 and all(r.text == f"Body of page {r.page_id} with words." for r in out)
+    # Without a template nothing is cut.
+    assert html_extract.article_text(pages[0][2], []) == "Site name\n\nBody of page 0 with words.\n\nAll rights kept here"
+
+
+def test_html_frame_matches_brute_force(spark):
+    r = random.Random(5)
+    pages = []
+    for i in range(8):
+        extra = "".join(f"<p>own {i} {k}</p>" for k in range(r.randrange(3)))
+        pages.append((i, "http://b/", f"<div><h1>Top</h1>{extra}<p>{r.choice(['x', 'y'])}</p><footer>End</footer><span>in</span></div>"))
+    rows = [(u, h) for _, u, h in pages]
+    found = html_extract.templates(spark.createDataFrame(rows, "_host string, html string")).first()
+    counts = [Counter(t for t, _ in html_extract.events(*html_extract.read_page(h)) if t) for _, h in rows]
+    want = {t for t in set().union(*counts) if all(c[t] == 1 for c in counts)}
+    assert set(found._frame) == want
