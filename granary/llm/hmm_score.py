@@ -1,23 +1,28 @@
 """Scores of texts under a hidden Markov language model trained by Baum-Welch counts summed across partitions.
 
-The ``HEAD`` most frequent training tokens, the end among them, are symbols of their own; all other words share the tail
-symbol and are told apart by ``(c + 1) / (T + U + 1)``, with T tokens and U distinct words in the training tail, so that the
-model gives every text a probability. Each round every partition runs the scaled forward and backward recursions over its
-training texts (cut for training into sequences of ``SEGMENT`` tokens, which learn a start of their own) and sends summed
-expected counts, whose size is that of the model. Scoring runs the forward recursion over whole texts; for very long texts
-it does so over pieces from every state at once and chains them, which is exact too.
-
-Counts of head words travel with the model. Counts of tail words meet the texts in a join by word, which no frequent
+The ``HEAD`` most frequent training tokens, the end among them, are symbols of their own. All other words share ``CLASSES``
+symbols by their last three bytes, so that the states see rare and unknown words by their endings; within a class k they are
+told apart by ``(c + 1) / (T_k + U_k + 1)``, with T_k tokens and U_k distinct words of the class in training, so that the model
+gives every text a probability. Each round every partition runs the scaled forward and backward recursions over its training
+texts and sends summed expected counts, whose size is that of the model. For training, texts are worked in pieces of
+``SEGMENT`` tokens that see ``CONTEXT`` tokens more on either side: every token and every transition is counted once, in the
+middle of a piece, from states that the context has settled. Scoring runs the forward recursion over whole texts; for very long
+texts it does so over pieces from every state at once and chains them, which is exact.
+
+Counts of head words travel with the model. Counts of other words meet the texts in a join by word, which no frequent
 word takes part in.
 
 Edge cases: null and empty texts are the end token alone; a null id counts as the empty string when folds are made; repeated
-rows give repeated results; without training texts all counts are 0 and the model is uniform.
+rows give repeated results; words with equal counts enter the head in the order of their bytes; without training texts all
+counts are 0 and the model is uniform.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,9 @@ from granary.llm.near_dedup import Shingler
 STATES = 8
 HEAD = 16_384
 ROUNDS = 8
+CLASSES = 4_096
 SEGMENT = 512
+CONTEXT = 32
 LONG = 16_384  # tokens from which a text is scored in pieces
 END = b"\n"  # cannot be a word
 PRIOR = 20.0  # expected counts of a state's emissions that follow the unigram shares
@@ -58,6 +65,11 @@ class Model:
         return cls(start / start.sum(axis=1, keepdims=True), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def word_class(word: bytes) -> int:
+    """The class of a word that is no head word."""
+    return zlib.crc32(word[-3:]) % CLASSES
+
+
 class Packed:
     """Sequences by falling length, laid out step by step; at each step the sequences still running come first."""
 
@@ -74,7 +86,8 @@ class Packed:
         step = np.arange(len(flat)) - np.repeat(begin, self.size)
         row = np.repeat(np.arange(len(self.size)), self.size)
         self.symbol = np.empty(len(flat), np.int64)
-        self.symbol[np.array(self.first)[step] + row] = flat
+        self.place = np.array(self.first)[step] + row  # of each token of the sequences in packed order
+        self.symbol[self.place] = flat
 
 
 def forward(model: Model, p: Packed, prior: np.ndarray, seen: np.ndarray | None = None):
@@ -102,9 +115,19 @@ def log_likelihoods(p: Packed, scale: np.ndarray) -> np.ndarray:
     return np.bincount(row, np.log10(scale), len(p.size))
 
 
-def expected_counts(model: Model, sequences: list[np.ndarray], later: np.ndarray):
-    """Baum-Welch counts (start, move, emit) and log10 likelihood; ``later`` marks pieces that do not start a text."""
+def expected_counts(model: Model, sequences: list[np.ndarray], later: np.ndarray, inner: list[tuple[int, int]] | None = None):
+    """Baum-Welch counts (start, move, emit) and log10 likelihood; ``later`` marks pieces that do not start a text.
+
+    ``inner`` gives the tokens of each sequence that count, from a first to before a last, and the transitions into them.
+    """
     p = Packed(sequences)
+    counted = None
+    if inner is not None:
+        at = np.arange(len(p.symbol)) - np.repeat(np.concatenate(([0], np.cumsum(p.size)[:-1])), p.size)
+        low, high = (np.repeat(np.array(x)[p.order], p.size) for x in zip(*inner))
+        counted = np.empty(len(p.symbol), np.float32)
+        counted[p.place] = (low <= at) & (at < high)
+        counted = counted[:, None]
     kind = later[p.order].astype(np.int64)
     # Single precision is enough for counts, which are then summed in double; scores are computed in double throughout.
     half = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
@@ -123,12 +146,14 @@ def expected_counts(model: Model, sequences: list[np.ndarray], later: np.ndarray
             before, more = p.first[t - 1], p.running[t - 1]
             weighed = seen[lo : lo + n]
             weighed *= back
-            move += alpha[before : before + n].T @ weighed
+            move += alpha[before : before + n].T @ (weighed if counted is None else weighed * counted[lo : lo + n])
             back = weighed @ turned
             if more > n:  # sequences that end one step before
                 back = np.concatenate((back, np.ones((more - n, states), np.float32)))
     move *= model.move
     start = np.stack([gamma[: p.running[0]][kind == k].sum(axis=0, dtype=np.float64) for k in (0, 1)])
+    if counted is not None:
+        gamma *= counted
     emit = np.stack([np.bincount(p.symbol, g, len(model.emit)) for g in np.ascontiguousarray(gamma.T)], axis=1)
     return start, move, emit, float(np.log10(scale.astype(np.float64)).sum())
 
@@ -193,40 +218,98 @@ def _token_counts(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _encoded(rows: DataFrame, head: dict[bytes, int], log_base: np.ndarray) -> DataFrame:
-    """Each text as symbols (2 bytes each) beside its tail words and the head's part of the base score."""
-    shared = rows.sparkSession.sparkContext.broadcast((head, log_base))  # HEAD words at most
+class Vocabulary(NamedTuple):
+    """What training counted: all tokens and distinct words, head words as symbols with their counts, tokens and words by class."""
+
+    tokens: int
+    words: int
+    head: dict[bytes, int]
+    counts: np.ndarray
+    class_tokens: np.ndarray
+    class_words: np.ndarray
+
+    def share(self) -> np.ndarray:
+        """The symbols' shares of all tokens, head symbols first."""
+        x = np.concatenate((self.counts, self.class_tokens + 0.1)) + 1e-3
+        return x / x.sum()
+
+    def log_base(self) -> np.ndarray:
+        """log10 of the base chance of a head word by its symbol; 0 for the others."""
+        return np.concatenate((np.log10((self.counts + 1) / (self.tokens + self.words + 1)), np.zeros(CLASSES)))
+
+    def log_room(self) -> np.ndarray:
+        """log10 of T_k + U_k + 1 by symbol; 0 for head words."""
+        return np.concatenate((np.zeros(len(self.head)), np.log10(self.class_tokens + self.class_words + 1)))
+
+
+def read_vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
+    """The vocabulary of the table (word, c). The driver receives about ``head`` words and ``CLASSES`` sums."""
+    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    # The least count that can be in the head comes from a histogram, so that no task sends its own first words.
+    level = F.floor(F.log2("c") * 16)
+    levels = sorted(((r.l, r.k) for r in counted.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    least, seen = 0, 0
+    for least, k in levels:
+        seen += k
+        if seen >= head:
+            break
+    top = counted.where(level >= least).orderBy(F.desc("c"), "word").limit(head).collect()
+    symbols = {END: 0}
+    for r in top:
+        symbols.setdefault(bytes(r.word), len(symbols))
+    counts = np.zeros(len(symbols))
+    for r in top:
+        counts[symbols[bytes(r.word)]] = r.c
+    if counts[0] == 0 and total.n:  # the end may be rarer than the head
+        counts[0] = counted.where(F.col("word") == F.lit(bytearray(END))).first().c
+    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
+    ending = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(CLASSES)).cast("int")
+    for r in counted.groupBy(ending.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        tokens[r.k], words[r.k] = r.c, r.n
+    for w, i in symbols.items():
+        if counts[i] > 0:
+            tokens[word_class(w)] -= counts[i]
+            words[word_class(w)] -= 1
+    return Vocabulary(int(total.n), int(total.v), symbols, counts, tokens, words)
+
+
+def _encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each text as symbols (2 bytes each) beside its other words and what the head and the classes add to the scores."""
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary.head, vocabulary.log_base(), vocabulary.log_room()))  # HEAD words at most
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        head, log_base = shared.value
-        s, tail, get = Shingler(1), len(head), head.get
+        head, log_base, log_room = shared.value
+        s, first, get = Shingler(1), len(head), head.get
         for batch in batches:
-            symbols, words, counts, n, base, known = [], [], [], [], [], []
+            symbols, words, counts, n, base, room, known = [], [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 found = s.words(text)
                 found.append(END)
                 times = Counter(found)
-                own = {w: get(w, tail) for w in times}
+                own = {w: get(w, -1) for w in times}
+                rest = {w: c for w, c in times.items() if own[w] < 0}
+                for w in rest:
+                    own[w] = first + word_class(w)
                 ids = np.fromiter(map(own.__getitem__, found), np.uint16, len(found))
-                rest = {w: c for w, c in times.items() if own[w] == tail}
                 symbols.append(ids.tobytes())
                 words.append(list(rest))
                 counts.append(list(rest.values()))
                 n.append(len(found))
                 base.append(float(log_base[ids].sum()))
-                known.append(int((ids != tail).sum()))
+                room.append(float(log_room[ids].sum()))
+                known.append(int((ids < first).sum()))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(symbols, pa.binary()), pa.array(base, pa.float64()),
-                    pa.array(known, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64())),
+                    pa.array(room, pa.float64()), pa.array(known, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64())),
                 ],
-                names=["rid", "doc_id", "held_out", "n_tokens", "symbols", "base", "known", "words", "counts"],
+                names=["rid", "doc_id", "held_out", "n_tokens", "symbols", "base", "room", "head", "words", "counts"],
             )
 
     return rows.select("rid", "doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(
         encode,
-        f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, symbols binary, base double, known bigint, words array<binary>, counts array<bigint>",
+        f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, symbols binary, base double, room double, head bigint, words array<binary>, counts array<bigint>",
     )
 
 
@@ -260,10 +343,11 @@ def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: i
                     for raw in batch.column(0).to_pylist():
                         whole = np.frombuffer(raw, np.uint16).astype(np.int64)
                         for at in range(0, len(whole), SEGMENT):
-                            yield whole[at : at + SEGMENT], at > 0
+                            low, high = max(0, at - CONTEXT), min(at + SEGMENT + CONTEXT, len(whole))
+                            yield whole[low:high], low > 0, (at - low, min(at + SEGMENT, len(whole)) - low)
 
             for group in _groups(pieces(), 500_000):
-                start, move, emit, _ = expected_counts(model, [s for s, _ in group], np.array([x for _, x in group]))
+                start, move, emit, _ = expected_counts(model, [s for s, _, _ in group], np.array([x for _, x, _ in group]), [i for _, _, i in group])
                 sums = [start, move, emit] if sums is None else [a + b for a, b in zip(sums, (start, move, emit))]
             if sums is not None:
                 rows = np.concatenate(sums)
@@ -280,33 +364,34 @@ def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: i
     return model
 
 
-def scores(docs: DataFrame, held_out, states: int = STATES, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` (doc_id, text) scored by a model of the rows where ``held_out`` is false."""
+class Fitted(NamedTuple):
+    counted: DataFrame
+    encoded: DataFrame
+    vocabulary: Vocabulary
+    model: Model
+
+
+def fit(docs: DataFrame, held_out, states: int = STATES, head: int = HEAD, rounds: int = ROUNDS) -> Fitted:
+    """A model of the rows of ``docs`` (doc_id, text) where ``held_out`` is false, and all rows as symbols."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "hmm")
     rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    vocabulary = scratch.write(_token_counts(rows.where("NOT held_out")))
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(head).collect()
-    symbols = {END: 0}
-    for r in top:
-        symbols.setdefault(bytes(r.word), len(symbols))
-    counts = np.zeros(len(symbols) + 1)
-    for r in top:
-        counts[symbols[bytes(r.word)]] = r.c
-    if counts[0] == 0 and total.n:  # the end may be rarer than the head
-        counts[0] = vocabulary.where(F.col("word") == F.lit(bytearray(END))).first().c
-    tail_tokens, tail_words = int(total.n - counts.sum()), int(total.v - (counts[:-1] > 0).sum())
-    log_base = np.log10((counts + 1) / (total.n + total.v + 1))
-    log_base[-1] = 0.0  # added by the join
-    share = counts.copy()
-    share[-1] = tail_tokens + 1
-    share = (share + 1e-3) / (share + 1e-3).sum()
-
-    encoded = scratch.write(_encoded(rows.withColumn("rid", F.monotonically_increasing_id()), symbols, log_base))
-    training = encoded.where("NOT held_out")
-    model = train(training, share, states, rounds if total.n else 0)
+    counted = scratch.write(_token_counts(rows.where("NOT held_out")))
+    v = read_vocabulary(counted, head)
+    encoded = scratch.write(_encoded(rows.withColumn("rid", F.monotonically_increasing_id()), v))
+    return Fitted(counted, encoded, v, train(encoded.where("NOT held_out"), v.share(), states, rounds if v.tokens else 0))
+
+
+def scores(docs: DataFrame, held_out, states: int = STATES, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` (doc_id, text) scored by a model of the rows where ``held_out`` is false."""
+    return scored(fit(docs, held_out, states, head, rounds))
+
+
+def scored(fitted: Fitted) -> DataFrame:
+    """One row for each text that ``fit`` saw."""
+    counted, encoded, v, model = fitted
+    spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -316,29 +401,23 @@ def scores(docs: DataFrame, held_out, states: int = STATES, head: int = HEAD, ro
             found = [score(model, [s for s, in group]) for group in _groups(((s,) for s in all_of), 500_000)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], names=["row", "symbol_score"])
 
-    keyed = encoded.select(F.struct("rid", "doc_id", "held_out", "n_tokens", "base", "known").alias("row"), "symbols")
-    scored = keyed.mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, symbol_score double").select("row.*", "symbol_score")
+    keyed = encoded.select(F.struct("rid", "doc_id", "held_out", "n_tokens", "base", "room", "head").alias("row"), "symbols")
+    done = keyed.mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, symbol_score double").select("row.*", "symbol_score")
 
     each = encoded.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    tails = (
-        each.join(vocabulary, "word", "left")
-        .groupBy("rid")
-        .agg(
-            F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(total.n + total.v + 1)))).alias("tail_base"),
-            F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(tail_tokens + tail_words + 1)))).alias("tail_score"),
-            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"),
-        )
-    )
-    zero = F.lit(0.0)
-    return scored.join(tails, "rid", "left").select(
+    others = each.join(counted, "word", "left").groupBy("rid")
+    others = others.agg(F.sum(F.col("n") * F.log10(c + 1)).alias("log_counts"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
+    logs = F.coalesce("log_counts", F.lit(0.0))
+    all_ = F.lit(math.log10(v.tokens + v.words + 1))
+    return done.join(others, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.when(F.lit(int(counts[0])) > 0, F.col("known")).otherwise(F.col("known") - 1) + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total.n)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_base", zero)).alias("base_score"),
-        (F.col("symbol_score") + F.coalesce("tail_score", zero)).alias("score"),
+        (F.when(F.lit(int(v.counts[0])) > 0, F.col("head")).otherwise(F.col("head") - 1) + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(v.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") + logs - (F.col("n_tokens") - F.col("head")) * all_).alias("base_score"),
+        (F.col("symbol_score") + logs - F.col("room")).alias("score"),
     )
 
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -469,6 +470,60 @@ def test_scores(spark, docs, corpus, empty):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in untrained} == {(0, 0, 0.0)}
 
 
+def test_scores_match_brute_force(spark, docs, corpus):
+    held = F.col("doc_id") % 5 == 2
+    fitted = hmm_score.fit(docs, held, states=3, head=8, rounds=2)
+    v, m = fitted.vocabulary, fitted.model
+    c = Counter(w.encode() for i, t in corpus if i % 5 != 2 for w in re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["\n"])
+    first = len(v.head)
+    assert first in (8, 9) and [v.counts[v.head[w]] for w in v.head] == [c[w] for w in v.head]
+    assert sorted(v.counts[1:], reverse=True)[:7] == sorted((n for w, n in c.items() if w != b"\n"), reverse=True)[:7]
+    groups = defaultdict(list)
+    for w in c:
+        if w not in v.head:
+            groups[hmm_score.word_class(w)].append(w)
+
+    def chances(w):
+        if w in v.head:
+            return m.emit[v.head[w]]
+        k = hmm_score.word_class(w)
+        return m.emit[first + k] * (c[w] + 1) / (sum(c[x] for x in groups[k]) + len(groups[k]) + 1)
+
+    # All words and one unknown word of each class have all the chances there are.
+    unknown = sum(m.emit[first + k] / (sum(c[x] for x in groups[k]) + len(groups[k]) + 1) for k in range(hmm_score.CLASSES))
+    assert sum(chances(w) for w in c) + unknown == pytest.approx(np.ones(3))
+    got = {r.doc_id: r.score for r in hmm_score.scored(fitted).collect()}
+    for i, t in corpus:
+        a, out = None, 0.0
+        for w in [*(low(t).encode().split()), b"\n"]:
+            a = chances(w) * (m.start[0] if a is None else a @ m.move)
+            out += math.log10(a.sum())
+            a = a / a.sum()
+        assert got[i] == pytest.approx(out, rel=1e-9)
+
+
+def test_pieces_count_every_transition_once(spark, monkeypatch):
+    """Counts of texts in pieces with context are those of whole texts, but for what the context leaves open."""
+    m, r = _model(3, 5), np.random.default_rng(6)
+    seqs = [r.integers(0, 5, n) for n in (1, 40, 161, 64)]
+    start, move, emit, _ = hmm_score.expected_counts(m, seqs, np.zeros(4, bool))
+    pieces = []
+    for s in seqs:
+        for at in range(0, len(s), 32):
+            low_, high = max(0, at - 24), min(at + 56, len(s))
+            pieces.append((s[low_:high], low_ > 0, (at - low_, min(at + 32, len(s)) - low_)))
+    parts = hmm_score.expected_counts(m, [p for p, _, _ in pieces], np.array([x for _, x, _ in pieces]), [i for _, _, i in pieces])
+    assert parts[1].sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-5) and parts[2].sum() == pytest.approx(sum(map(len, seqs)), rel=1e-5)
+    assert np.allclose(parts[0][0], start[0], rtol=1e-3) and np.allclose(parts[1], move, rtol=1e-3) and np.allclose(parts[2], emit, rtol=1e-3)
+
+
+def test_scores_of_null_ids(spark):
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7))
+    d = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None)], "doc_id bigint, text string")
+    out = hmm_score.scores(d, fold == 2, states=2, head=4, rounds=1).collect()
+    assert len(out) == 3 and sorted((r.doc_id or 0, r.held_out, r.n_tokens) for r in out) == [(0, False, 3), (0, False, 3), (1, zlib.crc32(b"1") % 7 == 2, 1)]
+
+
 def test_training_raises_the_likelihood(spark):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice("abcd" if i % 2 else "wxyz") for _ in range(40))) for i in range(60)]

@@ -86,7 +86,7 @@ def test_empty_documents(spark, folder, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_decontaminate"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_minhash_near_dedup", "op4_decontaminate", "op5_suffix_dedup"])
 def test_sql(spark, name):
     import glob
     import duckdb
