@@ -26,6 +26,7 @@ from pyspark.sql import window as W
 from granary.llm.common import ship, table
 
 PROFILE = 300
+PARTS = 16
 SLICE = 1 << 21  # letters counted at a time
 UNKNOWN = "und"
 
@@ -164,8 +165,11 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
     counted = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Codes are unsigned; the tie order follows them as such.
-    order = W.Window.partitionBy("lang").orderBy(F.desc("n"), F.shiftrightunsigned("gram", 1), F.col("gram").bitwiseAND(1))
-    top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
+    order = F.desc("n"), F.shiftrightunsigned("gram", 1), F.col("gram").bitwiseAND(1)
+    # Languages are few: the first n-grams of each are sought in parts, of which the last step sees ``size`` rows each.
+    part = W.Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(*order)
+    first = counted.withColumn("r", F.row_number().over(part)).where(F.col("r") <= size)
+    top = first.withColumn("r", F.row_number().over(W.Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= size)
     ranks: dict[str, list] = defaultdict(list)
     for r in top.collect():
         ranks[r.lang].append((r.r, r.gram % (1 << 64)))
