@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+ROWS_A_FILE = 50_000
 BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
@@ -51,9 +52,12 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df`` written and read again. With ``rows``, a bound on their number, in as few files as they need."""
         self.n += 1
         path = f"{self.root}/{self.n}"
+        if rows is not None:
+            df = df.coalesce(4 + rows // ROWS_A_FILE)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

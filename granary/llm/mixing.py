@@ -71,7 +71,8 @@ def train_domains(docs: DataFrame, domains: DataFrame, names: list[str], sample:
     """Log chances of texts without any chosen word and, for each such word, how it moves them (shrunk to nothing)."""
     chosen = domains.where(F.col("doc_id").isNotNull() & F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
     # Written, or the engine would look for features in all documents before it joins.
-    found = Scratch(docs.sparkSession, "domains").write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text"))
+    scratch = Scratch(docs.sparkSession, "domains")
+    found = scratch.write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text"))
     labelled = with_features(found).select("domain", F.col("_f").alias("w"))
     sizes = {r.domain: r.n for r in labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [sizes.get(d, 0) for d in names]
@@ -164,12 +165,14 @@ def solve_rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tol
     """
     d = len(targets)
     grouped = rows.groupBy("_post").agg(F.sum(F.col("_tokens").cast("double")).alias("_t"))
-    grouped = Scratch(rows.sparkSession, "rates").write(grouped)
+    scratch = Scratch(rows.sparkSession, "rates")
+    grouped = scratch.write(grouped)
     t, post = F.col("_t"), F.col("_post")
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     first = grouped.agg(F.sum(t).alias("n"), *[F.sum(t * post[i]).alias(f"s{i}") for i in range(d)]).first()
     n = first.n
     if not n:
+        scratch.drop(grouped)
         return Mix(F.lit(1.0), list(targets), [0.0] * d)
     natural = [first[f"s{i}"] / n for i in range(d)]
     raised = max([1.0, *[natural[i] / targets[i] for i in whole if targets[i] > 0]])
@@ -206,6 +209,7 @@ def solve_rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tol
         z, (value, reached, gram) = points[best], found[best]
     else:
         raise RuntimeError(f"rates did not settle in {rounds} rounds; shares reached {reached}, targets {targets}")
+    scratch.drop(grouped)
     return Mix(_rate(F.col("_post"), z), targets, reached)
 
 

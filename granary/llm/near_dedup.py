@@ -37,6 +37,7 @@ ROWS, BANDS = 5, 30
 SALTS = 16
 PIVOTS = 2
 BLOCK = 512
+STREAM = 1024
 CACHE = 500_000
 
 
@@ -186,7 +187,8 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """Pairs (a, b) of one bucket and different components that bitmaps of their sets do not refuse.
 
     Every node outside a bucket's largest component meets all nodes of the bucket. Such nodes are dealt in blocks of about
-    ``BLOCK``; the others stream by, so that a task holds one block whatever the bucket's size.
+    ``BLOCK`` and all nodes in streams of about ``STREAM``; a task lets one stream pass by one block, whatever the bucket's size.
+    With c nodes of which m are in the largest component, c (c - m) / BLOCK + (c - m) c / STREAM rows travel.
     """
 
     def mapped(batches):
@@ -199,9 +201,9 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         at, held, blocks = None, [], None
         for batch in batches:
             found_a, found_b = [], []
-            for bkt, s, minor, nid, n, label, bits in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if at != (bkt, s):
-                    at, held, blocks = (bkt, s), [], None
+            for bkt, s, t, minor, nid, n, label, bits in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if at != (bkt, s, t):
+                    at, held, blocks = (bkt, s, t), [], None
                 words = np.frombuffer(bits, np.uint64)
                 if minor:
                     held.append((nid, n, label, words))
@@ -225,11 +227,14 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     sizes = members.groupBy("bkt", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("bkt").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("c"), F.max("c").alias("m"))
     blocks = F.ceil((F.col("c") - F.col("m")) / F.lit(BLOCK)).cast("int")
-    known = members.join(largest.select("bkt", "top", blocks.alias("k")), "bkt").join(texts.select("nid", "text").mapInArrow(mapped, "nid bigint, bits binary"), "nid")
-    minor = known.where("label <> top").select("bkt", F.pmod(F.xxhash64("nid"), "k").cast("int").alias("s"), F.lit(True).alias("minor"), "nid", "n", "label", "bits")
-    all_ = known.select("bkt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"), F.lit(False).alias("minor"), "nid", "n", "label", "bits")
-    rows = minor.unionByName(all_).repartition("bkt", "s").sortWithinPartitions("bkt", "s", F.desc("minor"))
-    pairs = rows.select("bkt", "s", "minor", "nid", "n", "label", "bits").mapInArrow(meet, "a bigint, b bigint")
+    streams = F.ceil(F.col("c") / F.lit(STREAM)).cast("int")
+    known = members.join(largest.select("bkt", "top", blocks.alias("k"), streams.alias("l")), "bkt").join(texts.select("nid", "text").mapInArrow(mapped, "nid bigint, bits binary"), "nid")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda seed, n: F.pmod(F.xxhash64("nid", F.lit(seed)), n).cast("int")
+    minor = known.where("label <> top").select("bkt", own(0, "k").alias("s"), each("l").alias("t"), F.lit(True).alias("minor"), "nid", "n", "label", "bits")
+    all_ = known.select("bkt", each("k").alias("s"), own(1, "l").alias("t"), F.lit(False).alias("minor"), "nid", "n", "label", "bits")
+    rows = minor.unionByName(all_).repartition("bkt", "s", "t").sortWithinPartitions("bkt", "s", "t", F.desc("minor"))
+    pairs = rows.select("bkt", "s", "t", "minor", "nid", "n", "label", "bits").mapInArrow(meet, "a bigint, b bigint")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
@@ -251,22 +256,24 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         F.when(F.col("f.doc_id").isNull() | F.col("twice").isNotNull(), own).otherwise(F.col("f.doc_id")).alias("nid"),
         F.col("f.doc_id").alias("doc_id"), F.col("f.raw").alias("raw"), F.col("f.n").alias("n"), F.col("f.bands").alias("bands"),
     )
-    nodes = scratch.write(nodes)
+    n_rows = rows.count()
+    nodes = scratch.write(nodes, n_rows)
 
     each = nodes.select("nid", "n", F.explode("bands").alias("bkt"))
     shared = each.groupBy("bkt").agg(F.min("nid").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    buckets = scratch.write(each.join(shared, "bkt"))
-    labels = scratch.write(buckets.select("nid", F.col("nid").alias("label")).distinct())
+    buckets = scratch.write(each.join(shared, "bkt"), BANDS * n_rows)
+    labels = scratch.write(buckets.select("nid", F.col("nid").alias("label")).distinct(), n_rows)
     wanted = nodes.join(labels.select("nid"), "nid").select("nid", "doc_id", "raw")
     texts = docs.withColumn("raw", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["raw"] == wanted["raw"]))
-    texts = scratch.write(texts.select("nid", F.col("text").cast("binary").alias("text")).dropDuplicates(["nid"]))
+    texts = scratch.write(texts.select("nid", F.col("text").cast("binary").alias("text")).dropDuplicates(["nid"]), BANDS * n_rows)
 
     def link(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         links = _verified(pairs.distinct(), texts, shingle, percent)
         a, b = labels.select(F.col("nid").alias("a"), F.col("label").alias("u")), labels.select(F.col("nid").alias("b"), F.col("label").alias("v"))
-        return contract(labels, links.join(a, "a").join(b, "b").select("u", "v"), scratch)
+        return contract(labels, links.join(a, "a").join(b, "b").select("u", "v"), scratch, n_rows)
 
+    done = [texts, buckets]
     nearest = buckets.groupBy("nid").agg(F.min("rep").alias("b")).where("nid <> b").select(F.col("nid").alias("a"), "b")
     labels = link(nearest, labels)
     buckets = buckets.select("bkt", "nid", "n")
@@ -278,8 +285,9 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
             F.max("label").alias("hi"),
             (F.min_by(F.struct("nid", "n", "label"), F.xxhash64("nid", "bkt", F.lit(turn))) if turn else F.min(F.struct("nid", "n", "label"))).alias("p"),
         ).where("lo <> hi")
-        open_ = scratch.write(inside.join(mixed.select("bkt", F.col("p.nid").alias("b"), F.col("p.n").alias("m"), F.col("p.label").alias("l2")), "bkt"))
+        open_ = scratch.write(inside.join(mixed.select("bkt", F.col("p.nid").alias("b"), F.col("p.n").alias("m"), F.col("p.label").alias("l2")), "bkt"), BANDS * n_rows)
         buckets = open_.select("bkt", "nid", "n")
+        done.append(open_)
         if open_.isEmpty():
             break
         if turn < PIVOTS:
@@ -288,6 +296,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
             continue
         labels = link(_across(open_.select("bkt", "nid", "n", "label"), texts, shingle, percent), labels)
 
+    scratch.drop(*done)
     labelled = nodes.select("seq", "nid", "doc_id").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(smallest, "label").select("seq", "component_id")
@@ -318,7 +327,8 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: All pairs that share a shingle, then components by the smallest id that can be reached.
 OP3_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),

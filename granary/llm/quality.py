@@ -148,7 +148,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = rated.withColumn("grade", F.col("grade").cast("int")).mapInArrow(featured, f"grade int, doc_id {kind}, n int, features binary")
-    rows = Scratch(spark, "rated").write(rows.withColumn("h", F.xxhash64("doc_id")))
+    scratch = Scratch(spark, "rated")
+    written = rows = scratch.write(rows.withColumn("h", F.xxhash64("doc_id")))
     # An id may stand for several texts: rows are counted again, in hash order, and their features too.
     order = rows.orderBy("h", "doc_id", "grade", "n").select("h", "n").limit(sample + 1).collect()
     last, held = None, 0
@@ -161,6 +162,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
     whole = len(order) <= sample and held <= budget
     rows = rows if whole else rows.where(F.col("h") < order[k].h) if last is not None and order[k].h > order[0].h else rows.orderBy("h", "grade", "n").limit(max(1, k))
     rows = rows.select("doc_id", "grade", "features").collect()
+    scratch.drop(written)
     # In a fixed order, so that sums do not depend on which task came first.
     rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.features)))
     return OrdinalModel.fit([(r.grade, np.frombuffer(r.features, np.int32)) for r in rows], grades)

@@ -143,7 +143,10 @@ def test_near_components(docs, corpus, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_components_of_a_spread_group(spark):
+@pytest.mark.parametrize("block, stream", [(near_dedup.BLOCK, near_dedup.STREAM), (3, 4)])
+def test_near_components_of_a_spread_group(spark, monkeypatch, block, stream):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "STREAM", stream)
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []
