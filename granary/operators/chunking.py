@@ -42,21 +42,33 @@ def fixed_chunks(
     The index is made inside the row, so that nothing is exchanged. ``decode_all``, from an array of windows to their texts,
     replaces ``decode`` where decoding needs a Python function.
     """
-    if overlap >= size:
-        raise ValueError("the overlap must be smaller than the size")
     carry = carry or []
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), *carry, encode(normalize(F.col(text_col))).alias("_t"))
-    windows = _windows(F.col("_t"), F.lit(size), F.lit(size - overlap))
     if decode_all is not None:
-        rows = rows.withColumn("_w", F.transform(windows, lambda w: w["part"])).withColumn("_d", decode_all(F.col("_w")))
-        parts = F.zip_with("_w", "_d", lambda w, d: F.struct(strip(d).alias("text"), F.size(w).alias("token_count")))
+        rows = rows.withColumn("_w", F.transform(_steps(F.col("_t"), size, overlap), lambda w: w["part"])).withColumn("_d", decode_all(F.col("_w")))
+        kept = _chunks(F.zip_with("_w", "_d", lambda w, d: F.struct(strip(d).alias("text"), F.size(w).alias("token_count"))))
     else:
-        parts = F.transform(windows, lambda w: F.struct(strip(decode(w["part"])).alias("text"), F.size(w["part"]).alias("token_count")))
-    kept = F.filter(parts, lambda p: F.char_length(p["text"]) > 0)
+        kept = chunk_array(F.col("_t"), size, overlap, decode)
     out = rows.select("doc_id", *carry, F.posexplode(kept).alias("chunk_index", "_c"))
     return out.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", *carry, "chunk_index", "_c.text", "_c.token_count")
 
 
+def _steps(tokens: Column, size: int, overlap: int) -> Column:
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than the size")
+    return _windows(tokens, F.lit(size), F.lit(size - overlap))
+
+
+def _chunks(parts: Column) -> Column:
+    return F.filter(parts, lambda p: F.char_length(p["text"]) > 0)
+
+
+def chunk_array(tokens: Column, size: int, overlap: int, decode: Callable[[Column], Column] = join_with_space) -> Column:
+    """The chunks of one document as an array of (text, token_count); their places are their indices."""
+    windows = _steps(tokens, size, overlap)
+    return _chunks(F.transform(windows, lambda w: F.struct(strip(decode(w["part"])).alias("text"), F.size(w["part"]).alias("token_count"))))
+
+
 def sections(text: Column) -> Column:
     """Array of (heading, body); what precedes the first heading is 'Introduction', empty bodies are dropped."""
     bodies = F.split(text, HEADING, -1)

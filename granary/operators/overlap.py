@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import overlap_ratio, word_tokens
+from granary.functions.replies import chunk_id
+from granary.functions.text import normalize, overlap_ratio, space_tokens, word_tokens
+from granary.operators.chunking import chunk_array
 from granary.operators.vectors import top_k
 
 THRESHOLD = 0.52
@@ -19,6 +21,34 @@ def chunk_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return s.join(t, "doc_id").select("doc_id", "source_id", "target_id", "chunk_index", overlap_ratio(F.col("_s"), F.col("_t")).alias("overlap_ratio"))
 
 
+def document_pairs(
+    docs: DataFrame, source: tuple[int, int], target: tuple[int, int], least: float = 0.0, most: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``chunk_pairs`` of two chunkings, (size, overlap) each, made where the document is read, with ratios of ``least`` or more.
+
+    With ``most``, the best pairs of each source chunk and their ``rank``. One source chunk meets all chunks of its document at
+    a time, so that nothing is exchanged and a task holds one document.
+    """
+    doc = F.col(id_col).cast("string")
+
+    def words(size: tuple[int, int]) -> Column:
+        item = lambda c, i: F.struct(chunk_id(F.col("doc_id"), i).alias("id"), i.alias("i"), F.array_distinct(word_tokens(c["text"])).alias("w"))
+        return F.transform(chunk_array(F.col("_t"), *size), item)
+
+    rows = docs.select(doc.alias("doc_id"), space_tokens(normalize(F.col(text_col))).alias("_t"))
+    each = rows.select("doc_id", words(source).alias("_s"), words(target).alias("_all")).select("doc_id", "_all", F.explode("_s").alias("_s"))
+    n = F.size("_s.w")
+    ratio = lambda t: F.when(n > 0, F.size(F.array_intersect(F.col("_s.w"), t["w"])) / F.nullif(n, F.lit(0))).otherwise(F.lit(0.0))
+    # In the order of rank: falling ratio, then id.
+    pairs = F.transform("_all", lambda t: F.struct((-ratio(t)).alias("o"), t["id"].alias("target_id"), t["i"].alias("chunk_index")))
+    pairs = F.filter(pairs, lambda p: -p["o"] >= least)
+    if most is not None:
+        pairs = F.slice(F.array_sort(pairs), 1, most)
+    out = each.select("doc_id", F.col("_s.id").alias("source_id"), F.posexplode(pairs).alias("_k", "_p"))
+    cols = ["doc_id", "source_id", "_p.target_id", "_p.chunk_index", (-F.col("_p.o")).alias("overlap_ratio")]
+    return out.select(*cols, *([(F.col("_k") + 1).alias("rank")] if most is not None else []))
+
+
 def overlap_mapping(source: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return chunk_pairs(source, target).where(F.col("overlap_ratio") >= threshold)
 

@@ -458,7 +458,7 @@ def _chunkings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("overlap_mapping", MAPPING_SQL + "SELECT source_id, target_id, round(o, 6) AS overlap_ratio FROM p WHERE o >= 0.52")
 def overlap_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large chunks and the small ones of the same document that hold enough of their words."""
-    m = overlap.overlap_mapping(*_chunkings(spark, sf_dir))
+    m = overlap.document_pairs(_docs(spark, sf_dir), (256, 25), (128, 12), least=overlap.THRESHOLD)
     return m.select("source_id", "target_id", F.round("overlap_ratio", 6).alias("overlap_ratio"))
 
 
@@ -469,7 +469,7 @@ def overlap_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_id, target_id, round(o, 6) AS overlap_ratio, CAST(k AS INT) AS rank FROM r WHERE k <= 3""",
 )
 def overlap_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = overlap.overlap_topn(*_chunkings(spark, sf_dir), 3)
+    t = overlap.document_pairs(_docs(spark, sf_dir), (256, 25), (128, 12), most=3)
     return t.select("source_id", "target_id", F.round("overlap_ratio", 6).alias("overlap_ratio"), "rank")
 
 

@@ -185,3 +185,17 @@ def test_blocks_of_evidence_terms(spark, monkeypatch):
     want = sorted((r.term, r.chunk_id) for r in overlap.claim_evidence(chunks, claims).collect())
     monkeypatch.setattr(overlap, "MAX_TERMS", 1)
     assert sorted((r.term, r.chunk_id) for r in overlap.claim_evidence(chunks, claims).collect()) == want == [("BETA", "x"), ("BETA", "y"), ("alpha", "x")]
+
+
+def test_pairs_made_in_the_document_are_those_of_the_join(spark):
+    from granary.operators import overlap
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 37} x{i}" for i in range(90))), (2, None), (3, "one two")], "doc_id int, text string")
+    source, target = fixed_chunks(docs, 40, 5), fixed_chunks(docs, 16, 3)
+    want = {(r.source_id, r.target_id): r.overlap_ratio for r in overlap.chunk_pairs(source, target).collect()}
+    got = overlap.document_pairs(docs, (40, 5), (16, 3))
+    assert {(r.source_id, r.target_id): r.overlap_ratio for r in got.collect()} == want and len(want) > 20
+    top = [tuple(r) for r in overlap.overlap_topn(source, target, 3).select("source_id", "target_id", "rank").collect()]
+    best = overlap.document_pairs(docs, (40, 5), (16, 3), most=3)
+    assert sorted(tuple(r) for r in best.select("source_id", "target_id", "rank").collect()) == sorted(top)
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
