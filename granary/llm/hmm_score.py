@@ -36,8 +36,9 @@ STATES = 8
 HEAD = 16_384
 ROUNDS = 8
 CLASSES = 4_096
-SEGMENT = 512
+SEGMENT = 1024
 CONTEXT = 32
+PIECE = 512  # tokens of a long text that are scored from every state
 LONG = 16_384  # tokens from which a text is scored in pieces
 END = b"\n"  # cannot be a word
 PRIOR = 20.0  # expected counts of a state's emissions that follow the unigram shares
@@ -173,8 +174,8 @@ def score(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 def _score_long(model: Model, sequence: np.ndarray) -> float:
     states, total, v = model.move.shape[0], 0.0, None
-    for lo in range(0, len(sequence), SEGMENT * 256):
-        pieces = [sequence[at : at + SEGMENT] for at in range(lo, min(lo + SEGMENT * 256, len(sequence)), SEGMENT)]
+    for lo in range(0, len(sequence), PIECE * 256):
+        pieces = [sequence[at : at + PIECE] for at in range(lo, min(lo + PIECE * 256, len(sequence)), PIECE)]
         p = Packed([piece for piece in pieces for _ in range(states)])
         where = np.empty(len(p.order), np.int64)
         where[p.order] = np.arange(len(p.order))
@@ -281,6 +282,7 @@ def _encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def encode(batches):
         head, log_base, log_room = shared.value
         s, first, get = Shingler(1), len(head), head.get
+        symbol_of: dict[bytes, int] = {}
         for batch in batches:
             symbols, words, counts, n, base, room, known = [], [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
@@ -289,8 +291,10 @@ def _encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 times = Counter(found)
                 own = {w: get(w, -1) for w in times}
                 rest = {w: c for w, c in times.items() if own[w] < 0}
+                if len(symbol_of) > FLUSH:
+                    symbol_of.clear()
                 for w in rest:
-                    own[w] = first + word_class(w)
+                    own[w] = symbol_of.get(w) or symbol_of.setdefault(w, first + word_class(w))
                 ids = np.fromiter(map(own.__getitem__, found), np.uint16, len(found))
                 symbols.append(ids.tobytes())
                 words.append(list(rest))
