@@ -21,7 +21,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
@@ -34,6 +34,8 @@ SUPPORT = 3
 PAGE = "#page"
 COMMENT, MARKUP = re.compile(r"<!--.*?(?:-->|\Z)", re.S), re.compile(r"<[!?/][^>]*(?:>|\Z)")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Comments, tags, other markup or text; a tag that this takes for the text "<" is looked at again.
+TOKEN = re.compile(rf"{COMMENT.pattern}|{TAG.pattern}|{MARKUP.pattern}|([^<]+|<)", re.S)
 #: Without regard to quotes, for tags with one that is never closed.
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 DEEP = 256  # characters of a path, beyond which its digest stands for it
@@ -152,14 +154,15 @@ def read_page(source: str | None):
     """(blocks, elements): text blocks as (role, text, characters in links, is not article, is in main) and element roles in order."""
     blocks, elements = [], []
     stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, role, not article, main, not article by a word that an article resets
-    opened: Counter = Counter()
+    opened: dict[str, int] = defaultdict(int)
     text: list[str] = []
     linked, in_link = 0, 0
     page = _Source(source or "")
     at = 0
 
     def close(first: int) -> None:
-        opened.subtract(x[0] for x in stack[first:])
+        for x in stack[first:]:
+            opened[x[0]] -= 1
         del stack[first:]
 
     def flush() -> None:
@@ -172,7 +175,12 @@ def read_page(source: str | None):
         linked = 0
 
     while at < len(page.text):
-        at, words_here, m = page.token(at)
+        m = TOKEN.match(page.text, at) if at < page.last else None
+        if m is None or m[4] == "<":
+            at, words_here, m = page.token(at)
+        else:
+            at, words_here = m.end(), m[4]
+            m = m if m[2] else None
         if words_here is not None:
             text.append(words_here)
             linked += len(words_here) if in_link else 0
