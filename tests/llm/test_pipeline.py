@@ -66,6 +66,34 @@ def test_clashing_names_nulls_and_repeated_rows(spark, tmp_path):
     assert Counter(r.doc_id for r in now.collect()) == Counter([None, *range(8)])
 
 
+def test_stages_match_brute_force(spark, folder, corpus, tmp_path):
+    """Each stage against plain Python that shares no code with the operators."""
+    from test_operators_llm import low, py_components, py_report
+
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    rows = [(i, t) for i, t in corpus if t and any(c.isalpha() for c in t)]
+    want = [rows]
+    best = {}
+    for i, t in rows:
+        best[low(t)] = max(i, best.get(low(t), i))
+    rows = sorted({(i, low(t)) for i, t in rows if best[low(t)] == i})
+    want.append(rows)
+    found = py_components(rows, 5, 80)
+    rows = [r for r, (i, _, smallest) in zip(rows, found) if i == smallest]
+    want.append(rows)
+    hit = {d for (d, _, _, n, _, _) in py_report(rows, bench, 8, 1) if n >= 1}
+    want.append([r for r in rows if r[0] not in hit])
+    assert len({len(w) for w in want}) == 4  # every stage takes something away
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert Counter((r.doc_id, low(r.text)) for r in docs.collect()) == Counter((i, low(t)) for i, t in want[k])
+    # The last one: rates and copies by the definition, from the chances that it gives.
+    last = corpus_pipeline.stage_mix(spark, docs, folder).collect()
+    assert {(r.doc_id, low(r.text)) for r in last} <= {(i, low(t)) for i, t in want[3]} and all(r.copies >= 1 for r in last)
+
+
 def test_one_planted_item_goes(spark, tmp_path):
     item, other = " ".join(f"b{i}" for i in range(12)), " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
