@@ -11,8 +11,8 @@ A byte goes when a string of ``SPAN`` bytes covers it that also starts in a docu
    their bytes, so that a phrase that stands between other words in each document is spread over all receivers.
 3. Windows with marked anchors are exchanged by anchor. The overlapping windows of one run travel as one region, their common
    text once, which is smaller than front-coded suffixes would be (see README); regions that are equal travel once a block.
-4. Each receiver sorts the windows of groups of blocks into runs with the length of the prefix that each shares with the one
-   before, and merges the runs with a loser tree that decides by these lengths and looks at bytes only beyond what is known
+4. Each receiver takes its windows in shares by anchor, sorts those of groups of blocks into runs with the length of
+   the prefix that each shares with the one before, and merges the runs with a loser tree that decides by these lengths and looks at bytes only beyond what is known
    to be equal. Equal windows get the smallest id. One bit a window goes back to its block.
 5. Blocks cut the covered bytes.
 
@@ -37,8 +37,9 @@ from granary.llm.common import Scratch, ship, table
 
 SPAN, GRAM = 50, 25
 BLOCK = 4 << 20  # bytes of text in a block
-PART = 8 << 20  # bytes of text for each receiving group
+SHARE = 8 << 20  # bytes of text whose windows are sorted together; a receiving group takes some shares one after the other
 SLICE = 1 << 17  # windows hashed at a time
+MARKED = 1 << 16  # runs of windows marked at a time
 RUNS = 16
 HOT = 20_000  # runs of one anchor that a receiver takes together; some 2 kB each
 SALTS = 32
@@ -177,8 +178,29 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _parts(anchors: np.ndarray, parts: int) -> np.ndarray:
-    return (anchors % np.uint64(parts)).astype(np.int64)
+def _deal(total: int) -> tuple[int, int]:
+    """Receiving groups, and shares of each, for so many bytes of text.
+
+    Every block sends a row to every group, so that rows are blocks times groups; a group's bytes are in memory together.
+    Beyond some GB both the groups and their shares grow with the square root of the text.
+    """
+    parts, subs = 64, 2
+    while parts * subs * SHARE < total:
+        if parts <= 512 * subs:
+            parts *= 2
+        else:
+            subs *= 2
+    return parts, subs
+
+
+def _by_part(anchors: np.ndarray, parts: int, subs: int = 1) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each part that occurs, the places of its anchors, share by share, and the size of each share; from one sort for all parts."""
+    key = anchors % np.uint64(parts * subs)
+    key = (key % np.uint64(parts)) * np.uint64(subs) + key // np.uint64(parts)
+    size = np.bincount(key.astype(np.int64), minlength=parts * subs).reshape(parts, subs)
+    order = np.argsort(key.astype(np.uint16 if parts * subs <= 1 << 16 else np.uint64), kind="stable")
+    end = np.cumsum(size.sum(axis=1))
+    return {p: (order[end[p] - size[p].sum() : end[p]], size[p]) for p in np.flatnonzero(size.any(axis=1)).tolist()}
 
 
 def merge_runs(keys: list[list[int]], shared: list[list[int]], width: int = SPAN) -> tuple[list[int], list[int]]:
@@ -326,9 +348,9 @@ def _open_block(ids: bytes, offsets: bytes, text: bytes) -> Block:
 def _marks(block: Block, parts: int, replies: list) -> tuple[np.ndarray, np.ndarray]:
     """Which of the block's distinct anchors are marked and which are hot."""
     marked, hot = np.zeros(len(block.distinct), bool), np.zeros(len(block.distinct), bool)
-    part = _parts(block.distinct, parts)
+    places = _by_part(block.distinct, parts) if replies else {}
     for m in replies or []:
-        at = np.flatnonzero(part == m["part"])
+        at, _ = places[m["part"]]
         both = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=2 * len(at)).astype(bool)
         marked[at], hot[at] = both[: len(at)], both[len(at) :]
     return marked, hot
@@ -338,7 +360,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("replies"))
 
 
-def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+def _removed_unique(docs: DataFrame, parts: int, subs: int, scratch: Scratch) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for documents (did, text as bytes) without whole copies."""
 
     def scan(batches):
@@ -346,10 +368,8 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
             name = uuid.uuid4().hex  # the rows are written before any use, so the name stays
             zipped = zstandard.ZstdCompressor(level=6).compress(raw) if raw else b""
             block = Block(ids, offsets, np.frombuffer(raw, np.uint8))
-            part = _parts(block.distinct, parts)
             out = [(name, -1, zipped, ids.tobytes(), offsets.tobytes())]
-            for p in np.unique(part).tolist():
-                mine = part == p
+            for p, (mine, _) in _by_part(block.distinct, parts).items():
                 coded = np.diff(block.distinct[mine], prepend=np.uint64(0))
                 out.append((name, p, _pack(coded, np.packbits(block.several[mine]), block.times[mine]), None, None))
             cols = list(zip(*out))
@@ -392,13 +412,11 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
             for name, body, ids, offsets, marks in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 block = _open_block(ids, offsets, body)
                 _, _, regions, least, anchor = block.regions(*_marks(block, parts, marks))
-                part = _parts(anchor, parts)
                 out = []
-                for p in np.unique(part).tolist():
-                    mine = np.flatnonzero(part == p)
-                    text = np.frombuffer(b"".join(regions[i] for i in mine), np.uint8)
-                    size = np.array([len(regions[i]) for i in mine], np.uint64)
-                    out.append((name, p, _pack(text, size, least[mine].view(np.uint64))))
+                for p, (mine, shares) in _by_part(anchor, parts, subs).items():
+                    own = [regions[i] for i in mine.tolist()]
+                    text, size = np.frombuffer(b"".join(own), np.uint8), np.array([len(r) for r in own], np.uint64)
+                    out.append((name, p, _pack(text, size, least[mine].view(np.uint64), shares.astype(np.uint64))))
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays(
@@ -412,32 +430,42 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
         import pandas as pd
 
         frame = frame.sort_values("block")
-        regions: dict[bytes, int] = {}
-        ids: list[int] = []
-        run_of: list[int] = []
-        mine = []
-        for turn, body in enumerate(frame["body"]):
-            text, size, least = _unpack(body)
-            raw, at, own = text.tobytes(), 0, []
-            for n, d in zip(size.tolist(), least.view(np.int64).tolist()):
-                r = regions.setdefault(raw[at : at + n], len(regions))
-                at += n
-                if r == len(ids):
-                    ids.append(d)
-                    run_of.append(turn * RUNS // len(frame))
-                elif d < ids[r]:
-                    ids[r] = d
-                own.append(r)
-            mine.append((np.array(own, np.int64), least.view(np.int64)))
-        every = list(regions)
-        low = smallest_ids(every, np.array(ids, np.int64), np.array(run_of, np.int64))
-        windows = np.array([len(r) - SPAN + 1 for r in every], np.int64)
-        first = np.concatenate(([0], np.cumsum(windows)[:-1]))
-        bits = []
-        for own, least in mine:
-            n = windows[own]
-            inside = np.arange(n.sum()) + np.repeat(first[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            bits.append(zstandard.ZstdCompressor(level=1).compress(np.packbits(low[inside] < np.repeat(least, n)).tobytes()))
+        opened = []
+        for body in frame["body"]:
+            text, size, least, shares = _unpack(body)
+            last = np.cumsum(shares).tolist()
+            byte = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+            opened.append((text, byte, size.tolist(), least.view(np.int64), [0, *last]))
+        found: list[list[np.ndarray]] = [[] for _ in opened]
+        for sub in range(subs):
+            regions: dict[bytes, int] = {}
+            ids: list[int] = []
+            run_of: list[int] = []
+            mine = []
+            for turn, (text, byte, size, least, cuts) in enumerate(opened):
+                lo, hi = cuts[sub], cuts[sub + 1]
+                raw, at, own = text[byte[lo] : byte[hi]].tobytes(), 0, []
+                for n, d in zip(size[lo:hi], least[lo:hi].tolist()):
+                    r = regions.setdefault(raw[at : at + n], len(regions))
+                    at += n
+                    if r == len(ids):
+                        ids.append(d)
+                        run_of.append(turn * RUNS // len(opened))
+                    elif d < ids[r]:
+                        ids[r] = d
+                    own.append(r)
+                mine.append((np.array(own, np.int64), least[lo:hi]))
+            if not regions:
+                continue
+            every = list(regions)
+            low = smallest_ids(every, np.array(ids, np.int64), np.array(run_of, np.int64))
+            windows = np.array([len(r) - SPAN + 1 for r in every], np.int64)
+            first = np.concatenate(([0], np.cumsum(windows)[:-1]))
+            for hits, (own, least) in zip(found, mine):
+                n = windows[own]
+                inside = np.arange(n.sum()) + np.repeat(first[own] - np.concatenate(([0], np.cumsum(n)))[:-1], n)
+                hits.append(low[inside] < np.repeat(least, n))
+        bits = [zstandard.ZstdCompressor(level=1).compress(np.packbits(np.concatenate(hits)).tobytes()) for hits in found]
         return pd.DataFrame({"block": frame["block"], "part": frame["part"], "bits": bits})
 
     settled = scratch.write(sent.groupBy("part").applyInPandas(settle, "block string, part int, bits binary"))
@@ -450,21 +478,23 @@ def _removed_unique(docs: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
                 windows = np.array([len(r) - SPAN + 1 for r in regions], np.int64)
                 first = np.concatenate(([0], np.cumsum(windows)[:-1])).astype(np.int64)
                 hit = np.zeros(int(windows.sum()), bool)
-                part = _parts(anchor, parts)
+                places = _by_part(anchor, parts, subs)
                 for h in hits or []:
-                    own = np.flatnonzero(part == h["part"])
+                    own, _ = places[h["part"]]
                     n = windows[own]
                     inside = np.arange(n.sum()) + np.repeat(first[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
                     raw = zstandard.ZstdDecompressor().decompress(h["bits"])
                     hit[inside] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(inside)).astype(bool)
                 gone = np.zeros(len(block.data) + 1, np.int32)
-                start, n, owner, _ = runs
-                here = np.arange(n.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                same = np.arange(n.sum()) + np.repeat(first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                later = np.repeat(block.ids[owner] > least[at], n)
-                starts = here[hit[same] | later]
-                np.add.at(gone, starts, 1)
-                np.add.at(gone, starts + SPAN, -1)
+                for lo in range(0, len(at), MARKED):
+                    start, n, owner = (x[lo : lo + MARKED] for x in runs[:3])
+                    region = at[lo : lo + MARKED]
+                    before = np.cumsum(n) - n
+                    here = np.arange(n.sum()) + np.repeat(start - before, n)
+                    same = np.arange(n.sum()) + np.repeat(first[region] - before, n)
+                    starts = here[hit[same] | np.repeat(block.ids[owner] > least[region], n)]
+                    np.add.at(gone, starts, 1)
+                    np.add.at(gone, starts + SPAN, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 out = []
                 for i, d in enumerate(block.ids.tolist()):
@@ -503,9 +533,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if n_copies <= BROADCAST_IDS:
         drop = F.broadcast(drop)
     unique = rows.join(drop, (F.col("did") == F.col("d")) & (F.unhex(F.sha2("text", 256)) == F.col("h")), "left_anti")
-    parts = 32
-    while parts * PART < total:
-        parts *= 2
     kept = F.when(F.col("n") < SPAN, F.lower(F.hex("sha"))).otherwise(F.lit(hashlib.sha256(b"").hexdigest()))
     answered = copies.select(
         F.when(F.col("did") != LAST, F.col("did")).alias("doc_id"),
@@ -514,7 +541,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("n") < SPAN, 0).otherwise(1).cast("bigint").alias("n_spans"),
         kept.alias("kept_sha256"),
     )
-    return _removed_unique(unique, parts, scratch).unionByName(answered)
+    return _removed_unique(unique, *_deal(total), scratch).unionByName(answered)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
