@@ -9,8 +9,8 @@ texts and sends summed expected counts, whose size is that of the model. For tra
 middle of a piece, from states that the context has settled. Scoring runs the forward recursion over whole texts; for very long
 texts it does so over pieces from every state at once and chains them, which is exact.
 
-Counts of head words travel with the model. Counts of other words meet the texts in a join by word, which no frequent
-word takes part in.
+Counts of head words and of up to ``WIDE`` other frequent words go to all tasks. Counts of the rarer words meet the texts in a
+join by word.
 
 Edge cases: null and empty texts are the end token alone; a null id counts as the empty string when folds are made; repeated
 rows give repeated results; words with equal counts enter the head in the order of their bytes; without training texts all
@@ -36,6 +36,7 @@ STATES = 8
 HEAD = 16_384
 ROUNDS = 8
 CLASSES = 4_096
+WIDE = 262_144  # words beside the head whose counts are sent to all tasks, some 160 bytes each there; the others are joined
 SEGMENT = 1024
 CONTEXT = 32
 PIECE = 512  # tokens of a long text that are scored from every state
@@ -91,12 +92,9 @@ class Packed:
         self.symbol[self.place] = flat
 
 
-def forward(model: Model, p: Packed, prior: np.ndarray, seen: np.ndarray | None = None):
-    """Scaled forward values and scales of all steps; ``prior`` has each sequence's chances of its first state, in packed order.
-
-    ``seen``, the emissions of all symbols, is computed where it is not given, and kept where it is.
-    """
-    alpha = model.emit[p.symbol] if seen is None else seen.copy()
+def forward(model: Model, p: Packed, prior: np.ndarray):
+    """Scaled forward values and scales of all steps; ``prior`` has each sequence's chances of its first state, in packed order."""
+    alpha = model.emit[p.symbol]
     scale = np.empty(len(alpha), alpha.dtype)
     ones = np.ones(alpha.shape[1], alpha.dtype)
     a = prior
@@ -124,38 +122,49 @@ def expected_counts(model: Model, sequences: list[np.ndarray], later: np.ndarray
     p = Packed(sequences)
     counted = None
     if inner is not None:
-        at = np.arange(len(p.symbol)) - np.repeat(np.concatenate(([0], np.cumsum(p.size)[:-1])), p.size)
-        low, high = (np.repeat(np.array(x)[p.order], p.size) for x in zip(*inner))
+        low, high = (np.array(x)[p.order] for x in zip(*inner))
         counted = np.empty(len(p.symbol), np.float32)
-        counted[p.place] = (low <= at) & (at < high)
-        counted = counted[:, None]
+        for t, n in enumerate(p.running):
+            counted[p.first[t] : p.first[t] + n] = (low[:n] <= t) & (t < high[:n])
     kind = later[p.order].astype(np.int64)
     # Single precision is enough for counts, which are then summed in double; scores are computed in double throughout.
-    half = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
-    seen = half.emit[p.symbol]
-    alpha, scale = forward(half, p, half.start[kind], seen)
-    states = model.move.shape[0]
+    # States come first here, so that each operation runs along the sequences of a step and not along a few states.
+    begin, onward, shares = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
+    states = len(onward)
+    seen = np.empty((states, len(p.symbol)), np.float32)
+    np.take(np.ascontiguousarray(shares.T), p.symbol, axis=1, out=seen, mode="clip")  # which needs no buffer
+    alpha, scale = np.empty_like(seen), np.empty(len(p.symbol), np.float32)
+    turned, ones = np.ascontiguousarray(onward.T), np.ones(states, np.float32)
+    a = begin[kind].T
+    for t, n in enumerate(p.running):
+        lo = p.first[t]
+        now = alpha[:, lo : lo + n]
+        np.multiply(seen[:, lo : lo + n], turned @ a[:, :n] if t else a, out=now)
+        now /= np.matmul(ones, now, out=scale[lo : lo + n])
+        a = now
+    seen /= scale
     move = np.zeros((states, states))
-    seen /= scale[:, None]
-    gamma = np.empty_like(alpha)
-    back = np.ones((p.running[-1], states), np.float32)
-    turned = np.ascontiguousarray(half.move.T)
+    back = np.ones((states, p.running[-1]), np.float32)
     for t in range(len(p.running) - 1, -1, -1):
         n, lo = p.running[t], p.first[t]
-        np.multiply(alpha[lo : lo + n], back, out=gamma[lo : lo + n])
         if t:
             before, more = p.first[t - 1], p.running[t - 1]
-            weighed = seen[lo : lo + n]
+            weighed = seen[:, lo : lo + n]
             weighed *= back
-            move += alpha[before : before + n].T @ (weighed if counted is None else weighed * counted[lo : lo + n])
-            back = weighed @ turned
+            earlier = onward @ weighed
+            if counted is not None:
+                weighed *= counted[lo : lo + n]
+            move += alpha[:, before : before + n] @ weighed.T
+        alpha[:, lo : lo + n] *= back  # the chances of the states from here on
+        if t:
+            back = earlier
             if more > n:  # sequences that end one step before
-                back = np.concatenate((back, np.ones((more - n, states), np.float32)))
+                back = np.concatenate((back, np.ones((states, more - n), np.float32)), axis=1)
     move *= model.move
-    start = np.stack([gamma[: p.running[0]][kind == k].sum(axis=0, dtype=np.float64) for k in (0, 1)])
+    start = np.stack([alpha[:, : p.running[0]][:, kind == k].sum(axis=1, dtype=np.float64) for k in (0, 1)])
     if counted is not None:
-        gamma *= counted
-    emit = np.stack([np.bincount(p.symbol, g, len(model.emit)) for g in np.ascontiguousarray(gamma.T)], axis=1)
+        alpha *= counted
+    emit = np.stack([np.bincount(p.symbol, x, len(model.emit)) for x in alpha], axis=1)
     return start, move, emit, float(np.log10(scale.astype(np.float64)).sum())
 
 
@@ -220,7 +229,10 @@ def _token_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary(NamedTuple):
-    """What training counted: all tokens and distinct words, head words as symbols with their counts, tokens and words by class."""
+    """What training counted: all tokens and distinct words, head words as symbols with their counts, tokens and words by class.
+
+    ``wide`` has the counts of the most frequent words that are not in the head.
+    """
 
     tokens: int
     words: int
@@ -228,6 +240,7 @@ class Vocabulary(NamedTuple):
     counts: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
+    wide: dict[bytes, int]
 
     def share(self) -> np.ndarray:
         """The symbols' shares of all tokens, head symbols first."""
@@ -244,7 +257,7 @@ class Vocabulary(NamedTuple):
 
 
 def read_vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The vocabulary of the table (word, c). The driver receives about ``head`` words and ``CLASSES`` sums."""
+    """The vocabulary of the table (word, c). The driver receives about ``head`` and ``WIDE`` words and ``CLASSES`` sums."""
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # The least count that can be in the head comes from a histogram, so that no task sends its own first words.
     level = F.floor(F.log2("c") * 16)
@@ -271,49 +284,75 @@ def read_vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
         if counts[i] > 0:
             tokens[word_class(w)] -= counts[i]
             words[word_class(w)] -= 1
-    return Vocabulary(int(total.n), int(total.v), symbols, counts, tokens, words)
+    seen, whole = 0, []  # levels that are sent whole, so that no level of many words is ordered
+    for at, k in levels:
+        seen += k
+        if seen > WIDE:
+            break
+        whole.append(at)
+    wide: dict[bytes, int] = {}
+    if whole:
+        sent = counted.where(level >= whole[-1]).select("word", "c").toArrow()
+        wide = {w: c for w, c in zip(sent.column("word").to_pylist(), sent.column("c").to_pylist()) if w not in symbols}
+    return Vocabulary(int(total.n), int(total.v), symbols, counts, tokens, words, wide)
+
+
+class Index(dict):
+    """Word to number: head words, wide words, then the classes of all others, of which the last are remembered."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.known = known
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.known) + FLUSH:
+            self.clear()
+            self.update(self.known)
+        found = self[word] = len(self.known) + word_class(word)
+        return found
 
 
 def _encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Each text as symbols (2 bytes each) beside its other words and what the head and the classes add to the scores."""
-    shared = rows.sparkSession.sparkContext.broadcast((vocabulary.head, vocabulary.log_base(), vocabulary.log_room()))  # HEAD words at most
+    """Each text as symbols (2 bytes each) beside its rarer words and what the known words and the classes add to the scores."""
+    first, wide = len(vocabulary.head), vocabulary.wide
+    known = vocabulary.head | {w: first + i for i, w in enumerate(wide)}
+    symbol = np.concatenate((np.arange(first), [first + word_class(w) for w in wide], first + np.arange(CLASSES))).astype(np.uint16)
+    logs = np.concatenate((np.zeros(first), np.log10(np.array(list(wide.values()), float) + 1), np.zeros(CLASSES)))
+    shared = rows.sparkSession.sparkContext.broadcast((known, symbol, logs, vocabulary.log_base(), vocabulary.log_room()))  # HEAD and WIDE words at most
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        head, log_base, log_room = shared.value
-        s, first, get = Shingler(1), len(head), head.get
-        symbol_of: dict[bytes, int] = {}
+        known, symbol, log_count, log_base, log_room = shared.value
+        s, number, last = Shingler(1), Index(known), len(known)
         for batch in batches:
-            symbols, words, counts, n, base, room, known = [], [], [], [], [], [], []
+            symbols, words, counts, n, base, room, head, logs, wide = [], [], [], [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 found = s.words(text)
                 found.append(END)
-                times = Counter(found)
-                own = {w: get(w, -1) for w in times}
-                rest = {w: c for w, c in times.items() if own[w] < 0}
-                if len(symbol_of) > FLUSH:
-                    symbol_of.clear()
-                for w in rest:
-                    own[w] = symbol_of.get(w) or symbol_of.setdefault(w, first + word_class(w))
-                ids = np.fromiter(map(own.__getitem__, found), np.uint16, len(found))
+                at = np.fromiter(map(number.__getitem__, found), np.uint32, len(found))
+                rest = Counter(map(found.__getitem__, np.flatnonzero(at >= last).tolist()))
+                ids = symbol[at]
                 symbols.append(ids.tobytes())
                 words.append(list(rest))
                 counts.append(list(rest.values()))
                 n.append(len(found))
                 base.append(float(log_base[ids].sum()))
                 room.append(float(log_room[ids].sum()))
-                known.append(int((ids < first).sum()))
+                logs.append(float(log_count[at].sum()))
+                head.append(int((at < first).sum()))
+                wide.append(int((at < last).sum()) - head[-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(symbols, pa.binary()), pa.array(base, pa.float64()),
-                    pa.array(room, pa.float64()), pa.array(known, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64())),
+                    pa.array(room, pa.float64()), pa.array(head, pa.int64()), pa.array(logs, pa.float64()), pa.array(wide, pa.int64()),
+                    pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64())),
                 ],
-                names=["rid", "doc_id", "held_out", "n_tokens", "symbols", "base", "room", "head", "words", "counts"],
+                names=["rid", "doc_id", "held_out", "n_tokens", "symbols", "base", "room", "head", "logs", "wide", "words", "counts"],
             )
 
     return rows.select("rid", "doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(
         encode,
-        f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, symbols binary, base double, room double, head bigint, words array<binary>, counts array<bigint>",
+        f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, symbols binary, base double, room double, head bigint, logs double, wide bigint, words array<binary>, counts array<bigint>",
     )
 
 
@@ -350,7 +389,7 @@ def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: i
                             low, high = max(0, at - CONTEXT), min(at + SEGMENT + CONTEXT, len(whole))
                             yield whole[low:high], low > 0, (at - low, min(at + SEGMENT, len(whole)) - low)
 
-            for group in _groups(pieces(), 500_000):
+            for group in _groups(pieces(), 1_000_000):
                 start, move, emit, _ = expected_counts(model, [s for s, _, _ in group], np.array([x for _, x, _ in group]), [i for _, _, i in group])
                 sums = [start, move, emit] if sums is None else [a + b for a, b in zip(sums, (start, move, emit))]
             if sums is not None:
@@ -405,20 +444,20 @@ def scored(fitted: Fitted) -> DataFrame:
             found = [score(model, [s for s, in group]) for group in _groups(((s,) for s in all_of), 500_000)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], names=["row", "symbol_score"])
 
-    keyed = encoded.select(F.struct("rid", "doc_id", "held_out", "n_tokens", "base", "room", "head").alias("row"), "symbols")
+    keyed = encoded.select(F.struct("rid", "doc_id", "held_out", "n_tokens", "base", "room", "head", "logs", "wide").alias("row"), "symbols")
     done = keyed.mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, symbol_score double").select("row.*", "symbol_score")
 
     each = encoded.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     c = F.coalesce("c", F.lit(0))
     others = each.join(counted, "word", "left").groupBy("rid")
     others = others.agg(F.sum(F.col("n") * F.log10(c + 1)).alias("log_counts"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-    logs = F.coalesce("log_counts", F.lit(0.0))
+    logs = F.col("logs") + F.coalesce("log_counts", F.lit(0.0))
     all_ = F.lit(math.log10(v.tokens + v.words + 1))
     return done.join(others, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.when(F.lit(int(v.counts[0])) > 0, F.col("head")).otherwise(F.col("head") - 1) + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.when(F.lit(int(v.counts[0])) > 0, F.col("head")).otherwise(F.col("head") - 1) + F.col("wide") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + logs - (F.col("n_tokens") - F.col("head")) * all_).alias("base_score"),
         (F.col("symbol_score") + logs - F.col("room")).alias("score"),

@@ -531,6 +531,25 @@ def test_scores_match_brute_force(spark, docs, corpus):
         assert got[i] == pytest.approx(out, rel=1e-9)
 
 
+@pytest.mark.parametrize("wide", [0, 12, hmm_score.WIDE])
+def test_scores_do_not_depend_on_the_words_sent(spark, docs, corpus, monkeypatch, wide):
+    held = F.col("doc_id") % 5 == 2
+    rows = lambda: sorted(tuple(r) for r in hmm_score.scored(hmm_score.fit(docs, held, 2, 8, 1)).collect())
+    monkeypatch.setattr(hmm_score, "FLUSH", 5)
+    expected = rows()
+    monkeypatch.setattr(hmm_score, "WIDE", wide)
+    got = rows()
+    assert len(got) == len(corpus)
+    assert all(x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-12) for x, y in zip(got, expected))
+    # Words with counts that were sent to the tasks do not meet the table of counts again.
+    fitted = hmm_score.fit(docs, held, 2, 8, 1)
+    joined = {bytes(w) for r in fitted.encoded.select("words").collect() for w in r.words}
+    c = Counter(w.encode() for i, t in corpus if i % 5 != 2 for w in low(t).split(" ") if w)
+    left = [w for w in joined if c[w] > 0]
+    assert len(fitted.vocabulary.wide) <= wide and not joined & fitted.vocabulary.wide.keys()
+    assert not left if wide > len(c) else left
+
+
 def test_pieces_count_every_transition_once(spark, monkeypatch):
     """Counts of texts in pieces with context are those of whole texts, but for what the context leaves open."""
     m, r = _model(3, 5), np.random.default_rng(6)
