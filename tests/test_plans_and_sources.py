@@ -168,6 +168,36 @@ def test_chunks_of_subword_tokens(spark):
     assert got[0].token_count == 20 and all(r.text in text for r in got) and {r.doc_id for r in got} == {"1"}
 
 
+def test_long_texts_go_through_the_vocabulary_in_pieces(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from granary.functions import tokens
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    t, blanks = tokens._tokenizer(spec)
+    text = "Añb  c1 <|endoftext|> d\n\n e's \u2003 Ж\U0001f600 " * 50
+    texts = ["", text, text.replace(" ", ""), "x", text]
+    seen = []
+
+    class Watched:
+        def encode_batch_fast(self, part, **more):
+            seen.append(sum(map(len, part)))
+            return t.encode_batch_fast(part, **more)
+
+        def decode_batch(self, part, **more):
+            seen.append(sum(map(len, part)))
+            return t.decode_batch(part, **more)
+
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(tokens, "PIECE", 40)
+    got = tokens._encoded(Watched(), True, texts)
+    assert got.to_pylist() == want
+    assert sorted(seen)[-1] == len(texts[2]) and sorted(seen)[-2] < 100  # only the text without a blank is seen whole
+    seen.clear()
+    assert tokens._decoded(Watched(), blanks, got.flatten().to_numpy(), got.offsets.to_numpy()) == texts
+    assert sorted(seen)[-1] == len(want[2]) and sorted(seen)[-2] < 100
+
+
 def test_index_is_stored_once(spark, tmp_path):
     from granary.operators.bm25 import bm25_topk, open_index
 
