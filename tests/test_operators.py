@@ -193,3 +193,40 @@ def test_first_wins_and_cap(spark):
     rows = spark.createDataFrame([(1, "A"), (2, "a"), (3, "b")], "id int, t string")
     assert sorted(r.id for r in quality.first_wins(rows, F.lower("t"), F.col("id")).collect()) == [1, 3]
     assert quality.capped(rows.withColumn("g", F.lit(1)), "g", 2, F.col("id")).count() == 2
+
+def test_nearest_vectors_against_plain_distances(spark, monkeypatch):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 4)], int(r.integers(0, 3))) for i in range(300)]
+    rows += [(300, None, 1), (301, [1.0, None, 2.0, 0.0], 1), (302, [1.0], 0), (303, [0.0] * 4, 0), (304, [1.0, 2.0, 0.0, 1.0], None), (305, [1e-160, 1e-170, 0.0, 0.0], 0)]
+    c = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    q = c.where("vec_id % 25 = 0 OR vec_id > 299").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+
+    def distance(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        dot = lambda x, y: sum((s * t for s, t in zip(x, y)), 0.0)
+        size = dot(a, a) ** 0.5 * dot(b, b) ** 0.5
+        return float(Decimal(repr(1 - dot(a, b) / size)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) if size else None
+
+    monkeypatch.setattr(vectors, "MAX_BROADCAST", 5)
+    for labelled, down in ((False, False), (True, True)):
+        found = vectors.nearest(c, q, 12, digits=6, label="label" if labelled else None, id_down=down)
+        order = (F.col("far"), F.asc_nulls_last("distance"), F.desc("vec_id") if down else F.col("vec_id"))
+        got = sorted(map(tuple, vectors.top_k(found, "query_id", 12, "k", *order).select("query_id", "k", "vec_id", "distance").collect()))
+        want = []
+        for a in rows:
+            if a[0] % 25 and a[0] < 300:
+                continue
+            far = lambda b: int(labelled and (a[2] is None or a[2] != b[2]))
+            each = sorted((far(b), d is None, d or 0.0, -b[0] if down else b[0], d) for b in rows for d in [distance(b[1], a[1])])
+            want += [(a[0], k + 1, abs(e[3]), e[4]) for k, e in enumerate(each[:12])]
+        assert got == sorted(want)
+    # Pairs are not made as rows: what leaves a task is k rows a query.
+    assert vectors.nearest(c, q.limit(2), 3).count() <= 3 * 2 * c.rdd.getNumPartitions()
+    text = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    assert [r.id for r in vectors.dense_topk(text, asked, 2, "id").orderBy("dense_rank").collect()] == ["a", "b"]
