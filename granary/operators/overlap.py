@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.replies import chunk_id
 from granary.functions.text import normalize, overlap_ratio, space_tokens, word_tokens
 from granary.operators.chunking import chunk_array
 from granary.operators.vectors import top_k
+from granary.sources.code import ship
 
 THRESHOLD = 0.52
 MAX_TERMS = 10_000  # evidence terms that are broadcast
+WORDS, CELLS = 1 << 16, 1 << 22  # words of the source chunks, and cells of a matrix, that are compared at a time
+ROWS_OUT = 1 << 17  # pairs that leave Python at a time
 
 
 def chunk_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -26,27 +33,91 @@ def document_pairs(
 ) -> DataFrame:
     """``chunk_pairs`` of two chunkings, (size, overlap) each, made where the document is read, with ratios of ``least`` or more.
 
-    With ``most``, the best pairs of each source chunk and their ``rank``. One source chunk meets all chunks of its document at
-    a time, so that nothing is exchanged and a task holds one document.
+    With ``most``, the best pairs of each source chunk and their ``rank``. The common words of all pairs are counted by products of
+    0/1 matrices, in blocks of source chunks and of target chunks, so that nothing is exchanged and a task holds one document.
     """
-    doc = F.col(id_col).cast("string")
-
-    def words(size: tuple[int, int]) -> Column:
-        item = lambda c, i: F.struct(chunk_id(F.col("doc_id"), i).alias("id"), i.alias("i"), F.array_distinct(word_tokens(c["text"])).alias("w"))
-        return F.transform(chunk_array(F.col("_t"), *size), item)
-
-    rows = docs.select(doc.alias("doc_id"), space_tokens(normalize(F.col(text_col))).alias("_t"))
-    each = rows.select("doc_id", words(source).alias("_s"), words(target).alias("_all")).select("doc_id", "_all", F.explode("_s").alias("_s"))
-    n = F.size("_s.w")
-    ratio = lambda t: F.when(n > 0, F.size(F.array_intersect(F.col("_s.w"), t["w"])) / F.nullif(n, F.lit(0))).otherwise(F.lit(0.0))
-    # In the order of rank: falling ratio, then id.
-    pairs = F.transform("_all", lambda t: F.struct((-ratio(t)).alias("o"), t["id"].alias("target_id"), t["i"].alias("chunk_index")))
-    pairs = F.filter(pairs, lambda p: -p["o"] >= least)
-    if most is not None:
-        pairs = F.slice(F.array_sort(pairs), 1, most)
-    out = each.select("doc_id", F.col("_s.id").alias("source_id"), F.posexplode(pairs).alias("_k", "_p"))
-    cols = ["doc_id", "source_id", "_p.target_id", "_p.chunk_index", (-F.col("_p.o")).alias("overlap_ratio")]
-    return out.select(*cols, *([(F.col("_k") + 1).alias("rank")] if most is not None else []))
+    ship(docs.sparkSession)
+    words = lambda size: F.transform(chunk_array(F.col("_t"), *size), lambda c: word_tokens(c["text"]))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), space_tokens(normalize(F.col(text_col))).alias("_t"))
+    each = rows.select("doc_id", words(source).alias("_source"), words(target).alias("_target"))
+    out = each.mapInArrow(_pairs(least, most), "doc_id string, s int, t int, overlap_ratio double, rank int")
+    ids = [chunk_id(F.col("doc_id"), F.col(c)).alias(name) for c, name in (("s", "source_id"), ("t", "target_id"))]
+    return out.select("doc_id", *ids, F.col("t").alias("chunk_index"), "overlap_ratio", *(["rank"] if most is not None else []))
+
+
+def _pairs(least: float, most: int | None):
+    """Rows of (id, words of each source chunk, words of each target chunk) to pairs of chunks by number."""
+
+    def pairs(batches):
+        for batch in batches:
+            held, n = [], 0
+            texts = [w for w in (batch.column(i).flatten().flatten() for i in (1, 2)) if len(w)]  # an empty array may lack its buffers
+            codes = pa.concat_arrays([pa.array([], pa.string()), *texts]).dictionary_encode().indices.to_numpy()
+            chunks = [_ends(batch.column(i)) for i in (1, 2)]
+            words = [_ends(batch.column(i).flatten()) for i in (1, 2)]
+            words[1] += words[0][-1]
+            for d in range(len(batch)):
+                bounds = [w[c[d] : c[d + 1] + 1] for w, c in zip(words, chunks)]
+                for s, t, ratio, rank in common_words(codes, *bounds, least, most):
+                    held.append((np.full(len(s), d), s, t, ratio, rank))
+                    n += len(s)
+                    if n >= ROWS_OUT:
+                        yield _pair_rows(batch.column(0), held)
+                        held, n = [], 0
+            if held:
+                yield _pair_rows(batch.column(0), held)
+
+    return pairs
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0), dtype=np.int64))))
+
+
+def _pair_rows(ids: pa.Array, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    d, s, t, ratio, rank = map(np.concatenate, zip(*held))
+    columns = [ids.take(pa.array(d)), pa.array(s, pa.int32()), pa.array(t, pa.int32()), pa.array(ratio, pa.float64()), pa.array(rank, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "s", "t", "overlap_ratio", "rank"])
+
+
+def common_words(codes: np.ndarray, source: np.ndarray, target: np.ndarray, least: float, most: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(source, target, ratio, rank) of one document in parts; ``source`` and ``target`` are the borders of chunks in ``codes``."""
+    ns, nt = len(source) - 1, len(target) - 1
+    if not ns or not nt:
+        return
+    # Places in the order of ids, whose numbers have four digits at least.
+    by_id = np.arange(nt) if nt <= 10_000 else np.array(sorted(range(nt), key=lambda i: f"{i:04d}"))
+    t_code, t_chunk = codes[target[0] : target[-1]], np.repeat(np.arange(nt), np.diff(target))
+    a = 0
+    while a < ns:
+        # As many source chunks as have WORDS together, one at least; fewer where there are very many targets.
+        b = min(max(int(np.searchsorted(source, source[a] + WORDS, "right")) - 1, a + 1), a + max(1, CELLS // nt), ns)
+        known, place = np.unique(codes[source[a] : source[b]], return_inverse=True)
+        left = np.zeros((b - a, max(len(known), 1)), dtype=np.float32)
+        left[np.repeat(np.arange(b - a), np.diff(source[a : b + 1])), place] = 1
+        count = np.zeros((b - a, nt), dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, t_code), len(known) - 1)
+            hit = known[at] == t_code
+            step = max(1, CELLS // len(known))
+            for c in range(0, nt, step):
+                lo, hi = target[c] - target[0], target[min(c + step, nt)] - target[0]
+                mine = hit[lo:hi]
+                right = np.zeros((min(c + step, nt) - c, len(known)), dtype=np.float32)
+                right[t_chunk[lo:hi][mine] - c, at[lo:hi][mine]] = 1
+                count[:, c : c + step] = np.rint(left @ right.T)
+        n = left.sum(axis=1, dtype=np.float64)[:, None]
+        ratio = np.divide(count, n, out=np.zeros(count.shape), where=n > 0)
+        if most is None:
+            s, t = np.nonzero(ratio >= least)
+            rank = np.zeros(len(s), dtype=np.int64)
+        else:
+            best = by_id[np.argsort(-count[:, by_id], axis=1, kind="stable")[:, :most]]
+            good = np.take_along_axis(ratio, best, axis=1) >= least
+            s, rank = np.nonzero(good)
+            t = best[s, rank]
+        yield s + a, t, ratio[s, t], rank + 1
+        a = b
 
 
 def overlap_mapping(source: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

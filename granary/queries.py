@@ -446,11 +446,6 @@ p AS (SELECT printf('%s_%04d', CAST(sd.doc_id AS VARCHAR), sd.ci) AS source_id,
 """
 
 
-def _chunkings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _docs(spark, sf_dir)
-    return chunking.fixed_chunks(docs, 256, 25), chunking.fixed_chunks(docs, 128, 12)
-
-
 @query("overlap_mapping", MAPPING_SQL + "SELECT source_id, target_id, round(o, 6) AS overlap_ratio FROM p WHERE o >= 0.52")
 def overlap_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large chunks and the small ones of the same document that hold enough of their words."""
@@ -590,9 +585,9 @@ def mapping_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unmapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large chunks that no small chunk of their document stands for."""
-    source, target = _chunkings(spark, sf_dir)
-    questions = source.select(F.col("chunk_id").alias("id"), F.array("chunk_id").alias("relevant_chunk_ids"))
-    mapped = overlap.mapping_of_questions(questions, overlap.overlap_mapping(source, target))
+    docs = _docs(spark, sf_dir)
+    questions = chunking.fixed_chunks(docs, 256, 25).select(F.col("chunk_id").alias("id"), F.array("chunk_id").alias("relevant_chunk_ids"))
+    mapped = overlap.mapping_of_questions(questions, overlap.document_pairs(docs, (256, 25), (128, 12), least=overlap.THRESHOLD))
     return mapped.where(F.size("mapped_relevant_chunk_ids") == 0).select("id")
 
 

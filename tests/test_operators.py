@@ -230,3 +230,23 @@ def test_nearest_vectors_against_plain_distances(spark, monkeypatch):
     text = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
     asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
     assert [r.id for r in vectors.dense_topk(text, asked, 2, "id").orderBy("dense_rank").collect()] == ["a", "b"]
+
+
+def test_common_words_in_blocks(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    sizes = [r.integers(0, 9, 40), r.integers(0, 6, 70)]
+    codes = r.integers(0, 12, sum(map(sum, sizes)))
+    ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    source, target = ends[:41], ends[40:]
+    words = lambda e: [set(codes[a:b].tolist()) for a, b in zip(e, e[1:])]
+    ratio = [[len(s & t) / len(s) if s else 0.0 for t in words(target)] for s in words(source)]
+    monkeypatch.setattr(overlap, "WORDS", 20)
+    monkeypatch.setattr(overlap, "CELLS", 50)
+    parts = list(overlap.common_words(codes, source, target, 0.5, None))
+    assert len(parts) > 10
+    got = [(int(s), int(t), float(o)) for p in parts for s, t, o, _ in zip(*p)]
+    assert got == [(s, t, o) for s, row in enumerate(ratio) for t, o in enumerate(row) if o >= 0.5]
+    best = [(int(s), int(k), int(t)) for p in overlap.common_words(codes, source, target, 0.0, 3) for s, t, _, k in zip(*p)]
+    assert best == [(s, k + 1, t) for s, row in enumerate(ratio) for k, (_, t) in enumerate(sorted((-o, t) for t, o in enumerate(row))[:3])]
