@@ -18,6 +18,8 @@ from granary.operators.vectors import top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_TERMS = 200_000  # distinct query terms that are broadcast, of some 50 bytes each
+TEXT_A_TASK = 8 << 20  # bytes of texts whose terms a task counts
+SCORES_A_TASK = 1_000_000  # that a task sums, of some 100 bytes each
 
 
 @dataclass
@@ -36,10 +38,15 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> Index:
-    """The index of ``docs``, written to ``path`` or else to the shared folder. Texts are read once."""
+    """The index of ``docs``, written to ``path`` or else to the shared folder.
+
+    Texts are measured, then dealt by id to tasks of a bounded size, so that the terms that a task counts do not grow with the input.
+    """
     spark = docs.sparkSession
     path = path or shared_folder(spark, "bm25")
-    tokens = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint"))).first()[0] or 0
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(max(-(-size // TEXT_A_TASK), spark.sparkContext.defaultParallelism), "id")
+    tokens = dealt.select("id", word_tokens(F.col("text")).alias("_t"))
     each = tokens.select("id", F.size("_t").alias("len"), F.explode("_t").alias("term"))
     postings = each.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     postings.write.mode("overwrite").parquet(f"{path}/postings")
@@ -67,14 +74,21 @@ def bm25_topk(index: Index, queries: DataFrame, k: int = 10, digits: int = 6) ->
 
     Fillers are the first documents in order of id. Terms of the queries, if few, meet the postings without an exchange of these.
     """
+    spark = queries.sparkSession
     wanted = queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = stored(wanted.join(term_weights(index), "term"), "bm25-terms")
     few = weighed.count() <= MAX_TERMS
     tf = F.col("tf").cast("double")
     share = F.col("len") / F.nullif(F.col("avg_len"), F.lit(0.0))
     gain = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * share))
+    postings = index.postings
+    if few:
+        # Postings of wanted terms are dealt by document, so that a task sums a bounded number of scores, however many there are.
+        asked, pairs = F.broadcast(weighed.select("term").distinct()), weighed.join(index.terms, "term").agg(F.sum("df")).first()[0]
+        tasks = max(-(-(pairs or 0) // SCORES_A_TASK), spark.sparkContext.defaultParallelism)
+        postings = postings.join(asked, "term", "left_semi").repartition(tasks, "id")
     scores = (
-        index.postings.join(F.broadcast(weighed) if few else weighed, "term")
+        postings.join(F.broadcast(weighed) if few else weighed, "term")
         .crossJoin(F.broadcast(index.totals.select("avg_len")))
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(gain), digits).alias("bm25_score"))

@@ -27,9 +27,9 @@ def hybrid_topk(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, queries:
     return rerank(texts, score(F.col("_question"), F.col("text")), final_k).drop("_question")
 
 
-def hybrid_retrieve(index: Index, collection: DataFrame, chunks: DataFrame, queries: DataFrame, **more) -> DataFrame:
-    """30 dense and 30 sparse candidates, 30 fused, 10 final. ``queries`` has query_id, text and embedding."""
-    dense = dense_topk(collection, queries, CANDIDATES, "id").select("query_id", "id", "distance", "dense_rank")
+def hybrid_retrieve(index: Index, collection: DataFrame, chunks: DataFrame, queries: DataFrame, digits: int | None = None, **more) -> DataFrame:
+    """30 dense and 30 sparse candidates, 30 fused, 10 final. ``queries`` has query_id, text and embedding; distances are rounded to ``digits``."""
+    dense = dense_topk(collection, queries, CANDIDATES, "id", digits).select("query_id", "id", "distance", "dense_rank")
     return hybrid_topk(dense, bm25_topk(index, queries, CANDIDATES), chunks, queries, **more)
 
 

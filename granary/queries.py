@@ -208,7 +208,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = queries.join(vecs.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
     model = models.reranker(lambda: models.word_overlap_model())
     collection, chunks = vecs.select(F.col("vec_id").alias("id"), "embedding"), docs.select(F.col("doc_id").alias("chunk_id"), "text")
-    out = hybrid_retrieve(bm25.build_index(docs), collection, chunks, queries, score=model)
+    out = hybrid_retrieve(bm25.build_index(docs), collection, chunks, queries, digits=6, score=model)
     return out.select(
         "query_id", F.col("id").alias("doc_id"), "retrieval_source", F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "final_rank"
     )

@@ -229,3 +229,20 @@ def test_pairs_made_in_the_document_are_those_of_the_join(spark):
     best = overlap.document_pairs(docs, (40, 5), (16, 3), most=3)
     assert sorted(tuple(r) for r in best.select("source_id", "target_id", "rank").collect()) == sorted(top)
     assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    from granary.operators import bm25
+
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(60)], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "a b3"), (2, "c5")], "query_id int, text string")
+    search = lambda n: sorted(map(tuple, bm25.bm25_topk(build_index(docs, path=str(tmp_path / n)), q, 3).collect()))
+    want = search("one")
+    monkeypatch.setattr(bm25, "TEXT_A_TASK", 50)
+    monkeypatch.setattr(bm25, "SCORES_A_TASK", 10)
+    kept, stored = [], bm25.stored
+    monkeypatch.setattr(bm25, "stored", lambda df, label: kept.append((label, df)) or stored(df, label))
+    assert search("many") == want
+    assert len(list((tmp_path / "many" / "postings").glob("*.parquet"))) > 8
+    scores = dict(kept)["bm25-scores"]
+    assert scores.rdd.getNumPartitions() == 7  # a has 60 postings, b3 has 9, c5 has 1
